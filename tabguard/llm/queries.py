@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabguard.llm import personal, quality, secrets
+from tabguard.llm import decontaminate, lm, personal, quality, secrets, tokencount, tokenfiles
 from tabguard.llm.shared import table
 
 
@@ -12,6 +12,14 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.cross_scored(table(spark, sf_dir, "documents"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.counted(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.scan(table(spark, sf_dir, "documents"))
 
@@ -21,5 +29,19 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op6_personal_data, op7_quality_rules)}
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.round_trip(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_lm_scoring, op5_token_counts, op6_personal_data, op7_quality_rules, op8_decontaminate, op9_token_files)}
 ORACLES: dict[str, str] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabguard.llm import decontaminate, lm, personal, quality, secrets, tokencount, tokenfiles
+from tabguard.llm import decontaminate, htmltext, lm, personal, quality, secrets, tokencount, tokenfiles
 from tabguard.llm.shared import table
 
 
@@ -37,11 +37,15 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.round_trip(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extracted(table(spark, sf_dir, "pages"))
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_lm_scoring, op5_token_counts, op6_personal_data, op7_quality_rules, op8_decontaminate, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_lm_scoring, op5_token_counts, op6_personal_data, op7_quality_rules, op8_decontaminate, op9_token_files, op10_html_text)}
 ORACLES: dict[str, str] = {}

@@ -10,6 +10,7 @@ gives an empty result (the rules then keep their written order); further columns
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,10 +44,18 @@ def n_dup_lines(text: Column) -> Column:
     return (F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of ``value``, which is made once: a lambda's variable stands for it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def n_repeat_words(words: Column) -> Column:
     """Words inside 3-word windows that the text has twice or more."""
-    at = F.sequence(F.lit(0), F.size(words) - 3)
-    keyed = F.sort_array(F.transform(at, lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i"))))
+
+    def keyed(w: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(w) - 3)
+        row = lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))
+        return F.when(F.size(w) >= 3, F.sort_array(F.transform(at, row)))
 
     def repeats(s: Column) -> Column:
         same = F.transform(s, lambda x, j: F.when((x["h"] == F.get(s, j - 1)["h"]) | (x["h"] == F.get(s, j + 1)["h"]), x["i"]))
@@ -55,8 +64,7 @@ def n_repeat_words(words: Column) -> Column:
     def covered(r: Column) -> Column:
         return F.aggregate(F.transform(r, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(r, j + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
 
-    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  binds an array, so that it is made once
-    return F.when(F.size(words) >= 3, once(once(keyed, repeats), covered)).otherwise(0).cast("long")
+    return F.coalesce(_bound(_bound(_bound(words, keyed), repeats), covered), F.lit(0)).cast("long")
 
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:

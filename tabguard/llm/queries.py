@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabguard.llm import decontaminate, htmltext, lm, personal, quality, secrets, tokencount, tokenfiles
+from tabguard.llm import decontaminate, htmltext, lm, nearjoin, personal, quality, secrets, tokencount, tokenfiles
 from tabguard.llm.shared import table
 
 
@@ -16,6 +16,10 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.cross_scored(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearjoin.joined(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.counted(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -47,5 +51,5 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_lm_scoring, op5_token_counts, op6_personal_data, op7_quality_rules, op8_decontaminate, op9_token_files, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_lm_scoring, op4_jaccard_join, op5_token_counts, op6_personal_data, op7_quality_rules, op8_decontaminate, op9_token_files, op10_html_text)}
 ORACLES: dict[str, str] = {}

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabguard.llm import decontaminate, htmltext, lm, nearjoin, personal, quality, secrets, tokencount, tokenfiles
+from tabguard.llm import decontaminate, htmltext, lm, nearjoin, personal, quality, secrets, subwords, tokencount, tokenfiles
 from tabguard.llm.shared import table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subwords.encoded(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), ["doc_id"], digest=True)
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -51,5 +55,5 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_lm_scoring, op4_jaccard_join, op5_token_counts, op6_personal_data, op7_quality_rules, op8_decontaminate, op9_token_files, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_secret_scan, op3_lm_scoring, op4_jaccard_join, op5_token_counts, op6_personal_data, op7_quality_rules, op8_decontaminate, op9_token_files, op10_html_text)}
 ORACLES: dict[str, str] = {}

@@ -1,4 +1,9 @@
-"""All registered queries and their oracle SQL, gathered from the query modules."""
+"""All registered queries and their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tabguard.plans import (  # noqa: F401  each registers its own
+    prep_queries,
+    shift_queries,
+)
+from tabguard.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabguard.functions.numeric import unpivot
 from tabguard.operators import prep
-from tabguard.plans.base import FEATURES, LI, LONG, ORDER, SPLIT, lineitem, query, table
+from tabguard.plans.base import FEATURES, LI, ORDER, SPLIT, lineitem, query, table
 
 _KEY = "l_shipdate, l_orderkey, l_linenumber, l_partkey"
 _R4 = [F.round(c, 6).alias(c) for c in FEATURES]
@@ -228,5 +227,3 @@ def a06_evidence_json(spark, sf_dir):
 
     return tables.as_document(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "full_json").select("c_custkey", "full_json")
 
-
-_ = (LONG, unpivot)

@@ -1,8 +1,11 @@
 """All registered queries and their oracle SQL."""
 
 from tabguard.plans import (  # noqa: F401  each registers its own
+    forensics_queries,
     prep_queries,
     shift_queries,
+    trust_queries,
+    verdict_queries,
 )
 from tabguard.plans.base import ORACLES, QUERIES
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabguard.functions.numeric import unpivot
-from tabguard.operators import prep, shift
-from tabguard.plans.base import FEATURES, LONG, ORDER, lineitem, query
+from tabguard.operators import shift
+from tabguard.plans.base import FEATURES, LONG, lineitem, query
 from tabguard.plans.prep_queries import scaled_split
+from tabguard.sources import tables
 
 BASE = f"""{LONG}, base AS (SELECT feature, count(*) AS n, quantile_cont(value, 0.5) AS median, stddev_pop(value) + 1e-9 AS sigma,
   quantile_cont(value, 0.01) AS p1, quantile_cont(value, 0.99) AS p99, greatest(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 1e-6) AS iqr
@@ -27,7 +28,7 @@ labz AS (SELECT p1, p2, abs(p2 - p1) AS shift, abs(p2 - p1) / sqrt((p1 * n1 + p2
 
 
 def long_split(spark, sf_dir):
-    return unpivot(scaled_split(spark, sf_dir), FEATURES, ["split", "row_rank", "n_rows", "label"])
+    return unpivot(tables.stored(scaled_split(spark, sf_dir), "prepared"), FEATURES, ["split", "row_rank", "n_rows", "label"])
 
 
 def rounded(df, *names, digits=6):
@@ -198,5 +199,3 @@ def c06_wasserstein_by_segment(spark, sf_dir):
     long = unpivot(li, ["l_quantity"], ["seg", "split"])
     return rounded(shift.wasserstein(long, shift.baseline(long, ["seg"]), segments=["seg"]), "w1").select("seg", "feature", "w1")
 
-
-_ = (ORDER, prep)

@@ -1,9 +1,13 @@
 """All registered queries and their oracle SQL."""
 
 from tabguard.plans import (  # noqa: F401  each registers its own
+    ensemble_queries,
+    evaluation_queries,
     forensics_queries,
     prep_queries,
     shift_queries,
+    spectral_queries,
+    stream_queries,
     trust_queries,
     verdict_queries,
 )

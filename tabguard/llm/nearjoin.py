@@ -9,8 +9,8 @@ overlap once more from counts in sixteen hash ranges before a pair is compared i
 
 Groups of thousands of copies are joined without all their pairs. Equal sets are one class. In every prefix shingle's
 list the most central class (the one with most shingles that others have) is compared with the others; what that links
-is one component. Then only pairs across components are compared, all that pass the filters, so that no link between
-components is missed.
+is one component. Then pairs across components are compared, in short lists one by one if they pass the filters, in
+long lists block against block, so that no link between components is missed.
 
 Sets are compared by 64-bit hashes of shingles. Results: one row per document with its component; components are
 named by their least document id.
@@ -32,14 +32,16 @@ from pyspark.sql import functions as F
 from tabguard.llm import wordarrays as W
 from tabguard.llm.components import components
 from tabguard.llm.shared import stored
-from tabguard.llm.sketch import counts, slots
+from tabguard.llm.sketch import Bits, bits_of, counts, slots
 
 SHINGLE = 5
 IS_WORD = W.byte_table(W.SPACE)
-#: Slots of the frequency sketch, and of the bit table of shared shingles, as powers of two.
-SKETCH_BITS, SHARED_BITS = 21, 23
+#: Slots of the frequency sketch, as a power of two.
+SKETCH_BITS = 21
 #: Members of an anchor that one task compares at once.
 TOGETHER = 64
+#: Lists with more members than this are compared by blocks of about BLOCK members.
+LONG_LIST, BLOCK = 48, 512
 
 
 # ---- sets ------------------------------------------------------------------------------------------------------------
@@ -97,27 +99,31 @@ def _cards(batches: Iterator[pa.RecordBatch], levels: np.ndarray) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(join(n_all)), pa.array(join(d_all)), prefix], names=[*batch.schema.names[:-1], "n", "digest", "prefix"])
 
 
-def _shared_postings(batches: Iterator[pa.RecordBatch], seen: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """(h, digest, n, pos) of the prefix shingles whose slot says that others may have them."""
+def _shared_postings(batches: Iterator[pa.RecordBatch], seen: Bits | None) -> Iterator[pa.RecordBatch]:
+    """(h, digest, n, pos) of the prefix shingles whose slot says that others may have them, each class once per task."""
+    met: set[int] = set()
     for batch in batches:
+        new = [i for i, d in enumerate(batch.column(0).to_pylist()) if d not in met and not met.add(d)]
+        batch = batch.take(pa.array(new, pa.int64()))
         prefix = batch.column(2)
         length = prefix.value_lengths().to_numpy(zero_copy_only=False)
         h = prefix.flatten().to_numpy(zero_copy_only=False)
         row = np.repeat(np.arange(len(length)), length)
         pos = np.arange(len(h)) - np.repeat(np.cumsum(length) - length, length)
-        keep = seen[slots(np.ascontiguousarray(h), SHARED_BITS)] if seen is not None else np.ones(len(h), bool)
+        keep = seen.has(np.ascontiguousarray(h)) if seen is not None else np.ones(len(h), bool)
         digest, n = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
         yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(digest[row[keep]]), pa.array(n[row[keep]]), pa.array(pos[keep])], names=["h", "digest", "n", "pos"])
 
 
-def _texts(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _texts(batches: Iterator[pa.RecordBatch], wanted: Bits | None) -> Iterator[pa.RecordBatch]:
     """(digest, text) of the documents whose class may be wanted, each class once per task."""
     met: set[int] = set()
     for batch in batches:
         column = batch.column(0)
         for a, b, s, offsets in _sets(column):
             d = _digests(s, offsets)
-            some = [i for i in np.flatnonzero(wanted[slots(d, SHARED_BITS)] & (np.diff(offsets) > 0)).tolist() if d[i] not in met and not met.add(d[i])]
+            keep = (wanted.has(d) if wanted is not None else True) & (np.diff(offsets) > 0)
+            some = [i for i in np.flatnonzero(keep).tolist() if d[i] not in met and not met.add(d[i])]
             if some:
                 yield pa.RecordBatch.from_arrays([pa.array(d[some]), column.slice(a, b - a).take(pa.array(some))], names=["digest", "text"])
 
@@ -167,6 +173,66 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(dealt.mapInArrow(_verified, "a long, b long"), "links")
 
 
+# ---- long lists ------------------------------------------------------------------------------------------------------
+
+
+def _block_links(key: tuple, table: pa.Table) -> pa.Table:
+    """Links between components among the members of two blocks (or one): enough of them to join what belongs together."""
+    digest, root, side = (table.column(c).to_numpy() for c in ("digest", "root", "side"))
+    sets: list[np.ndarray] = []
+    for _, _, s, offsets in _sets(table.column("text")):
+        sets += [s[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
+    n = np.array([len(s) for s in sets])
+    i_own, j_own = key[1].as_py(), key[2].as_py()
+    left, right = np.flatnonzero(side == i_own), np.flatnonzero(side == j_own)
+    token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    u, code, many = np.unique(token, return_inverse=True, return_counts=True)
+    keep = many[code] > 1  # a shingle of one member adds to no overlap
+    code, owner = np.unique(code[keep], return_inverse=True)[1], owner[keep]
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    place = np.empty(len(sets), np.int64)
+    place[left], both = np.arange(len(left)), np.zeros((len(left), len(right)), np.float32)
+    place_r = np.empty(len(sets), np.int64)
+    place_r[right] = np.arange(len(right))
+    is_left, is_right = side == i_own, side == j_own
+    width = 2048
+    for lo in range(0, int(code[-1]) + 1 if len(code) else 0, width):
+        a, b = np.searchsorted(code, [lo, lo + width])
+        c, o = code[a:b] - lo, owner[a:b]
+        x, y = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
+        x[place[o[is_left[o]]], c[is_left[o]]] = 1
+        y[place_r[o[is_right[o]]], c[is_right[o]]] = 1
+        both += x @ y.T
+    link = 100 * both >= 80 * (n[left][:, None] + n[right][None, :] - both)
+    p, q = np.nonzero(link & (root[left][:, None] != root[right][None, :]))
+    head: dict[int, int] = {}
+
+    def find(r: int) -> int:
+        while head.get(r, r) != r:
+            head[r] = head.get(head[r], head[r])
+            r = head[r]
+        return r
+
+    out_a, out_b = [], []
+    for a, b in zip(left[p].tolist(), right[q].tolist(), strict=True):
+        ra, rb = find(int(root[a])), find(int(root[b]))
+        if ra != rb:
+            head[ra] = rb
+            out_a.append(digest[a])
+            out_b.append(digest[b])
+    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+
+def _by_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links across components within each centre's members, every block of about BLOCK members against every other."""
+    size = members.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = members.join(size, "centre").withColumn("side", F.pmod(F.xxhash64("digest"), "blocks").cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = own.select("centre", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "digest", "root")
+    return stored(rows.join(texts, "digest").groupBy("centre", "i", "j").applyInArrow(_block_links, "a long, b long"), "block-links")
+
+
 # ---- the join --------------------------------------------------------------------------------------------------------
 
 
@@ -195,39 +261,40 @@ def classes(docs: DataFrame, keep: list[str], text: str = "text") -> tuple[DataF
 
     # Shingles that two or more rows have in their prefixes; a bit table of fixed size keeps most others at home.
     common = stored(cards.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h"), "common-shingles")
-    bits = None
-    if common.count() <= 1 << (SHARED_BITS - 1):
-        bits = spark.sparkContext.broadcast(counts(common, _column, SHARED_BITS) > 0)
-    postings = cards.select("digest", "n", "prefix").mapInArrow(lambda b: _shared_postings(b, bits.value if bits else None), "h long, digest long, n long, pos long")
-    once = postings.groupBy("h", "digest").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
-    lists = once.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
-    listed = stored(once.join(lists, "h"), "postings")
+    bits = spark.sparkContext.broadcast(bits_of(common, _column, common.count()))
+    postings = cards.select("digest", "n", "prefix").mapInArrow(lambda b: _shared_postings(b, bits.value), "h long, digest long, n long, pos long")
+    lists = postings.groupBy("h").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("h")
+    listed = stored(postings.join(lists, "h").dropDuplicates(["h", "digest"]), "postings")
     # before: shingles in front of this one that others have. A row goes if even all of those and all behind would not do.
     nth = listed.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("own"), F.first("n").alias("n"))
     ranked = nth.select("digest", "n", F.size("own").alias("k"), F.posexplode("own").alias("before", "p")).select("p.h", "digest", "n", "p.pos", F.col("before").cast("long").alias("before"), (F.col("k") + F.floor(4 * F.col("n") / 5.0 + 0.8).cast("long") - 1).alias("others_have"))
     ranked = stored(ranked.where("5 * (before + n - pos) >= 4 * n"), "ranked-postings")
 
-    wanted = ranked.select("digest").distinct()
-    want = spark.sparkContext.broadcast(counts(wanted, _column, SHARED_BITS) > 0)
-    texts = stored(only.mapInArrow(lambda b: _texts(b, want.value), "digest long, text string").dropDuplicates(["digest"]), "class-texts")
-
     centre = ranked.groupBy("h").agg(F.max(F.struct((F.col("others_have") / F.col("n")).alias("share"), "digest", "n", "pos", "before")).alias("y"), F.count("*").alias("m")).where("m > 1")
-    stars = ranked.select("h", F.struct("digest", "n", "pos", "before").alias("x")).join(centre.select("h", "y"), "h").where((F.col("x.digest") != F.col("y.digest")) & _may_link("x", "y"))
+    centred = stored(ranked.select("h", F.struct("digest", "n", "pos", "before").alias("x")).join(centre, "h"), "centred-postings")
+    stars = centred.where((F.col("x.digest") != F.col("y.digest")) & _may_link("x", "y"))
     stars = stored(_unique_pairs(stars.select(F.col("y.digest").alias("anchor"), F.col("x.digest").alias("member"))), "star-pairs")
-    links = _verify(stars, texts)
+    links = _verify(stars, _fetched(only, _ends(stars)))  # not stored: it comes out dealt by digest, as the join needs it
 
     roots = components(links).select(F.col("node").alias("digest"), "root")
-    rooted = stored(ranked.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest")), "rooted-postings")
+    # In a list of two, the centre has met the other one.
+    more_than_two = centred.where("m > 2").select("h", "x.*", F.col("y.digest").alias("centre"))
+    rooted = stored(more_than_two.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest")), "rooted-postings")
     # A list can still hold a link between components if it has two of them.
-    open_lists = rooted.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("h")
-    rest = rooted.join(open_lists, "h")
+    open_lists = rooted.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("m")).where("a <> b").select("h", "m")
+    rest = stored(rooted.join(open_lists, "h"), "open-postings")
     row = F.struct("digest", "n", "pos", "before", "root")
-    x, y = rest.select("h", row.alias("x")), rest.select("h", row.alias("y"))
+    short = rest.where(F.col("m") <= LONG_LIST)
+    x, y = short.select("h", row.alias("x")), short.select("h", row.alias("y"))
     across = x.join(y, "h").where((F.col("x.digest") < F.col("y.digest")) & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y"))
     across = _unique_pairs(across.select(F.col("x.digest").alias("anchor"), F.col("y.digest").alias("member")))
     done = stars.select(F.least("anchor", "member").alias("p"), F.greatest("anchor", "member").alias("q"))
     fresh = across.join(done, (F.least("anchor", "member") == F.col("p")) & (F.greatest("anchor", "member") == F.col("q")), "left_anti")
-    more = _verify(stored(fresh, "cross-pairs"), texts)
+    fresh = stored(fresh, "cross-pairs")
+    # Long lists around one centre have almost the same members: they are united and compared block by block.
+    long = stored(rest.where(F.col("m") > LONG_LIST).groupBy("centre", "digest").agg(F.first("root").alias("root"), F.first("n").alias("n")), "long-lists")
+    texts = stored(_fetched(only, _ends(fresh).unionByName(long.select("digest"))), "class-texts")
+    more = _verify(fresh, texts).unionByName(_by_blocks(long, texts))
     final = components(links.unionByName(more)).select(F.col("node").alias("digest"), "root")
     return cards.select(*keep, "n", "digest"), final
 
@@ -236,6 +303,17 @@ def _column(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     yield batch.column(0).to_numpy(zero_copy_only=False)
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("anchor", "member")).alias("digest"))
+
+
+def _fetched(docs: DataFrame, digests: DataFrame) -> DataFrame:
+    """(digest, text) of the classes in ``digests``, and of a few others that share their slots in a bit table."""
+    need = stored(digests.distinct(), "needed-classes")
+    want = docs.sparkSession.sparkContext.broadcast(bits_of(need, _column, need.count()))
+    return docs.mapInArrow(lambda b: _texts(b, want.value), "digest long, text string").dropDuplicates(["digest"])
+
+
 def _rooted(cards: DataFrame, roots: DataFrame) -> DataFrame:
     own = cards.join(roots, "digest", "left")
     return own.withColumn("root", F.coalesce("root", "digest"))

@@ -51,3 +51,52 @@ def counts(df: DataFrame, hashes: Callable, bits: int) -> np.ndarray:
     for r in summed.toLocalIterator():
         out[r["slice"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
     return out.reshape(-1)
+
+
+def _partial_bits(batches: Iterator[pa.RecordBatch], hashes: Callable, bits: int) -> Iterator[pa.RecordBatch]:
+    table = np.zeros(1 << bits, bool)
+    for batch in batches:
+        for h in hashes(batch):
+            table[slots(h, bits)] = True
+    parts = table.reshape(-1, min(16 * _SLICE, len(table)))
+    some = np.flatnonzero(parts.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([zlib.compress(np.packbits(parts[i]).tobytes(), 1) for i in some.tolist()], pa.binary())], names=["slice", "set"])
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            part = np.frombuffer(zlib.decompress(c.as_buffer()), np.uint8)
+            total[k] = total[k] | part if k in total else part
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in total.values()], pa.binary())], names=["slice", "set"])
+
+
+class Bits:
+    """Which of 2**bits slots are taken, as packed bits: no false no, some false yes."""
+
+    #: The largest table, 16 MB packed.
+    MOST = 27
+
+    def __init__(self, bits: int, packed: np.ndarray):
+        self.bits, self.packed = bits, packed
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        at = slots(h, self.bits)
+        return (self.packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+
+
+def bits_of(df: DataFrame, hashes: Callable, n: int) -> Bits | None:
+    """Slots of the hashes in ``df``; n: how many distinct ones there are. None if the largest table would be too full."""
+    bits = max(16, int(n).bit_length() + 4)
+    if bits > Bits.MOST + 2:
+        return None
+    bits = min(bits, Bits.MOST)
+    spark = df.sparkSession
+    per = min(16 * _SLICE, 1 << bits)
+    parts = df.mapInArrow(lambda b: _partial_bits(b, hashes, bits), "slice int, set binary")
+    k = max(1, min((1 << bits) // per, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    out = np.zeros(((1 << bits) // per, per // 8), np.uint8)
+    for r in parts.repartitionById(k, parts["slice"] % k).mapInArrow(_united, "slice int, set binary").toLocalIterator():
+        out[r["slice"]] = np.frombuffer(zlib.decompress(r["set"]), np.uint8)
+    return Bits(bits, out.reshape(-1))

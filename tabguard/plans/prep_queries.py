@@ -8,7 +8,6 @@ from tabguard.operators import prep
 from tabguard.plans.base import FEATURES, LI, ORDER, SPLIT, lineitem, query, table
 
 _KEY = "l_shipdate, l_orderkey, l_linenumber, l_partkey"
-_R4 = [F.round(c, 6).alias(c) for c in FEATURES]
 _S4 = ", ".join(f"round({c}, 6) AS {c}" for c in FEATURES)
 #: A dirty table from lineitem: text in a number column, infinities, nulls, a constant column.
 _DIRTY_SQL = f"""{LI}, dirty AS (SELECT {_KEY}, label,
@@ -120,7 +119,7 @@ def scaled_split(spark, sf_dir):
 
 @query(f"WITH {SPLIT} SELECT {_KEY}, {_S4} FROM split")
 def b14_minmax_scale(spark, sf_dir):
-    return prep.minmax_scale(lineitem(spark, sf_dir), FEATURES).select(*ORDER, *_R4)
+    return prep.minmax_scale(lineitem(spark, sf_dir), FEATURES).select(*ORDER, *[F.round(c, 6).alias(c) for c in FEATURES])
 
 
 @query(f"WITH {SPLIT} SELECT {_KEY}, row_rank, split FROM split")

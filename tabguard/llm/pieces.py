@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 
 #: Pieces that one worker remembers before it starts anew, so that its memory stays bounded.
-REMEMBERED = 600_000
+REMEMBERED = 900_000
 _loaded: dict[str, object] = {}
 
 
@@ -31,19 +31,14 @@ class Memory(dict):
     def __init__(self, encode: Callable[[list[str]], list]):
         self.encode = encode
 
-    def all(self, pieces: list[str]) -> list:
-        out = list(map(self.get, pieces))
-        if None in out:
-            if len(self) > REMEMBERED:
-                self.clear()
-            new = list({p for p, x in zip(pieces, out, strict=True) if x is None})
-            self.update(zip(new, self.encode(new), strict=True))
-            try:
-                out = [self[p] for p in pieces]
-            except KeyError:  # forgotten just now
-                self.update({p: x for p, x in zip(pieces, out, strict=True) if x is not None})
-                out = [self[p] for p in pieces]
-        return out
+    def learn(self, texts: list[list[str]]) -> None:
+        """Encode the pieces of ``texts`` that are not remembered."""
+        pieces = set().union(*texts)
+        new = list(pieces - self.keys())
+        if len(self) + len(new) > REMEMBERED:
+            self.clear()
+            new = list(pieces)
+        self.update(zip(new, self.encode(new), strict=True))
 
 
 #: A single space between characters that are not white space: no token of a space-prefixed word pattern crosses it.

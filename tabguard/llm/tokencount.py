@@ -15,11 +15,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabguard.llm import wordarrays as W
 from tabguard.llm.pieces import Memory, tokenizer
 
 #: Characters of a chunk and of the first overlap.
@@ -83,16 +83,20 @@ def _memory(path: str) -> Memory:
     return _memories[path]
 
 
-def count(path: str, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-    if len(text) > chunk:
-        return len(long_tokens(tokenizer(path), text, chunk, overlap))
-    return sum(_memory(path).all(text.replace("\n", " ").split(" ")))
+def counts(path: str, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+    memory = _memory(path)
+    pieces = [x.replace("\n", " ").split(" ") if len(x) <= chunk else [] for x in texts]
+    memory.learn(pieces)
+    return [sum(map(memory.__getitem__, own)) if own else len(long_tokens(tokenizer(path), x, chunk, overlap)) for own, x in zip(pieces, texts, strict=True)]
 
 
 def _counted(batches: Iterator[pa.RecordBatch], path: str, chunk: int, overlap: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n = np.fromiter((count(path, x or "", chunk, overlap) for x in (v.as_py() for v in batch.column(batch.num_columns - 1))), np.int64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n)], names=[*batch.schema.names[:-1], "n_tokens"])
+        column = batch.column(batch.num_columns - 1)
+        n: list[int] = []
+        for a, b in W.pieces(W.bytes_of(column)[1]):
+            n += counts(path, column.slice(a, b - a).to_pylist(), chunk, overlap)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], names=[*batch.schema.names[:-1], "n_tokens"])
 
 
 def counted(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:

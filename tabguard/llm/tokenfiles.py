@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tabguard.llm import wordarrays as W
 from tabguard.llm.pieces import BETWEEN, Memory, tokenizer
 from tabguard.llm.shared import folder, local_path, stored
 
@@ -56,9 +57,13 @@ def pack(values: np.ndarray) -> dict[str, np.ndarray]:
     full = full.reshape(count, BLOCK)
     low = full.min(axis=1) if count else np.zeros(0, np.uint32)
     delta = full - low[:, None]
-    nth = (BLOCK * PERCENT) // 100 - 1
-    typical = np.partition(delta, nth, axis=1)[:, nth] if count else np.zeros(0, np.uint32)
-    width = np.where(typical == 0, 0, np.floor(np.log2(np.maximum(typical, 1).astype(np.float64))) + 1).astype(np.uint8)
+    width = np.full(count, int(delta.max()).bit_length() if count else 0, np.uint8)
+    most = BLOCK - (BLOCK * PERCENT) // 100  # values of a block that may be too wide
+    open_ = np.arange(count)
+    while len(open_) and width[open_[0]]:  # one bit less as long as enough values fit; fewer blocks each turn
+        less = width[open_[0]] - 1
+        open_ = open_[np.count_nonzero(delta[open_] >> less, axis=1) <= most]
+        width[open_] = less
     limit = (np.uint64(1) << width.astype(np.uint64)) - np.uint64(1)
     out = delta > limit[:, None]
     rows, places = np.nonzero(out)
@@ -146,40 +151,62 @@ def segments(data: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.nda
 
 # ---- encoding, writing and reading as Spark jobs -----------------------------------------------------------------------
 
-_memories: dict[str, tuple[Memory, Memory]] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def _bytes(t, texts: list[str]) -> list[bytes]:
-    return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+class Encoder:
+    """Ids of texts as little-endian 32-bit integers.
 
-
-def encode(path: str, text: str) -> bytes:
-    """Ids of ``text`` as little-endian 32-bit integers.
-
-    The text is cut at single blanks between other characters; no token crosses such a place, as a blank only ever
-    starts a token there. Each piece is encoded once per worker and remembered. Other white space at a blank makes
-    the remembered value an empty string, a sign to cut that text with care.
+    A text is cut at single blanks between other characters, and before single line ends; no token crosses such a
+    place, as a blank only ever starts a token there and a line end is one. Pieces are remembered; new ones are encoded
+    in one long text of pieces, each behind its blank or line end, and dealt out by the tokens' byte lengths. Other
+    white space at a blank is a sign to cut that text with care.
     """
-    if path not in _memories:
-        t = tokenizer(path)
-
-        def careful(first: str):
-            def run(new: list[str]) -> list:
-                good = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
-                got = dict(zip(good, _bytes(t, [first + p for p in good]), strict=True))
-                return [got.get(p, "") for p in new]
 
-            return run
-
-        _memories[path] = (Memory(careful("")), Memory(careful(" ")))
-    alone, blank = _memories[path]
-    head, *rest = text.split(" ")
-    try:
-        return b"".join([*alone.all([head]), *blank.all(rest)])
-    except TypeError:
-        cut = BETWEEN.split(text)
-        t = tokenizer(path)
-        return b"".join(_bytes(t, [p if i == 0 else " " + p for i, p in enumerate(cut)]))
+    def __init__(self, path: str):
+        self.t = tokenizer(path)
+        special = {i: len(a.content.encode()) for i, a in self.t.get_added_tokens_decoder().items()}
+        # A token of a byte-level vocabulary has a character for each byte.
+        self.length = np.array([special.get(i, len(self.t.id_to_token(i) or "")) for i in range(max([self.t.get_vocab_size() - 1, *special]) + 1)], np.int64)
+        self.memory = Memory(self._new)
+
+    def _new(self, pieces: list[str]) -> list[bytes | str]:
+        good = [p for p in pieces if p and not p[-1].isspace() and not p[p[0] == "\n"].isspace()]
+        got: dict[str, bytes] = {}
+        for i in range(0, len(good), 4096):
+            part = [p if p[0] == "\n" else " " + p for p in good[i : i + 4096]]
+            ids = np.array(self.t.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum(self.length[ids])
+            upto = np.cumsum(np.fromiter((len(p.encode()) for p in part), np.int64, len(part)))
+            at = np.searchsorted(ends, upto) + 1
+            if len(ids) < at[-1] or (ends[at - 1] != upto).any():  # not such a vocabulary: one by one
+                got.update(zip(good[i : i + 4096], self._each(part), strict=True))
+                continue
+            raw, cuts = ids.tobytes(), (4 * at).tolist()
+            got.update(zip(good[i : i + 4096], [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
+        return [got.get(p, "") for p in pieces]
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        pieces = [t.replace("\n", " \n").split(" ") for t in texts]
+        first = self._each([own[0] for own in pieces])
+        rest = [own[1:] for own in pieces]
+        self.memory.learn(rest)
+        out = []
+        for text, head, own in zip(texts, first, rest, strict=True):
+            try:
+                out.append(b"".join([head, *map(self.memory.__getitem__, own)]))
+            except TypeError:
+                out.append(b"".join(self._each([p if i == 0 else " " + p for i, p in enumerate(BETWEEN.split(text))])))
+        return out
+
+
+def encode(path: str, texts: list[str]) -> list[bytes]:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path](texts)
 
 
 def _write(batches: Iterator[pa.RecordBatch], path: str, to: str, end_id: int) -> Iterator[pa.RecordBatch]:
@@ -193,10 +220,11 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, to: str, end_id: int) -
     os.makedirs(to, exist_ok=True)
     with open(own, "wb") as f:
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                doc_ids.append(doc_id)
-                ids.append(encode(path, text.as_py()) + end)
-                waiting += len(ids[-1]) // 4
+            for a, b in W.pieces(W.bytes_of(batch.column(1))[1]):
+                doc_ids += batch.column(0).slice(a, b - a).to_pylist()
+                got = [x + end for x in encode(path, batch.column(1).slice(a, b - a).to_pylist())]
+                ids += got
+                waiting += sum(map(len, got)) // 4
                 if waiting >= SEGMENT:
                     f.write(segment(doc_ids, ids))
                     total, n_docs, waiting, doc_ids, ids = total + waiting, n_docs + len(doc_ids), 0, [], []
@@ -212,6 +240,7 @@ def write(docs: DataFrame, path: str, to: str, doc_id: str = "doc_id", text: str
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     to = local_path(to)
+    os.makedirs(to, exist_ok=True)
     return stored(ordered.mapInArrow(lambda b: _write(b, path, to, end_id), "name string, part int, n_docs long, n_ids long"), "ids-manifest")
 
 

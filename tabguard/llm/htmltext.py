@@ -1,10 +1,10 @@
-"""Main text of web pages: the article by its markup, and host boilerplate by a suffix array.
+"""Main text of web pages: the article by its markup, and host boilerplate by counting runs of tokens.
 
-A page's visible blocks outside of its article (all of them, if it has none) form a token stream. The streams of one
-host are concatenated, their suffixes sorted to a depth of ``LONG`` tokens, and every substring of that length or more
-that stands on ``PAGES`` or more distinct pages is boilerplate. A page with an ``article`` or ``main`` element gives
-that element's text, whole, whatever it shares with others; a page without one gives its blocks without the covered
-runs, so that unique runs stay. Large hosts are dealt into streams of about ``STREAM`` pages, so no task gathers a host.
+A page's visible blocks outside of its article (all of them, if it has none) form a token stream. Every run of ``LONG``
+tokens that stands on ``PAGES`` or more distinct pages of its host is boilerplate, and so is every longer substring
+made of such runs. A page with an ``article`` or ``main`` element gives that element's text, whole, whatever it shares
+with others; a page without one gives its blocks without the covered runs, so that unique runs stay. Runs are 64-bit
+hashes that include the host; all pages of a host count together, and no task gathers a host.
 
 Defined results: null html has no text; blocks inside menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments never count; an element that is never closed ends with its page; rows with equal
@@ -14,6 +14,7 @@ columns are ignored. Pages of any length are read whole.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -23,9 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabguard.llm import wordarrays as W
 from tabguard.llm.shared import stored
+from tabguard.llm.sketch import bits_of
 
-LONG, PAGES, STREAM = 8, 3, 2000
+LONG, PAGES = 8, 3
+#: Runs, and remembered words, that one task holds at once.
+HELD = 1 << 20
 
 # Element names and the words in class, id or role that mark what is not main text.
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "xmp", "iframe"}
@@ -110,80 +115,125 @@ def _host(url: str | None) -> str:
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, texts, others, streams = [], [], [], []
+        hosts, texts, own, streams = [], [], [], []
         for url, page in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), strict=True):
             inside, outside, aside = blocks(page.as_py() or "")
             hosts.append(_host(url.as_py()))
             texts.append(" ".join(inside) if inside else None)
-            others.append(None if inside else outside)
-            streams.append(outside + aside)
-        arrays = [*batch.columns[:-1], pa.array(hosts, pa.string()), pa.array(texts, pa.string()), pa.array(others, pa.list_(pa.string())), pa.array(streams, pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], "host", "main", "others", "stream"])
-
-
-def repeated(tokens: np.ndarray, page: np.ndarray, long: int = LONG, pages: int = PAGES) -> np.ndarray:
-    """True for tokens inside substrings of ``long`` tokens that stand on ``pages`` or more distinct pages.
-
-    tokens: numbers, with a number of its own between pages; page: the page of each token. Suffixes are sorted by
-    their first ``long`` tokens, by doubling.
-    """
-    n = len(tokens)
-    covered = np.zeros(n, bool)
-    if n < long:
-        return covered
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
-    size = 1
-    while size < long:
-        step = min(size, long - size)
-        after = np.full(n, -1, np.int64)
-        after[: n - step] = rank[step:]
-        rank = np.unique(rank * (n + 2) + after + 1, return_inverse=True)[1].astype(np.int64)
-        size += step
-    order = np.lexsort((page, rank))  # the suffix array
-    first = np.append(True, rank[order][1:] != rank[order][:-1])
-    other = first | np.append(True, page[order][1:] != page[order][:-1])
-    group = np.cumsum(first) - 1
-    wide = (np.bincount(group, other) >= pages)[group]
-    starts = order[wide]
-    starts = starts[starts <= n - long]
-    mark = np.zeros(n + 1, np.int64)
-    np.add.at(mark, starts, 1)
-    np.add.at(mark, starts + long, -1)
-    covered = np.cumsum(mark)[:n] > 0
-    return covered
-
-
-def _unique_runs(group: pa.Table) -> pa.Table:
-    """Text of the pages without an article in one stream of a host: their blocks' unique runs."""
-    words, page, kept = [], [], []
-    for k, (stream, others) in enumerate(zip(group.column("stream").to_pylist(), group.column("others").to_pylist(), strict=True)):
-        own = " ".join(others or []).split(" ") if others else []
-        rest = " ".join((stream or [])[len(others or []) :]).split()
-        words += [*own, *rest, f"\n{k}"]
-        page += [k] * (len(own) + len(rest) + 1)
-        kept += [True] * len(own) + [False] * (len(rest) + 1)
-    ids = np.unique(np.array(words, object).astype(str), return_inverse=True)[1]
-    at = np.array(page)
-    keep = np.array(kept, bool) & ~repeated(ids, at)
-    texts: dict[int, list[str]] = {}
-    for i in np.flatnonzero(keep).tolist():
-        texts.setdefault(page[i], []).append(words[i])
-    bare = [k for k, o in enumerate(group.column("others").to_pylist()) if o is not None]
-    rows = group.column("row_no").to_pylist()
-    return pa.table({"row_no": pa.array([rows[k] for k in bare], pa.int64()), "text": pa.array([" ".join(texts.get(k, [])) for k in bare], pa.string())})
-
-
-def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", stream: int = STREAM) -> DataFrame:
+            own.append(None if inside else sum(len(x.split(" ")) for x in outside))
+            streams.append(" ".join(outside + aside))
+        arrays = [*batch.columns[:-1], pa.array(hosts, pa.string()), pa.array(texts, pa.string()), pa.array(own, pa.int32()), pa.array(streams, pa.string())]
+        yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], "host", "main", "own", "stream"])
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+class _Runs:
+    """Hashes of the runs of a page, by position; words are hashed once and remembered."""
+
+    def __init__(self, long: int = LONG) -> None:
+        self.long, self.known = long, {}
+
+    def of(self, host: str, stream: str) -> np.ndarray:
+        tokens = stream.split(" ") if stream else []
+        if len(tokens) < self.long:
+            return np.zeros(0, np.uint64)
+        if len(self.known) > HELD:
+            self.known.clear()
+        known = self.known
+        for t in tokens:
+            if t not in known:
+                known[t] = _hash(t)
+        h = np.fromiter((known.get(t) for t in tokens), np.uint64, len(tokens))
+        return W.mix(W.windows(h, self.long) ^ np.uint64(_hash(host)))
+
+
+def _host_hash(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    yield np.array([_hash(x) for x in batch.column(0).to_pylist()], np.uint64)
+
+
+def _maybe(table, h: np.ndarray) -> np.ndarray:
+    """False for hashes that are certainly not in the table; without a table all may be."""
+    return np.ones(len(h), bool) if table is None else table.has(h)
+
+
+def _counted(batches: Iterator[pa.RecordBatch], bare) -> Iterator[pa.RecordBatch]:
+    """run, n: distinct runs of each page, added up over the pages held, of hosts that may have a page without an article."""
+    runs, has, held, size = _Runs(), bare.value, [], 0
+
+    def out() -> pa.RecordBatch:
+        u, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(W.signed(u)), pa.array(n, pa.int64())], names=["run", "n"])
+
+    for batch in batches:
+        for host, stream in zip(batch.column(0), batch.column(1), strict=True):
+            host = host.as_py()
+            if _maybe(has, np.array([_hash(host)], np.uint64))[0]:
+                held.append(np.unique(runs.of(host, stream.as_py())))
+                size += len(held[-1])
+                if size > HELD:
+                    yield out()
+                    held, size = [], 0
+    if size:
+        yield out()
+
+
+def _likely(batches: Iterator[pa.RecordBatch], often) -> Iterator[pa.RecordBatch]:
+    """run, row_no, starts: the runs of a page's own text that may be boilerplate, with all their positions."""
+    runs, has = _Runs(), often.value
+    rows, keys, starts, size = [], [], [], 0
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(W.signed(np.concatenate(keys))), pa.array(np.concatenate(rows)), pa.array(np.concatenate(starts))], names=["run", "row_no", "start"])
+
+    for batch in batches:
+        for row, host, own, stream in zip(*batch.columns, strict=True):
+            h = runs.of(host.as_py(), stream.as_py())[: own.as_py()]
+            at = np.flatnonzero(_maybe(has, h))
+            if len(at):
+                keys.append(h[at])
+                rows.append(np.full(len(at), row.as_py(), np.int64))
+                starts.append(at.astype(np.int32))
+                size += len(at)
+                if size > HELD:
+                    yield out()
+                    rows, keys, starts, size = [], [], [], 0
+    if size:
+        yield out()
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The own text of each page without the tokens that runs from ``starts`` on cover."""
+    for batch in batches:
+        texts = []
+        for own, stream, starts in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
+            tokens = stream.as_py().split(" ")[: own.as_py()]
+            if starts.is_valid:
+                at = np.asarray(starts.values)
+                mark = np.zeros(len(tokens) + 1, np.int64)
+                np.add.at(mark, at, 1)
+                np.add.at(mark, np.minimum(at + LONG, len(tokens)), -1)
+                tokens = [tokens[i] for i in np.flatnonzero(np.cumsum(mark)[:-1] == 0).tolist()]
+            texts.append(" ".join(tokens))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+
+def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every row."""
+    spark = pages.sparkSession
     source = pages.select(F.monotonically_increasing_id().alias("row_no"), F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"))
-    schema = f"row_no long, page_id {source.schema['page_id'].dataType.simpleString()}, url string, host string, main string, others array<string>, stream array<string>"
-    parsed = stored(source.mapInArrow(_parsed, schema), "html-blocks")
-    dealt = parsed.groupBy("host").agg(F.ceil(F.count("*") / stream).cast("int").alias("streams"))
-    bare = parsed.where("others IS NOT NULL")
-    # Streams are needed only of hosts that have a page without an article.
-    hosts = bare.select("host").distinct().join(dealt, "host")
-    streams = parsed.select("row_no", "host", "others", "stream").join(hosts, "host").withColumn("deal", F.pmod(F.xxhash64("row_no"), "streams"))
-    cut = streams.groupBy("host", "deal").applyInArrow(_unique_runs, "row_no long, text string")
-    whole = parsed.where("others IS NULL").select("page_id", "url", F.col("main").alias("text"))
-    rest = bare.select("row_no", "page_id", "url").join(cut, "row_no", "left").select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
+    kind = source.schema["page_id"].dataType.simpleString()
+    parsed = stored(source.mapInArrow(_parsed, f"row_no long, page_id {kind}, url string, host string, main string, own int, stream string"), "html-blocks")
+    bare = parsed.where("own IS NOT NULL")
+    # Only hosts that have a page without an article are counted, and only likely runs are joined; without the tables all are.
+    hosts = spark.sparkContext.broadcast(bits_of(bare.select("host"), _host_hash, bare.agg(F.approx_count_distinct("host")).first()[0]))
+    counts = parsed.select("host", "stream").mapInArrow(lambda b: _counted(b, hosts), "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
+    often = stored(counts.where(F.col("n") >= PAGES).select("run"), "html-runs")
+    table = spark.sparkContext.broadcast(bits_of(often, lambda b: iter([b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)]), often.count()))
+    likely = bare.where("own > 0").select("row_no", "host", "own", "stream").mapInArrow(lambda b: _likely(b, table), "run long, row_no long, start int")
+    starts = likely.join(often, "run", "left_semi").groupBy("row_no").agg(F.collect_list("start").alias("starts"))
+    whole = parsed.where("own IS NULL").select("page_id", "url", F.col("main").alias("text"))
+    rest = bare.join(starts, "row_no", "left").select("page_id", "url", "own", "stream", "starts").mapInArrow(_cut, f"page_id {kind}, url string, text string")
     return whole.unionByName(rest).withColumn("n_chars", F.length("text").cast("long"))

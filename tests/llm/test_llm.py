@@ -273,6 +273,38 @@ def test_pages(spark):
     assert all(got[10 + i][0]["text"].endswith(f"number{i} here") and "shared" not in got[10 + i][0]["text"] for i in range(5))
 
 
+def test_boilerplate_counts_all_pages_of_a_host(spark):
+    n, share = 6000, "shared words one two three four five six"
+    others = [f"a line of its own ends in {i}" for i in range(n)]
+    # the passage is on 3 of 6,000 pages of one host, and on 2 pages of another
+    rows = [(i, "http://big/x", f"<p>{t}</p>" + (f"<p>{share}</p>" if i in (0, n // 2, n - 1) else "")) for i, t in enumerate(others)]
+    rows += [(n + k, "http://small/x", f"<p>{share}</p><p>Small {k}</p>") for k in range(2)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (1, 7):
+        got = {r["page_id"]: r["text"] for r in htmltext.extracted(frame.repartition(parts)).collect()}
+        assert [got[i] for i in range(n)] == others
+        assert [got[n + k] for k in range(2)] == [f"{share} Small {k}" for k in range(2)]
+
+
+def test_boilerplate_against_brute_force(spark):
+    r = np.random.default_rng(4)
+    pool = [" ".join(f"t{r.integers(40)}" for _ in range(int(r.integers(4, 14)))) for _ in range(25)]
+    pages = [[pool[i] for i in r.integers(0, len(pool), 4)] + [f"own {k} end"] for k in range(40)]
+    article = {k for k in range(40) if k % 5 == 0}
+    html = [("<article>a</article>" if k in article else "") + "".join(f"<p>{x}</p>" for x in p) for k, p in enumerate(pages)]
+    frame = spark.createDataFrame([(k, f"http://h{k % 2}/", h) for k, h in enumerate(html)], "page_id long, url string, html string")
+    words = [" ".join(p).split() for p in pages]
+    on = {}
+    for k, w in enumerate(words):
+        for i in range(len(w) - 7):
+            on.setdefault((k % 2, *w[i : i + 8]), set()).add(k)
+    for row in htmltext.extracted(frame.repartition(3)).collect():
+        k = row["page_id"]
+        w = words[k]
+        gone = {j for i in range(len(w) - 7) if len(on[(k % 2, *w[i : i + 8])]) >= 3 for j in range(i, i + 8)}
+        assert row["text"] == ("a" if k in article else " ".join(x for j, x in enumerate(w) if j not in gone))
+
+
 def test_pipeline_stages_keep_columns(spark, tmp_path):
     import corpus_pipeline as C
 

@@ -7,7 +7,8 @@ with others; a page without one gives its blocks without the covered runs, so th
 hashes that include the host; all pages of a host count together, and no task gathers a host.
 
 Defined results: null html has no text; blocks inside menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments never count; an element that is never closed ends with its page; rows with equal
+scripts, styles and reader comments never count; an element that is never closed ends with its page, but a p, li, dd, dt, td, th or tr
+as HTML has it, at the next one or with its parent; rows with equal
 or null ids are kept apart; a null or odd url has the empty host; an empty table gives an empty result; further
 columns are ignored. Pages of any length are read whole.
 """
@@ -44,12 +45,69 @@ _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"
 _WORD = re.compile(r"[^A-Za-z0-9]+")
 
 
-def _marks(attributes: str) -> set[str]:
-    out: set[str] = set()
+#: Parts of text that no whole-word mark hides, and elements whose end tag may be left out.
+TEXT = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
+OPTIONAL = {"p", "li", "dd", "dt", "td", "th", "tr"}
+#: A start tag that ends an open p.
+_ENDS_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "ul", "li", "dd", "dt"}
+#: Of an element: the group of those that its start tag ends; and what they are looked for in.
+_GROUP = {"p": 0, "li": 1, "dd": 2, "dt": 2, "td": 3, "th": 3, "tr": 4}
+_SPECIAL = {"article", "aside", "blockquote", "body", "button", "center", "details", "dl", "fieldset", "figure", "figcaption", "footer", "form", "header", "html", "main", "menu", "nav", "object", "ol", "pre", "section", "table", "td", "th", "ul"}
+_WALLS = ({"html", "table", "td", "th", "caption", "button", "object"}, _SPECIAL, _SPECIAL, {"table", "tr"}, {"table"})
+_NONE = (-1,) * len(_WALLS)
+
+
+def _marks(attributes: str) -> tuple[set[str], set[str]]:
+    """Whole values of class, id and role, and their pieces between other characters than letters and digits."""
+    whole: set[str] = set()
+    parts: set[str] = set()
     for m in _MARK.finditer(attributes):
-        value = m[1] or m[2] or m[3] or ""
-        out.update(x for x in _WORD.split(value.lower()) if x)
-    return out
+        value = (m[1] or m[2] or m[3] or "").lower()
+        whole.update(value.split())
+        parts.update(x for x in _WORD.split(value) if x)
+    return whole, parts
+
+
+class _Open:
+    """The open elements that are not inline; per element, where the next start tag finds one that it ends."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.at: list[tuple[int, ...]] = []
+        self.count: dict[str, int] = {}
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def push(self, name: str) -> None:
+        n, last, group = len(self.names), self.at[-1] if self.at else _NONE, _GROUP.get(name, -1)
+        self.names.append(name)
+        self.at.append(tuple(n if g == group else -1 if name in wall else k for g, (k, wall) in enumerate(zip(last, _WALLS, strict=True))))
+        self.count[name] = self.count.get(name, 0) + 1
+
+    def before(self, name: str) -> int:
+        """How many stay open when ``name`` starts."""
+        n = len(self.names)
+        if n:
+            if name in _GROUP and (k := self.at[-1][_GROUP[name]]) >= 0:
+                n = k
+            if name in _ENDS_P and (k := self.at[-1][0]) >= 0:
+                n = min(n, k)
+        return n
+
+    def end(self, name: str) -> int:
+        """How many stay open when ``name`` ends: all, if it is not open."""
+        n = len(self.names)
+        if self.count.get(name):
+            n -= 1
+            while self.names[n] != name:
+                n -= 1
+        return n
+
+    def cut(self, n: int) -> None:
+        while len(self.names) > n:
+            self.count[self.names.pop()] -= 1
+            self.at.pop()
 
 
 def blocks(page: str) -> tuple[list[str], list[str], list[str]]:
@@ -57,14 +115,15 @@ def blocks(page: str) -> tuple[list[str], list[str], list[str]]:
     inside, outside, aside = [], [], []
     run: list[str] = []
     depth = 0  # open article or main elements
-    skip, skip_depth = "", 0  # the element that is being left out
-    tails: list[str] = []
+    elements = _Open()
+    skip, skip_depth = "", 0  # the inline element that is being left out
+    skip_at = -1  # the other element that is being left out, by its place among the open ones
 
     def close() -> None:
         text = " ".join("".join(run).split())
         run.clear()
         if text:
-            (aside if skip else inside if depth else outside).append(text)
+            (aside if skip or skip_at >= 0 else inside if depth else outside).append(text)
 
     at, n = 0, len(page)
     while at < n:
@@ -85,27 +144,49 @@ def blocks(page: str) -> tuple[list[str], list[str], list[str]]:
             continue
         if name not in INLINE:
             close()
+            left = elements.end(name) if m[1] else elements.before(name)
+            if left <= skip_at:
+                # Only an element whose end tag may be left out ends with its parent or at the next one.
+                if (m[1] and left == skip_at and elements.names[skip_at] == name) or elements.names[skip_at] in OPTIONAL:
+                    ended = bool(m[1]) and elements.names[skip_at] == name and left == skip_at
+                    elements.cut(left)
+                    skip_at = -1
+                    if ended:
+                        continue
+            else:
+                elements.cut(left)
         if skip:
             if name == skip:
                 skip_depth += -1 if m[1] else 1
                 if not skip_depth:
                     close()
                     skip = ""
+            elif name not in INLINE and name not in VOID and not m[1]:
+                elements.push(name)
             continue
         if m[1]:
-            if name in ("article", "main"):
+            if name in ("article", "main") and skip_at < 0:
                 depth = max(0, depth - 1)
             continue
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID:
+            continue
+        if name not in INLINE and (skip_at >= 0 or not m[3].endswith("/")):
+            elements.push(name)
+        if skip_at >= 0 or m[3].endswith("/"):
             continue
-        marks = _marks(m[3]) if m[3] else set()
-        if name in ASIDE or (marks & MARKED and name not in ("html", "body", "article", "main")):
+        whole, parts = _marks(m[3]) if m[3] else (set(), set())
+        # Inside an article a mark must be a whole word of class, id or role, and never hides a heading or paragraph.
+        marked = name not in TEXT and whole & MARKED if depth else parts & MARKED
+        if name in ASIDE or (marked and name not in ("html", "body", "article", "main")):
             close()
-            skip, skip_depth = name, 1
-        elif name in ("article", "main") or "main" in marks and "role" in m[3].lower():
-            depth += name in ("article", "main")
+            if name in INLINE:
+                skip, skip_depth = name, 1
+            else:
+                skip_at = len(elements) - 1
+        elif name in ("article", "main"):
+            depth += 1
     close()
-    return inside, outside, aside + tails
+    return inside, outside, aside
 
 
 def _host(url: str | None) -> str:

@@ -273,6 +273,28 @@ def test_pages(spark):
     assert all(got[10 + i][0]["text"].endswith(f"number{i} here") and "shared" not in got[10 + i][0]["text"] for i in range(5))
 
 
+def test_article_text_survives_loose_marks():
+    kept = ['<h2 id="search-and-rescue">T</h2>', '<p id="notice-period">T</p>', '<div class="entry-header">T</div>', '<p class="social-history">T</p>', '<p class="ad">T']
+    for x in kept:
+        assert htmltext.blocks(f"<article>{x}<p>body</p></article>")[0] == ["T", "body"]
+    gone = ['<div class="ad">x</div>', '<div class="wide ad">x<div>y</div></div>', '<section id="comments">x</section>', '<div role="search">x</div>', '<nav>x</nav>', '<ul><li class="ad">x<ul><li>y</ul><b>z</b></ul>', '<p>T <span class="ad">x</span></p>', '<div class="ad"><p>x<p>y</div>']
+    for x in gone:
+        assert [t for t in htmltext.blocks(f"<article>{x}<p>body</p></article>")[0] if t != "T"] == ["body"]
+
+
+def test_left_out_end_tags_end_skipped_parts():
+    b = htmltext.blocks
+    assert b('<p class="ad">x<p>body')[1] == ["body"]
+    assert b('<div><p class="ad">x</div>body')[1] == ["body"]
+    assert b('<p class="ad">x<div>body</div>')[1] == ["body"]
+    assert b('<ul><li class="ad">x<li>body</ul>end')[1] == ["body", "end"]
+    assert b('<ul><li class="ad">x<ul><li>y<li>z</ul>w<li>body</ul>')[1] == ["body"]
+    assert b('<article><ul><li class="ad">x</article><article><p>body</article>')[0] == ["body"]
+    assert b('<table><tr><td class="ad">x<td>body<tr class="ad"><td>y<tr><td>end</table>')[1] == ["body", "end"]
+    assert b('<div class="ad">x</p><p>y</div>body')[1] == ["body"]
+    assert b('<div class="ad">x<p>y')[1] == []
+
+
 def test_boilerplate_counts_all_pages_of_a_host(spark):
     n, share = 6000, "shared words one two three four five six"
     others = [f"a line of its own ends in {i}" for i in range(n)]

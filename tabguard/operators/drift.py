@@ -23,6 +23,14 @@ def snapshots(shares: DataFrame, features: list[str], batch: str = "batch") -> D
     return unpivot(shares, features, [batch]).groupBy(batch, "feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sigma"), F.count("*").alias("n"))
 
 
+def merged(parts: DataFrame, batch: str = "batch") -> DataFrame:
+    """Snapshots of parts of the same batch and feature as one: counts add up, sigma from within and between the parts."""
+    mean = F.sum(F.col("n") * F.col("mean")) / F.sum("n")
+    both = parts.join(parts.groupBy(batch, "feature").agg(mean.alias("_mean")), [batch, "feature"])
+    spread = F.sum(F.col("n") * (F.col("sigma") ** 2 + (F.col("mean") - F.col("_mean")) ** 2)) / F.sum("n")
+    return both.groupBy(batch, "feature").agg(F.first("_mean").alias("mean"), F.sqrt(spread).alias("sigma"), F.sum("n").alias("n"))
+
+
 def drift(snaps: DataFrame, batch: str = "batch", step: float = STEP, cumulative: float = CUMULATIVE) -> DataFrame:
     """Per batch but the first: step_drift, cumulative_drift since the first batch, worst_feature, score, alarm."""
     w = Window.partitionBy("feature").orderBy(batch)

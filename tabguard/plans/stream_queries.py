@@ -23,8 +23,8 @@ def as_stream(df, name):
 
 @query(f"WITH RECURSIVE {_TRUST} SELECT client_id, round, round(trust, 6) AS trust, quarantined FROM hist")
 def s01_trust_stream(spark, sf_dir):
-    s = as_stream(sims(spark, sf_dir).select("client_id", F.col("round").cast("long").alias("round"), "sim"), "sims")
-    return rounded(stream.run(stream.trust_stream(s), "trust"), "trust")
+    s = sims(spark, sf_dir).select("client_id", F.col("round").cast("long").alias("round"), "sim")
+    return rounded(stream.run_in_order(s, "round", stream.trust_stream, "trust"), "trust")
 
 
 @query(f"WITH {_DRIFT} SELECT batch, round(s, 6) AS step_drift, round(c, 6) AS cumulative_drift FROM dd")
@@ -36,7 +36,7 @@ def s02_drift_stream(spark, sf_dir):
 @query(f"""WITH {_SM}, h AS (SELECT date_trunc('hour', ingested_at) AS hour, count(*) FILTER (WHERE {_BAD}) AS poison_count, count(*) FILTER (WHERE NOT {_BAD}) AS clean_count FROM sm GROUP BY 1)
 SELECT * FROM h WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ingested_at) - INTERVAL 1 HOUR FROM sm)""")
 def s03_hourly_counts(spark, sf_dir):
-    return stream.run(stream.hourly_counts(as_stream(samples(spark, sf_dir).select("ingested_at", "poison_status"), "samples")), "hourly")
+    return stream.hourly_counts(as_stream(samples(spark, sf_dir).select("ingested_at", "poison_status"), "samples")).where("closed").drop("closed")
 
 
 @query()
@@ -50,7 +50,7 @@ def s04_scored_stream(spark, sf_dir):
 @query()
 def s05_cooldown_stream(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("segment"), F.col("ts").cast("timestamp").cast("double").alias("at"))
-    return stream.run(stream.cooldown_stream(as_stream(e, "decisions"), 3600), "actions").groupBy("segment", "action").agg(F.count("*").alias("n"))
+    return stream.run_in_order(e, "at", lambda s: stream.cooldown_stream(s, 3600), "actions").groupBy("segment", "action").agg(F.count("*").alias("n"))
 
 
 @query("""WITH v AS (SELECT o_orderkey AS id, o_totalprice / 500000 AS s, o_orderkey % 3 = 0 AND o_totalprice / 500000 >= 0.65 AS bad FROM orders)

@@ -6,16 +6,20 @@ the same frames without the trigger. Checkpoints and sinks lie in the cluster's
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tabguard.operators import drift as D
 from tabguard.operators import trust
-from tabguard.sources.tables import scratch
+from tabguard.sources.tables import scratch, stored
+
+#: Rows that arrive together where their order counts.
+RANGE = 1 << 21
 
 
 def read(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -23,20 +27,45 @@ def read(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def _drive(df: DataFrame, to: str, state: str, mode: str = "append") -> None:
+    df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start(to).awaitTermination()
+
+
 def run(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Everything ``df`` gives now, written once and read back."""
     spark = df.sparkSession
     to = scratch(spark, name)
-    query = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", scratch(spark, f"{name}-state")).trigger(availableNow=True).start(to)
-    query.awaitTermination()
+    _drive(df, to, scratch(spark, f"{name}-state"), mode)
     return spark.read.schema(df.schema).parquet(to)
 
 
+def run_in_order(rows: DataFrame, by: str, form: Callable[[DataFrame], DataFrame], name: str, most: int = RANGE) -> DataFrame:
+    """What the streaming ``form`` gives for ``rows`` that arrive in the order of ``by``.
+
+    Ranges of about ``most`` rows arrive one after the other, each as one micro-batch; equal values of ``by`` share a
+    range. A form that sorts its micro-batch thus sees every group's rows in order, whatever files they came from.
+    """
+    spark = rows.sparkSession
+    rows = stored(rows, f"{name}-rows")
+    waiting, source, to, state = (scratch(spark, f"{name}-{x}") for x in ("waiting", "source", "out", "state"))
+    at = F.col(by).cast("double")
+    n = -(-rows.count() // most)
+    bounds = sorted(set(rows.select(at.alias("at")).approxQuantile("at", [k / n for k in range(1, n)], 0.1 / n))) if n > 1 else []
+    number = F.lit(0) if not bounds else F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < at))
+    rows.withColumn("_range", number).write.partitionBy("_range").parquet(waiting)
+    ranges = spark.read.schema(StructType([*rows.schema, StructField("_range", IntegerType())])).parquet(waiting)
+    for k in range(len(bounds) + 1):
+        ranges.where(F.col("_range") == k).drop("_range").write.mode("append").parquet(source)
+        out = form(spark.readStream.schema(rows.schema).parquet(source))
+        _drive(out, to, state)
+    return spark.read.schema(out.schema).parquet(to)
+
+
 # ---- client trust (S1) ---------------------------------------------------------------------------------------------------
 
 
 def trust_stream(sims: DataFrame) -> DataFrame:
-    """client_id, round, trust, quarantined for a stream of (client_id, round, sim): one client's state is four numbers."""
+    """client_id, round, trust, quarantined for a stream of (client_id, round, sim) in the order of rounds: one client's state is three values."""
 
     def update(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, t, q = state.get if state.exists else (0, trust.START, False)
@@ -58,7 +87,7 @@ def trust_stream(sims: DataFrame) -> DataFrame:
 
 
 def cooldown_stream(decisions: DataFrame, seconds: float = 30.0) -> DataFrame:
-    """segment, at, action: quarantine, or cooldown if this segment's last action was less than ``seconds`` ago."""
+    """segment, at, action: quarantine, or cooldown if this segment's last action was less than ``seconds`` ago; in the order of ``at``."""
 
     def update(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
@@ -77,23 +106,31 @@ def cooldown_stream(decisions: DataFrame, seconds: float = 30.0) -> DataFrame:
 # ---- windows, scoring, events (S2, S3, S4, S6) ------------------------------------------------------------------------------
 
 
+def _partials(rows: DataFrame, name: str, part: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``part`` of every micro-batch, in one table; a repeated micro-batch replaces what it wrote."""
+    to = scratch(rows.sparkSession, name)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        part(batch).write.mode("overwrite").parquet(f"{to}/part={number}")
+
+    rows.writeStream.foreachBatch(keep).option("checkpointLocation", scratch(rows.sparkSession, f"{name}-state")).trigger(availableNow=True).start().awaitTermination()
+    return rows.sparkSession.read.parquet(to).drop("part")
+
+
 def hourly_counts(samples: DataFrame, late: str = "1 hour") -> DataFrame:
-    """hour, poison_count, clean_count; rows later than the watermark are left out."""
+    """hour, poison_count, clean_count, closed: all rows count, however late; closed if only rows over ``late`` old could still come."""
     bad = F.col("poison_status").isin("confirmed", "suspected")
-    w = samples.withWatermark("ingested_at", late).groupBy(F.window("ingested_at", "1 hour").alias("w"))
-    return w.agg(F.count_if(bad).alias("poison_count"), F.count_if(~bad).alias("clean_count")).select(F.col("w.start").alias("hour"), "poison_count", "clean_count")
+    count = lambda df: df.groupBy(F.window("ingested_at", "1 hour").alias("w")).agg(F.count_if(bad).alias("poison_count"), F.count_if(~bad).alias("clean_count"), F.max("ingested_at").alias("newest"))
+    parts = _partials(samples, "hourly", count)
+    last = parts.agg((F.max("newest") - F.expr(f"INTERVAL {late}")).alias("_last"))
+    total = parts.groupBy("w").agg(F.sum("poison_count").alias("poison_count"), F.sum("clean_count").alias("clean_count"))
+    return total.join(F.broadcast(last)).select(F.col("w.start").alias("hour"), "poison_count", "clean_count", (F.col("w.end") <= F.col("_last")).alias("closed"))
 
 
 def drift_per_batch(shares: DataFrame, features: list[str], batch: str = "batch") -> DataFrame:
-    """Snapshots of every micro-batch go to a table; drift is taken over all of them at the end."""
-    spark = shares.sparkSession
-    to = scratch(spark, "snapshots")
-
-    def keep(part: DataFrame, number: int) -> None:
-        D.snapshots(part, features, batch).write.mode("overwrite").parquet(f"{to}/part={number}")
-
-    shares.writeStream.foreachBatch(keep).option("checkpointLocation", scratch(spark, "snapshots-state")).trigger(availableNow=True).start().awaitTermination()
-    return D.drift(spark.read.parquet(to).drop("part"), batch)
+    """Snapshots of every micro-batch go to a table; those of one batch are merged, and drift is taken over all at the end."""
+    parts = _partials(shares, "snapshots", lambda df: D.snapshots(df, features, batch))
+    return D.drift(D.merged(parts, batch), batch)
 
 
 def score_against(rows: DataFrame, base: DataFrame, features: list[str], key: str) -> DataFrame:

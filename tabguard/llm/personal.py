@@ -30,6 +30,8 @@ PATTERNS = {
 }
 #: Code points before a match in which its context word is looked for.
 CONTEXT = 64
+#: Where a match could start inside a word of lower-case text.
+START = r"(?<=[^\p{L}\p{N}_-])(?=[a-z0-9_-])|(?<=[_-])(?=[0-9])"
 #: Least score of a believed pattern or instance, least number of distinct seeds of a pattern, and turns.
 CONFIDENT, SEEDS, TURNS = 0.6, 3, 3
 
@@ -50,13 +52,33 @@ def _valid(value: Column, kind: Column) -> Column:
     )
 
 
+def _blanks(text: Column) -> Column:
+    return F.regexp_replace(text, r"[\x09-\x0D]", " ")
+
+
+def _trimmed(word: Column) -> Column:
+    return F.regexp_replace(F.lower(word), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+
+
 def _context(before: Column) -> Column:
     """The last word of the text before a match, in lower case, without punctuation around it; null if there is none."""
-    word = F.element_at(F.split(F.rtrim(F.regexp_replace(before, r"[\x09-\x0D]", " ")), " "), -1)
-    word = F.regexp_replace(F.lower(word), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    word = _trimmed(F.element_at(F.split(F.rtrim(_blanks(before)), " "), -1))
     return F.when(F.length(word) > 0, word)
 
 
+def _occurrences(docs: DataFrame, text: str) -> DataFrame:
+    """pattern, total: how often each word stands where ``_context`` would find it.
+
+    Words are cut as there: between blanks, and where a match could start behind punctuation, as in ``user_id=...``.
+    """
+    chunks = docs.select(F.explode(F.split(F.lower(_blanks(F.coalesce(F.col(text), F.lit("")))), " +")).alias("chunk")).where("chunk <> ''").groupBy("chunk").agg(F.count("*").alias("n"))
+    parts = F.split("chunk", START)
+    last = lambda i: _trimmed(F.right(F.array_join(F.slice(F.col("parts"), F.greatest(F.lit(1), i - CONTEXT + 1), F.least(i, F.lit(CONTEXT))), ""), F.lit(CONTEXT)))
+    heads = F.when(F.size("parts") > 1, F.transform(F.sequence(F.lit(1), F.size("parts") - 1), last)).otherwise(F.array().cast("array<string>"))
+    every = F.array_distinct(F.array_append(heads, _trimmed(F.right("chunk", F.lit(CONTEXT - 1)))))
+    return chunks.select("chunk", "n", parts.alias("parts")).select("n", F.explode(every).alias("pattern")).groupBy("pattern").agg(F.sum("n").alias("total"))
+
+
 def entities(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): numbered input rows, and their base entities and candidates (kind ``id``) with contexts."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -81,10 +103,12 @@ def discovered(docs: DataFrame, spans: DataFrame, text: str = "text", confident:
     free = _free(spans)
     known = spans.where("kind <> 'id' AND pattern IS NOT NULL")
     edges = stored(known.select("pattern", "value", F.lit(1.0).alias("seed")).unionByName(free.where("pattern IS NOT NULL").select("pattern", "value", F.lit(0.0).alias("seed"))).groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "personal-edges")
-    words = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+")).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("total"))
-    enough = edges.groupBy("pattern").agg(F.sum("seed").alias("n_seeds"), F.sum(F.col("n") * F.col("seed")).alias("hits")).where(F.col("n_seeds") >= seeds)
+    words = _occurrences(docs, text)
+    enough = edges.groupBy("pattern").agg(F.sum("seed").alias("n_seeds"), F.sum(F.col("n") * F.col("seed")).alias("hits"), F.sum("n").alias("seen")).where(F.col("n_seeds") >= seeds)
     # A pattern that could not be believed even with every candidate right need not be carried on.
-    patterns = stored(enough.join(words, "pattern").where("hits > 0").select("pattern", "total"), "personal-patterns")
+    # Words next to another match, or longer than the context, may be cut otherwise there; they occur as often as seen.
+    total = F.greatest(F.coalesce("total", F.lit(0)), "seen").alias("total")
+    patterns = stored(enough.join(words, "pattern", "left").where("hits > 0").select("pattern", total), "personal-patterns")
     graph = edges.join(patterns, "pattern")
     score = graph.select("pattern", "value", "seed", "n", "total", F.col("seed").alias("belief"))
     for _ in range(turns):

@@ -117,6 +117,18 @@ def test_identifiers_are_discovered_behind_trusted_words(spark):
     assert got[12]["n_discovered"] == 1 and got[13]["n_discovered"] == 0
 
 
+def test_identifiers_are_discovered_behind_words_with_punctuation(spark):
+    rows = [f"see user_id=10.0.0.{i} then e-mail: a{i}@b.example and id 10.1.0.{i} done" for i in range(12)]
+    rows += ["paper-id of some_id text " * 4] * 10  # these are no occurrences of "id"
+    rows += ["so user_id=ZX-4455-9911 is", "so E-mail: QX-4455-9911 is", "so id KV-4455-9911 is", "so word KV-4455-9912 is"]
+    got = {r["doc_id"]: r["n_discovered"] for r in personal.scan(docs(spark, rows)).collect()}
+    assert [got[22], got[23], got[24], got[25]] == [1, 1, 1, 0]
+    # the same words before other things are occurrences too, and lower their trust
+    rows += ["user_id=none e-mail:none id none"] * 40
+    got = {r["doc_id"]: r["n_discovered"] for r in personal.scan(docs(spark, rows)).collect()}
+    assert [got[22], got[23], got[24], got[25]] == [0, 0, 0, 0]
+
+
 def test_quality_against_python(spark):
     rows = [*[t or "" for t in ODD], "the cat sat " * 40, "line one\nline two\nline one\n\nline one \n", *texts(n=20)]
     got = {r["doc_id"]: r for r in quality.measured(docs(spark, rows).select("doc_id", "text")).collect()}

@@ -21,6 +21,8 @@ from tabguard.llm.shared import stored
 SAMPLE, SEED = 0.01, 7
 SPACES = " \t\n\u000b\f\r"
 SYMBOLS = "#*$%&|<>"
+#: What is long without being unbroken text: addresses, and scripts (with their punctuation) that set no blanks between words.
+UNBROKEN = r"(?:https?|ftp)://[^\x09-\x0D\x20]+|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsBopomofo}\p{IsYi}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}\x{3000}-\x{303F}\x{30A0}-\x{30FF}\x{FF00}-\x{FFEF}]+"
 
 
 def words(text: Column) -> Column:
@@ -39,6 +41,11 @@ def word_chars(text: Column) -> Column:
     return F.length(F.translate(text, SPACES, "")).cast("long")
 
 
+def long_words(text: Column, chars: Column, n: Column) -> Column:
+    """Over 20 characters a word, also without addresses and scripts that set no blanks; the text is read again only then."""
+    return (chars > 20 * n) & (word_chars(F.regexp_replace(text, UNBROKEN, "")) > 20 * n)
+
+
 def n_dup_lines(text: Column) -> Column:
     x = lines(text)
     return (F.size(x) - F.size(F.array_distinct(x))).cast("long")
@@ -83,7 +90,7 @@ def rules(text: Column) -> dict[str, Column]:
         "repeated_windows": 100 * n_repeat_words(w) > 50 * n,
         "symbols": 10 * n_symbols(text) > 2 * word_chars(text),
         "repeated_lines": 2 * n_dup_lines(text) > F.size(lines(text)),
-        "long_words": word_chars(text) > 20 * n,
+        "long_words": long_words(text, word_chars(text), n),
         "shouting": F.size(F.filter(w, lambda x: x.endswith("!!"))) * 2 > n,
     }
 
@@ -120,7 +127,7 @@ def measured(docs: DataFrame, text: str = "text", share: float = SAMPLE, seed: i
         "repeated_windows": 100 * F.col("n_repeat_words") > 50 * F.col("n_words"),
         "symbols": 10 * F.col("n_symbols") > 2 * F.col("word_chars"),
         "repeated_lines": 2 * F.col("n_dup_lines") > F.size(lines(F.col("_text"))),
-        "long_words": F.col("word_chars") > 20 * F.col("n_words"),
+        "long_words": long_words(F.col("_text"), F.col("word_chars"), F.col("n_words")),
         "shouting": F.size(F.filter("_words", lambda x: x.endswith("!!"))) * 2 > F.col("n_words"),
     }
     df = df.withColumn("rejected_by", cascade(ready, order))

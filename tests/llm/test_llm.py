@@ -129,6 +129,16 @@ def test_identifiers_are_discovered_behind_words_with_punctuation(spark):
     assert [got[22], got[23], got[24], got[25]] == [0, 0, 0, 0]
 
 
+def test_clean_texts_without_blanks_are_kept(spark):
+    r = np.random.default_rng(6)
+    text = lambda a, b: "\n".join("".join(map(chr, r.integers(a, b, 40))) for _ in range(60))
+    rows = [text(0x4E00, 0x9FA0), text(0x3041, 0x3097), text(0x0E01, 0x0E2F), "\n".join(f"https://example.org/a/long/path/of/page/{i}" for i in range(60)), text(0x61, 0x7B)]
+    d = docs(spark, rows)
+    got = {x["doc_id"]: x["rejected_by"] for x in quality.measured(d.select("doc_id", "text")).collect()}
+    assert [got[i] for i in range(5)] == [None, None, None, None, "long_words"]
+    assert sorted(x["doc_id"] for x in quality.filtered(d).collect()) == [0, 1, 2, 3]
+
+
 def test_quality_against_python(spark):
     rows = [*[t or "" for t in ODD], "the cat sat " * 40, "line one\nline two\nline one\n\nline one \n", *texts(n=20)]
     got = {r["doc_id"]: r for r in quality.measured(docs(spark, rows).select("doc_id", "text")).collect()}

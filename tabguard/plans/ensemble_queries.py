@@ -56,8 +56,10 @@ _NN = f"nn AS (SELECT a.vec_id AS key, b.vec_id AS other, sqrt({_D2}) AS d, row_
 
 @query()
 def e04_local_outlier_factor(spark, sf_dir):
-    v = vectors(spark, sf_dir)
-    return ensemble.local_outlier_factor(v, v.where("split = 'reference'"), _V, "vec_id", 10)
+    v = table(spark, sf_dir, "embeddings")
+    names = [f"v{i}" for i in range(v.agg(F.max(F.size("embedding"))).first()[0] or 0)]
+    v = v.select("vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(names)])
+    return ensemble.local_outlier_factor(v, v.where("vec_id % 10 < 7"), names, "vec_id", 10)
 
 
 @query(f"WITH {_VSQL}, {_NN} SELECT round(greatest(quantile_cont(d, 0.9), 0.1), 6) AS eps FROM nn WHERE nth = 4")

@@ -158,3 +158,20 @@ def test_streams_do_not_depend_on_micro_batches(spark, tmp_path):
     got = stream.hourly_counts(files(samples, "samples")).collect()
     assert len(got) == 17 and sum(x["poison_count"] for x in got) == 67 and sum(x["clean_count"] for x in got) == 133
     assert sum(x["closed"] for x in got) == 15
+
+
+def test_outlier_factors_read_the_whole_vector(spark, tmp_path):
+    from tabguard.plans.ensemble_queries import e04_local_outlier_factor
+
+    x = np.random.default_rng(9).standard_normal((60, 64))
+    x[7, 40] = 50.0  # an outlier in one late coordinate
+    spark.createDataFrame([(i, list(map(float, r))) for i, r in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["key"]: r["lof"] for r in e04_local_outlier_factor(spark, str(tmp_path)).collect()}
+    ref = [i for i in range(60) if i % 10 < 7]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    near = {i: sorted((j for j in ref if j != i), key=lambda j: d[i, j])[:10] for i in range(60)}
+    kd = {i: d[i, near[i][-1]] for i in ref}
+    reach = {i: np.mean([max(d[i, j], kd[j]) for j in near[i]]) + 1e-10 for i in range(60)}
+    want = {i: np.mean([1 / reach[j] for j in near[i]]) * reach[i] for i in range(60)}
+    assert len(got) == 60 and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+    assert max(got, key=got.get) == 7

@@ -31,15 +31,17 @@ from pyspark.sql import functions as F
 
 from tabguard.llm import wordarrays as W
 from tabguard.llm.components import components
-from tabguard.llm.shared import stored
+from tabguard.llm.shared import dropped, stored
 from tabguard.llm.sketch import Bits, bits_of, counts, slots
 
 SHINGLE = 5
 IS_WORD = W.byte_table(W.SPACE)
 #: Slots of the frequency sketch, as a power of two.
 SKETCH_BITS = 21
-#: Members of an anchor that one task compares at once.
-TOGETHER = 64
+#: Members of an anchor that one task compares at once, and rows of a shingle's list that one join key gets.
+TOGETHER, HOT = 64, 512
+#: Classes that a task remembers so as not to emit them twice; later steps drop what is emitted again.
+MET = 1 << 20
 #: Lists with more members than this are compared by blocks of about BLOCK members.
 LONG_LIST, BLOCK = 48, 512
 
@@ -99,10 +101,12 @@ def _cards(batches: Iterator[pa.RecordBatch], levels: np.ndarray) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(join(n_all)), pa.array(join(d_all)), prefix], names=[*batch.schema.names[:-1], "n", "digest", "prefix"])
 
 
-def _shared_postings(batches: Iterator[pa.RecordBatch], seen: Bits | None) -> Iterator[pa.RecordBatch]:
-    """(h, digest, n, pos) of the prefix shingles whose slot says that others may have them, each class once per task."""
+def _shared_postings(batches: Iterator[pa.RecordBatch], seen: Bits, spread: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(h, spread, digest, n, pos) of the prefix shingles whose slot says that others may have them, each class about once per task."""
     met: set[int] = set()
     for batch in batches:
+        if len(met) > MET:
+            met.clear()
         new = [i for i, d in enumerate(batch.column(0).to_pylist()) if d not in met and not met.add(d)]
         batch = batch.take(pa.array(new, pa.int64()))
         prefix = batch.column(2)
@@ -110,19 +114,22 @@ def _shared_postings(batches: Iterator[pa.RecordBatch], seen: Bits | None) -> It
         h = prefix.flatten().to_numpy(zero_copy_only=False)
         row = np.repeat(np.arange(len(length)), length)
         pos = np.arange(len(h)) - np.repeat(np.cumsum(length) - length, length)
-        keep = seen.has(np.ascontiguousarray(h)) if seen is not None else np.ones(len(h), bool)
+        h = np.ascontiguousarray(h)
+        keep = seen.has(h)
         digest, n = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(digest[row[keep]]), pa.array(n[row[keep]]), pa.array(pos[keep])], names=["h", "digest", "n", "pos"])
+        yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(spread[slots(h[keep], SKETCH_BITS)], pa.int32()), pa.array(digest[row[keep]]), pa.array(n[row[keep]]), pa.array(pos[keep])], names=["h", "spread", "digest", "n", "pos"])
 
 
-def _texts(batches: Iterator[pa.RecordBatch], wanted: Bits | None) -> Iterator[pa.RecordBatch]:
-    """(digest, text) of the documents whose class may be wanted, each class once per task."""
+def _texts(batches: Iterator[pa.RecordBatch], wanted: Bits) -> Iterator[pa.RecordBatch]:
+    """(digest, text) of the documents whose class may be wanted, each class about once per task."""
     met: set[int] = set()
     for batch in batches:
+        if len(met) > MET:
+            met.clear()
         column = batch.column(0)
         for a, b, s, offsets in _sets(column):
             d = _digests(s, offsets)
-            keep = (wanted.has(d) if wanted is not None else True) & (np.diff(offsets) > 0)
+            keep = wanted.has(d) & (np.diff(offsets) > 0)
             some = [i for i in np.flatnonzero(keep).tolist() if d[i] not in met and not met.add(d[i])]
             if some:
                 yield pa.RecordBatch.from_arrays([pa.array(d[some]), column.slice(a, b - a).take(pa.array(some))], names=["digest", "text"])
@@ -164,10 +171,10 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (anchor, member) that link. An anchor's members are dealt to groups of about TOGETHER."""
-    deals = pairs.groupBy("anchor").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("deals"))
-    members = pairs.join(deals, "anchor").select("anchor", F.pmod(F.xxhash64("member"), "deals").cast("int").alias("salt"), F.lit(1).alias("role"), F.col("member").alias("digest"))
-    anchors = deals.select("anchor", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("anchor").alias("digest"))
+    """The pairs (anchor, member, m) that link. An anchor's members are dealt to about m / TOGETHER groups, each with its text."""
+    salt = F.pmod(F.xxhash64("member"), F.ceil(F.col("m") / TOGETHER)).cast("int").alias("salt")
+    members = pairs.select("anchor", salt, F.lit(1).alias("role"), F.col("member").alias("digest"))
+    anchors = members.select("anchor", "salt").distinct().select("anchor", "salt", F.lit(0).alias("role"), F.col("anchor").alias("digest"))
     rows = members.unionByName(anchors).join(texts, "digest").select("anchor", "salt", "role", "digest", "text")
     dealt = rows.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "role")
     return stored(dealt.mapInArrow(_verified, "a long, b long"), "links")
@@ -244,9 +251,20 @@ def _may_link(x: str, y: str) -> Column:
 
 
 def _unique_pairs(pairs: DataFrame) -> DataFrame:
-    """Each unordered pair once, with one of its anchors."""
-    once = pairs.groupBy(F.least("anchor", "member").alias("x"), F.greatest("anchor", "member").alias("y")).agg(F.max("anchor").alias("anchor"))
-    return once.select("anchor", F.when(F.col("anchor") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("member"))
+    """Each unordered pair once, with one of its anchors and the largest list it was found in."""
+    once = pairs.groupBy(F.least("anchor", "member").alias("x"), F.greatest("anchor", "member").alias("y")).agg(F.max("anchor").alias("anchor"), F.max("m").alias("m"))
+    return once.select("anchor", F.when(F.col("anchor") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("member"), "m")
+
+
+def _spread(sketch: np.ndarray) -> np.ndarray:
+    """Join keys that a list's rows are dealt to, by the sketch's count above what a slot has on average."""
+    return (1 + np.maximum(0.0, sketch - 2 * sketch.mean()) / HOT).clip(max=1 << 20).astype(np.int32)
+
+
+def _with_lists(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """``rows`` with what ``lists`` says of their shingle; a hot list's rows are dealt to ``spread`` keys, its one row copied to each."""
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("digest"), F.col("spread")).cast("int"))
+    return dealt.join(lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("spread") - 1))).drop("spread"), ["h", "salt"]).drop("salt")
 
 
 def classes(docs: DataFrame, keep: list[str], text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -256,46 +274,56 @@ def classes(docs: DataFrame, keep: list[str], text: str = "text") -> tuple[DataF
     only = source.select("_text")
     sketch = counts(only, lambda batch: (s for _, _, s, _ in _sets(batch.column(0))), SKETCH_BITS)
     levels = spark.sparkContext.broadcast(np.floor(4 * np.log2(1.0 + sketch)).astype(np.uint8))
+    spread = spark.sparkContext.broadcast(_spread(sketch))
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1])
     cards = stored(source.mapInArrow(lambda b: _cards(b, levels.value), head + "n long, digest long, prefix array<long>"), "cards")
 
-    # Shingles that two or more rows have in their prefixes; a bit table of fixed size keeps most others at home.
+    # Shingles that two or more rows have in their prefixes; a bit table of bounded size keeps most others at home.
     common = stored(cards.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h"), "common-shingles")
     bits = spark.sparkContext.broadcast(bits_of(common, _column, common.count()))
-    postings = cards.select("digest", "n", "prefix").mapInArrow(lambda b: _shared_postings(b, bits.value), "h long, digest long, n long, pos long")
-    lists = postings.groupBy("h").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("h")
-    listed = stored(postings.join(lists, "h").dropDuplicates(["h", "digest"]), "postings")
+    dropped(common)
+    postings = stored(cards.select("digest", "n", "prefix").mapInArrow(lambda b: _shared_postings(b, bits.value, spread.value), "h long, spread int, digest long, n long, pos long"), "postings")
+    lists = postings.groupBy("h").agg(F.min("digest").alias("a"), F.max("digest").alias("b"), F.first("spread").alias("spread")).where("a <> b").select("h", "spread")
+    listed = stored(_with_lists(postings, lists).dropDuplicates(["h", "digest"]), "listed-postings")
+    dropped(postings)
     # before: shingles in front of this one that others have. A row goes if even all of those and all behind would not do.
-    nth = listed.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("own"), F.first("n").alias("n"))
-    ranked = nth.select("digest", "n", F.size("own").alias("k"), F.posexplode("own").alias("before", "p")).select("p.h", "digest", "n", "p.pos", F.col("before").cast("long").alias("before"), (F.col("k") + F.floor(4 * F.col("n") / 5.0 + 0.8).cast("long") - 1).alias("others_have"))
+    nth = listed.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("pos", "h", "spread"))).alias("own"), F.first("n").alias("n"))
+    ranked = nth.select("digest", "n", F.size("own").alias("k"), F.posexplode("own").alias("before", "p")).select("p.h", "p.spread", "digest", "n", "p.pos", F.col("before").cast("long").alias("before"), (F.col("k") + F.floor(4 * F.col("n") / 5.0 + 0.8).cast("long") - 1).alias("others_have"))
     ranked = stored(ranked.where("5 * (before + n - pos) >= 4 * n"), "ranked-postings")
+    dropped(listed)
 
-    centre = ranked.groupBy("h").agg(F.max(F.struct((F.col("others_have") / F.col("n")).alias("share"), "digest", "n", "pos", "before")).alias("y"), F.count("*").alias("m")).where("m > 1")
-    centred = stored(ranked.select("h", F.struct("digest", "n", "pos", "before").alias("x")).join(centre, "h"), "centred-postings")
+    centre = ranked.groupBy("h").agg(F.max(F.struct((F.col("others_have") / F.col("n")).alias("share"), "digest", "n", "pos", "before")).alias("y"), F.count("*").alias("m"), F.first("spread").alias("spread")).where("m > 1")
+    centred = stored(_with_lists(ranked.select("h", "spread", "digest", F.struct("digest", "n", "pos", "before").alias("x")), centre).drop("digest"), "centred-postings")
+    dropped(ranked)
     stars = centred.where((F.col("x.digest") != F.col("y.digest")) & _may_link("x", "y"))
-    stars = stored(_unique_pairs(stars.select(F.col("y.digest").alias("anchor"), F.col("x.digest").alias("member"))), "star-pairs")
-    links = _verify(stars, _fetched(only, _ends(stars)))  # not stored: it comes out dealt by digest, as the join needs it
+    stars = stored(_unique_pairs(stars.select(F.col("y.digest").alias("anchor"), F.col("x.digest").alias("member"), "m")), "star-pairs")
+    links = _verify(stars, _fetched(only, _ends(stars)))  # the texts are not stored: they come out dealt by digest, as the join needs them
 
     roots = components(links).select(F.col("node").alias("digest"), "root")
     # In a list of two, the centre has met the other one.
-    more_than_two = centred.where("m > 2").select("h", "x.*", F.col("y.digest").alias("centre"))
+    more_than_two = centred.where("m > 2").select("h", "spread", "x.*", F.col("y.digest").alias("centre"))
     rooted = stored(more_than_two.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest")), "rooted-postings")
+    dropped(centred)
     # A list can still hold a link between components if it has two of them.
-    open_lists = rooted.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("m")).where("a <> b").select("h", "m")
-    rest = stored(rooted.join(open_lists, "h"), "open-postings")
+    open_lists = rooted.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("m"), F.first("spread").alias("spread")).where("a <> b").select("h", "m", "spread")
+    rest = stored(_with_lists(rooted, open_lists), "open-postings")
+    dropped(rooted)
     row = F.struct("digest", "n", "pos", "before", "root")
     short = rest.where(F.col("m") <= LONG_LIST)
-    x, y = short.select("h", row.alias("x")), short.select("h", row.alias("y"))
+    x, y = short.select("h", row.alias("x"), "m"), short.select("h", row.alias("y"))
     across = x.join(y, "h").where((F.col("x.digest") < F.col("y.digest")) & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y"))
-    across = _unique_pairs(across.select(F.col("x.digest").alias("anchor"), F.col("y.digest").alias("member")))
+    across = _unique_pairs(across.select(F.col("x.digest").alias("anchor"), F.col("y.digest").alias("member"), "m"))
     done = stars.select(F.least("anchor", "member").alias("p"), F.greatest("anchor", "member").alias("q"))
     fresh = across.join(done, (F.least("anchor", "member") == F.col("p")) & (F.greatest("anchor", "member") == F.col("q")), "left_anti")
     fresh = stored(fresh, "cross-pairs")
     # Long lists around one centre have almost the same members: they are united and compared block by block.
     long = stored(rest.where(F.col("m") > LONG_LIST).groupBy("centre", "digest").agg(F.first("root").alias("root"), F.first("n").alias("n")), "long-lists")
+    dropped(rest, stars)
     texts = stored(_fetched(only, _ends(fresh).unionByName(long.select("digest"))), "class-texts")
-    more = _verify(fresh, texts).unionByName(_by_blocks(long, texts))
-    final = components(links.unionByName(more)).select(F.col("node").alias("digest"), "root")
+    one, more = _verify(fresh, texts), _by_blocks(long, texts)
+    dropped(texts, fresh, long)
+    final = components(links.unionByName(one).unionByName(more)).select(F.col("node").alias("digest"), "root")
+    dropped(links, one, more)
     return cards.select(*keep, "n", "digest"), final
 
 
@@ -311,6 +339,7 @@ def _fetched(docs: DataFrame, digests: DataFrame) -> DataFrame:
     """(digest, text) of the classes in ``digests``, and of a few others that share their slots in a bit table."""
     need = stored(digests.distinct(), "needed-classes")
     want = docs.sparkSession.sparkContext.broadcast(bits_of(need, _column, need.count()))
+    dropped(need)
     return docs.mapInArrow(lambda b: _texts(b, want.value), "digest long, text string").dropDuplicates(["digest"])
 
 
@@ -334,9 +363,10 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Of equal ids the first row stays. Rows without words all stay.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    cards, roots = classes(numbered.select("_row", F.col(doc_id).alias("_id"), F.col(text).alias("_t")), ["_row", "_id"], "_t")
+    row = next(name for k in range(len(docs.columns) + 1) if (name := f"_row{k}") not in docs.columns)
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    cards, roots = classes(numbered.select(F.col(row).alias("_row"), F.col(doc_id).alias("_id"), F.col(text).alias("_t")), ["_row", "_id"], "_t")
     words = _rooted(cards.where("n > 0"), roots)
     first = words.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("null"), "_id", "_row")).alias("m")).select("m._row")
     stay = first.unionByName(cards.where("n = 0").select("_row"))
-    return numbered.join(stay, "_row", "left_semi").drop("_row")
+    return numbered.join(stay.withColumnRenamed("_row", row), row, "left_semi").drop(row)

@@ -8,24 +8,48 @@ from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Shuffle files of a finished write are removed at once: its rows are in the shared folder.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 _own: str | None = None
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; only where that is unset (tests), below a temporary folder."""
+    """A new path below ``spark.checkpoint.dir``, the folder that driver and executors share.
+
+    Where that is unset, a local master gets a temporary folder, and a cluster an error.
+    """
     global _own
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        _own = _own or tempfile.mkdtemp(prefix="spark-shared-")
-        base = _own
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _own = _own or tempfile.mkdtemp(prefix="spark-shared-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: short lineage, and safe when executors are lost."""
-    path = folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = folder(spark, name)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes stored tables that nothing will read again: what was made from them is stored itself."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def local_path(path: str) -> str:

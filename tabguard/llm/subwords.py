@@ -7,8 +7,10 @@ chunk to its start, each in proportion to the weight of what leads up to it. Dra
 chunk, step), so a row's segmentation is the same in every run, on every partitioning.
 
 A text is cut into chunks where no piece of the vocabulary can cross: before each blank that follows another
-character, and around characters that no piece holds, which are written as their UTF-8 bytes. A chunk's filter is
-computed once per worker and remembered; all chunks of many rows are sampled at once.
+character, and around characters that no piece holds, which are written as their UTF-8 bytes. A word (a stretch that
+starts at such a blank or a line end) is cut into chunks once per worker, and a chunk's filter is computed once per
+worker; all chunks of many rows are sampled at once. Chunks of up to ``PLAIN`` characters that pieces cover are
+filtered many at a time, the others one by one; both ways have the same edges with the same shares.
 
 Decoding joins the pieces, turns byte pieces into bytes, and drops the leading blank that encoding adds: the exact
 text comes back. The sign that stands for a blank inside the vocabulary is itself written as bytes where a text has it.
@@ -20,9 +22,9 @@ texts get equal pieces, a null key counts as 0; an empty table gives an empty re
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabguard.llm import pieces as P
 from tabguard.llm import wordarrays as W
 
 BLANK = "▁"
 #: Power to which piece probabilities are raised before sampling: 0 draws all segmentations alike, large ones the best.
 SHARPNESS, SEED = 1.0, 17
-#: Chunks whose filters one worker remembers, and characters of text sampled at once.
-REMEMBERED, TOGETHER = 350_000, 1 << 19
+#: Chunks whose filters and words whose chunks one worker remembers, bytes of text sampled at once, and the longest chunk
+#: that is filtered together with others.
+REMEMBERED, WORDS, TOGETHER, PLAIN = 800_000, 2_000_000, 1 << 19, 64
 #: Weight added to every piece's count.
 LEAST = 0.1
 
@@ -76,6 +80,8 @@ class Vocabulary:
         if self.chunk is None:
             raise ValueError("pieces of this vocabulary cross blanks")
         self.bytes_of = [bytes([int(p[3:5], 16)]) if self.library.is_byte(i) else (b"" if self.library.is_control(i) or self.library.is_unknown(i) else p.replace(BLANK, " ").encode()) for i, p in enumerate(self.pieces)]
+        self.spelled = P.Lists(np.uint8)  # the bytes of each piece
+        self.spelled.put(np.array([len(x) for x in self.bytes_of]), np.frombuffer(b"".join(self.bytes_of), np.uint8))
         self.size = n
 
     @classmethod
@@ -94,31 +100,20 @@ _CHUNKS = [re.compile(f"\n|{BLANK}*[^\\W{_NUMBERS}]+|{BLANK}*(?:[^\\w{BLANK}\n]|
 _OWN = ""
 
 
-def chunks(text: str, cut: re.Pattern) -> list[str]:
+def chunks(text: str, cut: re.Pattern, before: str = " ") -> list[str]:
     if BLANK in text or _OWN in text:
         out: list[str] = []
-        for part in re.split(f"([{BLANK}{_OWN}])", " " + text):
+        for part in re.split(f"([{BLANK}{_OWN}])", before + text):
             out += ["\x00" + part] if part in (BLANK, _OWN) and part else cut.findall(part.replace(" ", BLANK))
         return out
-    return cut.findall((" " + text).replace(" ", BLANK))
+    return cut.findall((before + text).replace(" ", BLANK))
 
 
-class _Grown:
-    """A numpy array that grows at its end."""
-
-    def __init__(self, kind):
-        self.a, self.n = np.empty(1024, kind), 0
-
-    def put(self, x) -> None:
-        x = np.asarray(x)
-        if self.n + len(x) > len(self.a):
-            self.a = np.concatenate([self.a[: self.n], np.empty(max(len(x), self.n // 2), self.a.dtype)])
-        self.a[self.n : self.n + len(x)] = x
-        self.n += len(x)
-
-    @property
-    def all(self) -> np.ndarray:
-        return self.a[: self.n]
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, row offsets) of stretches that no chunk crosses: from a row's start, a line end, or a blank behind another character."""
+    blank = data == 32
+    after = np.append(False, blank[:-1]) if len(data) else blank
+    return P.split(offsets, (blank & ~after) | (data == 10))
 
 
 class Sampler:
@@ -140,14 +135,23 @@ class Sampler:
 
     def start(self) -> None:
         self.number: dict[str, int] = {}
-        self.last = _Grown(np.int32)  # the last node of each chunk
-        self.edge_of = _Grown(np.int32)  # the end of each node's edges
-        self.share = _Grown(np.float32)  # cumulative over a node's edges
-        self.piece = _Grown(np.uint16 if self.v.size <= 1 << 16 else np.int32)
-        self.step = _Grown(np.uint8)  # nodes back to the piece's start
+        self.chunks_of = P.Lists(np.int32)  # of each word
+        self.words = P.Memory(self._learn, self.chunks_of.start_anew, WORDS)
+        self.last = P.Grown(np.int32)  # the last node of each chunk
+        self.edge_of = P.Grown(np.int32)  # the end of each node's edges
+        self.share = P.Grown(np.float32)  # cumulative over a node's edges
+        self.piece = P.Grown(np.uint16 if self.v.size <= 1 << 16 else np.int32)
+        self.step = P.Grown(np.uint8 if self.v.longest < 256 else np.int32)  # nodes back to the piece's start
+
+    def _learn(self, new: list[str]) -> None:
+        """Chunks of new words, their filters computed where they are new too. A word at a row's start has its blank already."""
+        cut = [chunks(w, self.v.chunk, "") for w in new]
+        self.add(list(dict.fromkeys(c for own in cut for c in own if c not in self.number)))
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        self.chunks_of.put(sizes, np.fromiter((self.number[c] for own in cut for c in own), np.int32, int(sizes.sum())))
 
     def add(self, new: list[str]) -> None:
-        plain = [c for c in new if len(c) <= 64 and self.v.single.issuperset(c)]
+        plain = [c for c in new if len(c) <= PLAIN and self.v.single.issuperset(c)]
         self._filter(plain)
         if len(plain) < len(new):
             done = set(plain)
@@ -184,7 +188,8 @@ class Sampler:
             found.append((some[ok], np.full(int(ok.sum()), length), ids[k[ok]]))
         first, length, piece = (np.concatenate(x) for x in zip(*found, strict=True))
         end_node, end_at = begin_node[first] + length, at[first] + length
-        order = np.argsort(end_at * (len(code) + len(new)) + end_node)
+        # by place, node and length: the order within a node does not depend on the other chunks
+        order = np.argsort((end_at * (len(code) + len(new)) + end_node) * (v.longest + 1) + length)
         first, piece, end_node, end_at = first[order], piece[order], end_node[order], end_at[order]
         start_node = begin_node[first]
         alpha = np.zeros(len(code) + len(new))
@@ -203,18 +208,23 @@ class Sampler:
             alpha[end_node[heads[g0:g1]]] = top + np.log(np.add.reduceat(np.exp(w - np.repeat(top, np.diff(np.append(own, hi - lo)))), own))
             weight[lo:hi] = w
         p = np.exp(weight - alpha[end_node])
-        order = np.argsort(end_node + 0.5 * (1 - p))  # by node, the likeliest first
-        p, node = np.cumsum(p[order]), end_node[order]
+        length = end_node - start_node
+        order = np.lexsort((length, -p, end_node))  # by node, the likeliest first
+        p, node = p[order], end_node[order]
         many = np.bincount(node, minlength=len(alpha))
         upto = np.cumsum(many)
-        share = p - np.concatenate([[0.0], p])[(upto - many)[node]]
+        rank = np.arange(len(p)) - (upto - many)[node]
+        share = p.copy()
+        for k in range(1, int(many.max())):  # added up node by node: the same in every batch
+            at = np.flatnonzero(rank == k)
+            share[at] += share[at - 1]
         nodes, edges = self.edge_of.n, self.share.n
         self.number.update(zip(new, range(self.last.n, self.last.n + len(new)), strict=True))
         self.last.put(ends + np.arange(len(new)) + nodes)
         self.edge_of.put(upto + edges)
         self.share.put(share)
         self.piece.put(piece[order])
-        self.step.put((end_node - start_node)[order])
+        self.step.put(length[order])
 
     def _filter_one(self, chunk: str) -> None:
         """The same for one chunk of any length, with characters that no piece holds as bytes."""
@@ -259,20 +269,19 @@ class Sampler:
         self.piece.put(piece)
         self.step.put(step)
 
-    def sample(self, texts: list[str | None], keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, offsets, log probability of the pieces) of the texts."""
+    def sample(self, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, offsets, log probability of the pieces) of rows of text, each given with a blank before it if not empty."""
         if len(self.number) > REMEMBERED:
             self.start()
-        cut = [chunks(t, self.v.chunk) if t else [] for t in texts]
-        size = np.fromiter(map(len, cut), np.int64, len(cut))
-        every = [c for parts in cut for c in parts]
-        numbers = list(map(self.number.get, every))
-        if None in numbers:
-            self.add(list({c for c, n in zip(every, numbers, strict=True) if n is None}))
-            numbers = list(map(self.number.get, every))
-        which = np.array(numbers, np.int64)
+        self.words.room()
+        n_rows = len(offsets) - 1
+        starts, ends, rows = words(data, offsets)
+        numbers = self.words.numbers(data, starts, ends)
+        which, upto = self.chunks_of.joined(numbers)
+        at_row = upto[rows]
+        size = np.diff(at_row)
         edge_of, share, piece, step = self.edge_of.all, self.share.all, self.piece.all, self.step.all
-        row = np.repeat(np.arange(len(texts)), size)
+        row = np.repeat(np.arange(n_rows), size)
         nth = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
         draw = W.mix(W.mix(np.ascontiguousarray(keys, np.int64).view(np.uint64)[row] ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) + nth.astype(np.uint64))
         chunk_at = np.arange(len(which))
@@ -289,11 +298,10 @@ class Sampler:
             got_piece.append(piece[edge])
             got_chunk.append(chunk_at)
             node = node - step[edge]
-            go = np.flatnonzero(edge_of[node] > edge_of[np.maximum(node, 1) - 1]) if len(node) else node
-            go = go[node[go] > 0]
+            go = np.flatnonzero((edge_of[node] > edge_of[np.maximum(node, 1) - 1]) & (node > 0))
             node, draw, chunk_at = node[go], draw[go], chunk_at[go]
         if not got_piece:
-            return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64), np.zeros(len(texts))
+            return np.zeros(0, np.int64), np.zeros(n_rows + 1, np.int64), np.zeros(n_rows)
         many = np.zeros(len(which), np.int64)
         for c in got_chunk:
             many[c] += 1
@@ -301,9 +309,9 @@ class Sampler:
         ids = np.empty(int(at[-1]), np.int64)
         for k, (p, c) in enumerate(zip(got_piece, got_chunk, strict=True)):
             ids[at[c] - 1 - k] = p
-        ends = np.concatenate([[0], at])[np.concatenate([[0], np.cumsum(size)])]
-        of_row = np.repeat(np.arange(len(texts)), np.diff(ends))
-        return ids, ends, np.bincount(of_row, self.log_p[ids], len(texts))  # summed row by row: the same in any batch
+        ends = np.concatenate([[0], at])[at_row]
+        of_row = np.repeat(np.arange(n_rows), np.diff(ends))
+        return ids, ends, np.bincount(of_row, self.log_p[ids], n_rows)  # summed row by row: the same in any batch
 
 
 def decode(path: str, ids) -> str:
@@ -315,27 +323,66 @@ def decode(path: str, ids) -> str:
 # ---- Spark -----------------------------------------------------------------------------------------------------------
 
 
-def _piece_counts(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """How often the library's own segmentation has each piece: every distinct chunk is encoded once per task."""
-    v = Vocabulary.of(path)
-    total = np.zeros(v.size, np.int64)
-    met: Counter = Counter()
-
-    def settle() -> None:
-        for i in range(0, len(texts := list(met)), 50_000):
-            part = texts[i : i + 50_000]
-            enc = v.library.encode(["\n" if c == "\n" else c.replace(BLANK, " ")[1:] if c[0] == BLANK else c for c in part], num_threads=1)
-            n = np.fromiter(map(len, enc), np.int64, len(part))
-            flat = np.fromiter((x for e in enc for x in e), np.int64, int(n.sum()))
-            total[:] += np.bincount(flat, np.repeat(np.fromiter((met[c] for c in part), np.float64, len(part)), n), v.size).astype(np.int64)
-        met.clear()
+def led(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and row offsets of a text column, with the blank that encoding adds before every row that is not empty."""
+    data, offsets = W.bytes_of(column)
+    some = np.diff(offsets) > 0
+    return np.insert(data, offsets[:-1][some], 32), offsets + np.concatenate([[0], np.cumsum(some)])
+
+
+class _Counter:
+    """A worker's memory of words and their pieces in the library's own segmentation."""
 
+    _kept: dict[str, _Counter] = {}
+
+    def __init__(self, path: str):
+        self.v = Vocabulary.of(path)
+        self.pieces_of = P.Lists(np.uint16 if self.v.size <= 1 << 16 else np.int32)
+        self.words = P.Memory(self._learn, self.pieces_of.start_anew, WORDS)
+
+    @classmethod
+    def of(cls, path: str) -> _Counter:
+        if path not in cls._kept:
+            cls._kept[path] = cls(path)
+        return cls._kept[path]
+
+    def _learn(self, new: list[str]) -> None:
+        """No piece crosses a word's ends, so words are encoded alone; odd ones chunk by chunk."""
+        odd = {k: chunks(w, self.v.chunk, "") for k, w in enumerate(new) if w[0] == "\n" or BLANK in w or _OWN in w or "  " in w or w[-1] == " "}
+        parts = list({c for own in odd.values() for c in own})
+        plain = ["" if k in odd else w[1:] if w[0] == " " else w for k, w in enumerate(new)]
+        own = self.v.library.encode([*plain, *[c.replace(BLANK, " ").removeprefix(" ") for c in parts]], num_threads=1)
+        of = {c: self._of_chunk(c, ids) for c, ids in zip(parts, own[len(new) :], strict=True)}
+        for k, cut in odd.items():
+            own[k] = [i for c in cut for i in of[c]]
+        n = np.fromiter(map(len, own[: len(new)]), np.int64, len(new))
+        self.pieces_of.put(n, np.fromiter(itertools.chain.from_iterable(own[: len(new)]), np.int64, int(n.sum())))
+
+    def _of_chunk(self, chunk: str, ids: list[int]) -> list[int]:
+        if chunk[0] == "\x00" and chunk[1:] in (BLANK, _OWN):
+            return [int(self.v.byte_ids[b]) for b in chunk[1:].encode()]
+        return [self.v.ids[chunk]] if chunk in self.v.ids else ids
+
+    def counts(self, column: pa.Array) -> np.ndarray:
+        total = np.zeros(self.v.size, np.int64)
+        data, offsets = led(column)
+        for a, b in W.pieces(offsets):
+            self.words.room()
+            own = data[offsets[a] : offsets[b]]
+            starts, ends, _ = words(own, offsets[a : b + 1] - offsets[a])
+            n = np.bincount(self.words.numbers(own, starts, ends))  # each word's pieces are added up once
+            some = np.flatnonzero(n)
+            ids, upto = self.pieces_of.joined(some)
+            total += np.bincount(ids, np.repeat(n[some], np.diff(upto)), self.v.size).astype(np.int64)
+        return total
+
+
+def _piece_counts(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """How often the library's own segmentation has each piece."""
+    counter = _Counter.of(path)
+    total = np.zeros(counter.v.size, np.int64)
     for batch in batches:
-        for t in batch.column(0):
-            met.update(chunks(t.as_py(), v.chunk) if t.is_valid and t.as_py() else [])
-            if len(met) > REMEMBERED:
-                settle()
-    settle()
+        total += counter.counts(batch.column(0))
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], names=["piece", "n"])
 
@@ -355,15 +402,18 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, log_p: np.ndarray, sh
     v = sampler.v
     for batch in batches:
         keys = np.asarray(batch.column(batch.num_columns - 2).fill_null(0))
-        column = batch.column(batch.num_columns - 1)
-        _, offsets = W.bytes_of(column)
+        data, offsets = led(batch.column(batch.num_columns - 1))
         for a, b in W.pieces(offsets, TOGETHER):
-            texts = column.slice(a, b - a).to_pylist()
-            ids, ends, log_ps = sampler.sample(texts, keys[a:b], seed)
+            own, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            ids, ends, log_ps = sampler.sample(own, at, keys[a:b], seed)
             kept = [x.slice(a, b - a) for x in batch.columns[:-2]]
             if digest:
                 small = ids.astype("<u4")
-                same = [t is None or b"".join(map(v.bytes_of.__getitem__, ids[i0:i1].tolist()))[1:].decode("utf-8", "surrogatepass") == t for t, i0, i1 in zip(texts, ends, ends[1:], strict=False)]
+                back, to = v.spelled.joined(ids)
+                if len(back) == len(own) and (back == own).all() and (to[ends] == at).all():
+                    same = [True] * (b - a)
+                else:
+                    same = [back[i0:i1].tobytes() == own[j0:j1].tobytes() for i0, i1, j0, j1 in zip(to[ends], to[ends][1:], at, at[1:], strict=False)]
                 crc = [zlib.crc32(small[i0:i1]) for i0, i1 in zip(ends, ends[1:], strict=False)]
                 more = [pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64()), pa.array(log_ps), pa.array(same)]
                 names = ["n_pieces", "ids_crc32", "log_probability", "lossless"]

@@ -18,7 +18,9 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)[_LOWER]
+#: The value of each byte, and the same with letters A-Z as lower-case ones.
+EXACT = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+VALUES = EXACT[_LOWER]
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
@@ -85,6 +87,11 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[n
     after = np.zeros(n, bool)
     after[:-1] = inside[1:]
     ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
+    return starts, ends, hashes_of(data, starts, ends), np.searchsorted(starts, offsets)
+
+
+def hashes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = VALUES) -> np.ndarray:
+    """Hashes of the stretches [start, end) of ``data``, which follow one another."""
     hashes = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -92,11 +99,11 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[n
         lo, hi = starts[i], ends[j - 1]
         power, inverse = _powers_to(int(hi - lo) + 1)
         total = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(VALUES[data[lo:hi]] * power[: hi - lo], out=total[1:])
+        np.cumsum(values[data[lo:hi]] * power[: hi - lo], out=total[1:])
         s, e = starts[i:j] - lo, ends[i:j] - lo
         hashes[i:j] = mix((total[e] - total[s]) * inverse[s] ^ ((e - s).astype(np.uint64) << np.uint64(48)))
         i = j
-    return starts, ends, hashes, np.searchsorted(starts, offsets)
+    return hashes
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:

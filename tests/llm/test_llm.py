@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -240,8 +241,11 @@ def test_token_counts_and_files_against_the_library(spark):
 def test_blocks_round_trip(values):
     v = np.array(values, np.uint32)
     assert (tokenfiles.unpack(tokenfiles.pack(v), len(v)) == v).all()
-    (ids, lengths, back), *_ = [*tokenfiles.segments(tokenfiles.segment([4, None], [v.astype("<u4").tobytes(), b""])), ([4, None], None, v)]
-    assert ids == [4, None] and (back == v).all()
+    data = tokenfiles.segment([4, None], np.array([len(v), 0]), v.astype("<u4"))
+    ((ids, lengths, back),) = tokenfiles.segments(data)
+    assert ids == [4, None] and lengths.tolist() == [len(v), 0] and (back == v).all()
+    _, _, n_docs, n, n_words, n_exceptions = tokenfiles.HEADER.unpack_from(data)
+    assert tokenfiles.segment_size(n_docs, n, n_words, n_exceptions) == len(data)
 
 
 def test_model_sums_to_one_and_prefers_seen_pairs(spark):
@@ -264,7 +268,8 @@ def test_segmentations_are_sampled_by_weight_and_reproducible(spark):
     path = P.path("piece_bpe_32k.model")
     v = subwords.Vocabulary.of(path)
     s = subwords.Sampler(v, np.random.default_rng(1).normal(-5, 2, v.size), 1.0)
-    ids, ends, _ = s.sample(["abc"] * 20000, np.arange(20000), 1)
+    data, offsets = subwords.led(pa.array(["abc"] * 20000))
+    ids, ends, _ = s.sample(data, offsets, np.arange(20000), 1)
     got = Counter(tuple(ids[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False))
     want = {}
 

@@ -5,8 +5,9 @@ For each pattern length, a shift table over blocks of two words tells how far a
 missing a pattern; where the shift is zero, the hash of the window's suffix selects a bucket of patterns, and direct
 comparison of all words confirms. Many positions advance at once: every stretch of text has its own cursor.
 
-Words are compared as 64-bit hashes (see wordarrays). Patterns are collected and broadcast only up to
-``most_patterns`` at a time; a larger benchmark is searched block by block and the blocks' hits are merged.
+Words are compared as 64-bit hashes (see wordarrays). Pairs of a pattern and an item are dealt to blocks of about
+``most_patterns``; the driver holds and broadcasts one block at a time. Where there are several, each block's hits are
+written to the shared folder before the next one is taken, and merged at the end. Workers build a block's tables once.
 
 Defined results: null or wordless text has no words and is not contaminated; an item without words never occurs;
 rows with equal or null ids are kept apart; items with equal ids count once; null item ids count as the empty
@@ -16,11 +17,12 @@ through ``cleaned``. Texts of any length are read whole.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +30,10 @@ from tabguard.llm import wordarrays as W
 from tabguard.llm.shared import stored
 
 WINDOW = 13
-#: Patterns of one broadcast block: 13 hashes of 8 bytes each, so at most about 110 MB.
-MOST_PATTERNS = 1 << 20
-#: Slots of a shift table, as a power of two.
-SHIFT_BITS = 18
+#: Pairs of pattern and item in one broadcast block: 13 hashes of 8 bytes each, so about 30 MB.
+MOST_PATTERNS = 1 << 18
+#: Least and largest slots of a shift table, as powers of two; between them it has sixteen slots for a block of words.
+SHIFT_BITS = (14, 24)
 #: Words that one cursor passes over.
 STRETCH = 512
 IS_WORD = W.byte_table(bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
@@ -45,17 +47,17 @@ class Patterns:
         self.words = words  # one row per pattern
         self.size = words.shape[1]
         self.block = min(2, self.size)
-        self.shift = np.full(1 << SHIFT_BITS, self.size - self.block + 1, np.int32)
+        self.bits = min(max(SHIFT_BITS[0], int(words.size).bit_length() + 4), SHIFT_BITS[1])
+        self.shift = np.full(1 << self.bits, self.size - self.block + 1, np.int32)
         for end in range(self.block, self.size + 1):  # later blocks are nearer to the end: smaller shifts
             np.minimum.at(self.shift, self.slots(words[:, end - self.block : end]), self.size - end)
         keys = self.suffix(words)
         order = np.argsort(keys, kind="stable")
         self.order, self.keys = order, keys[order]
 
-    @staticmethod
-    def slots(blocks: np.ndarray) -> np.ndarray:
+    def slots(self, blocks: np.ndarray) -> np.ndarray:
         h = blocks[..., 0] if blocks.shape[-1] == 1 else blocks[..., 0] * np.uint64(0x9E3779B97F4A7C15) + blocks[..., 1]
-        return (W.mix(h) >> np.uint64(64 - SHIFT_BITS)).astype(np.int64)
+        return (W.mix(h) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     @staticmethod
     def suffix(windows: np.ndarray) -> np.ndarray:
@@ -111,10 +113,9 @@ def _item_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
 
 
 def patterns(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Distinct (words, items): the hashes of each pattern, and the sorted ids of the items that have it."""
+    """Distinct pairs (words, item_id): the hashes of a pattern, and an item that has it."""
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item_id"), F.col(text).cast("string").alias("text"))
-    rows = items.mapInArrow(lambda b: _item_windows(b, window), "item_id string, words array<long>")
-    return rows.groupBy("words").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    return items.mapInArrow(lambda b: _item_windows(b, window), "item_id string, words array<long>").distinct()
 
 
 def _search(batches: Iterator[pa.RecordBatch], searches: list, items: list[list[str]]) -> Iterator[pa.RecordBatch]:
@@ -145,15 +146,6 @@ def _search(batches: Iterator[pa.RecordBatch], searches: list, items: list[list[
         yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], "n_words", "hits", "items"])
 
 
-def _blocks(found: DataFrame, most: int):
-    """Blocks of at most about ``most`` patterns; the count decides into how many the patterns are dealt."""
-    n = found.count()
-    parts = max(1, -(-n // most))
-    for k in range(parts):
-        part = found if parts == 1 else found.where(F.pmod(F.xxhash64("words"), F.lit(parts)) == k)
-        yield part.toArrow()
-
-
 def _ready(block: pa.Table):
     words, items = block.column("words").combine_chunks(), block.column("items").to_pylist()
     sizes = np.asarray(words.value_lengths().fill_null(0)) if len(words) else np.zeros(0, np.int64)
@@ -166,33 +158,43 @@ def _ready(block: pa.Table):
     return searches, items
 
 
+#: The tables of the block that the worker searches for.
+_tables: dict[str, tuple] = {}
+
+
+def _tables_of(name: str, block: pa.Table) -> tuple:
+    if name not in _tables:
+        _tables.clear()
+        _tables[name] = _ready(block)
+    return _tables[name]
+
+
 def occurrences(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, most_patterns: int = MOST_PATTERNS) -> DataFrame:
     """One row per row of ``docs``: the columns ``keep``, n_words, n_hit (words inside any occurrence) and items."""
     spark = docs.sparkSession
-    found = patterns(benchmark, item_id, item_text, window)
-    blocks = list(_blocks(stored(found, "patterns"), most_patterns))
-    source = docs.select(*keep, F.col(text).cast("string").alias("_text"))
-    if len(blocks) > 1:
-        source = docs.select(F.monotonically_increasing_id().alias("_row"), *keep, F.col(text).cast("string").alias("_text"))
-        source = stored(source, "decontaminate-rows")
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    schema = (head + ", " if head else "") + "n_words long, hits array<long>, items array<string>"
-    each = []
-    for block in blocks:
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches, shared=shared):
-            searches, items = _ready(shared.value)
-            return _search(batches, searches, items)
-
-        each.append(source.mapInArrow(run, schema))
-    if len(each) == 1:
-        out = each[0]
+    pairs = stored(patterns(benchmark, item_id, item_text, window), "patterns")
+    parts = max(1, -(-pairs.count() // most_patterns))
+
+    def searched(source: DataFrame, k: int) -> tuple[DataFrame, Broadcast]:
+        own = pairs.where(F.pmod(F.xxhash64("words", "item_id"), F.lit(parts)) == k)
+        shared = spark.sparkContext.broadcast(own.groupBy("words").agg(F.sort_array(F.collect_list("item_id")).alias("items")).toArrow())
+        name = uuid.uuid4().hex
+        head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+        schema = (head + ", " if head else "") + "n_words long, hits array<long>, items array<string>"
+        return source.mapInArrow(lambda b: _search(b, *_tables_of(name, shared.value)), schema), shared
+
+    if parts == 1:
+        out, _ = searched(docs.select(*keep, F.col(text).cast("string").alias("_text")), 0)
     else:
-        union = each[0]
-        for e in each[1:]:
-            union = union.unionByName(e)
-        out = union.groupBy("_row").agg(*[F.first(c).alias(c) for c in keep], F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        rows = stored(docs.select(F.monotonically_increasing_id().alias("_row"), *[F.col(c).alias(f"in_{c}") for c in keep], F.col(text).cast("string").alias("_text")), "decontaminate-rows")
+        hits = None
+        for k in range(parts):
+            found, shared = searched(rows.select("_row", "_text"), k)
+            own = stored(found.where((F.size("hits") > 0) | (F.lit(k == 0))), f"pattern-hits-{k}")
+            shared.destroy()
+            hits = own if hits is None else hits.unionByName(own)
+        hits = hits.groupBy("_row").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        out = rows.drop("_text").join(hits, "_row").select(*[F.col(f"in_{c}").alias(c) for c in keep], "n_words", "hits", "items")
     pair = F.transform(F.sequence(F.lit(0), (F.size("hits") / 2).cast("int") - 1), lambda i: F.struct(F.get("hits", (2 * i).cast("int")).alias("a"), F.get("hits", (2 * i + 1).cast("int")).alias("b")))
     total = F.aggregate(
         F.sort_array(F.when(F.size("hits") > 0, pair).otherwise(F.array().cast("array<struct<a:long,b:long>>"))),

@@ -1,16 +1,22 @@
-"""Main text of web pages: the article by its markup, and host boilerplate by counting runs of tokens.
+"""Main text of web pages: the article by its markup, and host boilerplate by a suffix array over the host's pages.
 
-A page's visible blocks outside of its article (all of them, if it has none) form a token stream. Every run of ``LONG``
-tokens that stands on ``PAGES`` or more distinct pages of its host is boilerplate, and so is every longer substring
-made of such runs. A page with an ``article`` or ``main`` element gives that element's text, whole, whatever it shares
-with others; a page without one gives its blocks without the covered runs, so that unique runs stay. Runs are 64-bit
-hashes that include the host; all pages of a host count together, and no task gathers a host.
+The visible tokens of every page form its stream: the article's, then those of other blocks, then those of parts that
+are not main text. Streams are concatenated, and their suffixes are sorted to the depth of ``LONG`` tokens, host by
+host: suffixes that share so many are neighbours, and where they come from ``PAGES`` or more distinct pages, the
+tokens are boilerplate, as is every longer substring made of such runs. No task gathers a host. Each task doubles the
+ranks of its own pages' suffixes (1, 2, 4, 8 tokens) and counts the distinct pages of each group of neighbours; Spark
+merges the groups of all tasks by a 64-bit hash of the host and the suffix. So that suffixes that stand alone are not
+shuffled, the array is sparse at first: every run of ``LONG`` tokens has one of its ``GRAM``-token grams, the one of the
+least hash, as its anchor, equal runs have equal anchors, and only runs whose anchor is on enough pages are merged.
+
+A page with an ``article`` element (or else ``main``) gives that element's text, whole, whatever it shares with others:
+its repeats are only reported. A page without one gives its blocks without the covered runs, so that unique runs stay.
 
 Defined results: null html has no text; blocks inside menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments never count; an element that is never closed ends with its page, but a p, li, dd, dt, td, th or tr
-as HTML has it, at the next one or with its parent; rows with equal
-or null ids are kept apart; a null or odd url has the empty host; an empty table gives an empty result; further
-columns are ignored. Pages of any length are read whole.
+scripts, styles and reader comments never count; an element that is never closed ends with its page, but a p, li, dd,
+dt, td, th or tr as HTML has it, at the next one or with its parent; rows with equal or null ids are kept apart; a null
+or odd url has the empty host; an empty table gives an empty result; further columns are ignored. Pages of any length
+are read whole.
 """
 
 from __future__ import annotations
@@ -26,12 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabguard.llm import wordarrays as W
-from tabguard.llm.shared import stored
+from tabguard.llm.shared import dropped, stored
 from tabguard.llm.sketch import bits_of
 
-LONG, PAGES = 8, 3
-#: Runs, and remembered words, that one task holds at once.
-HELD = 1 << 20
+LONG, GRAM, PAGES = 8, 4, 3
+#: Most runs that are looked up in a broadcast table; the others have so few positions that a join by run has no hot key.
+HOT = 1 << 18
+IS_TOKEN = W.byte_table(b" ")
 
 # Element names and the words in class, id or role that mark what is not main text.
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "xmp", "iframe"}
@@ -43,6 +50,7 @@ MARKED = {"ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsor
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[^A-Za-z0-9]+")
+_ROLE_MAIN = re.compile(r"\brole\s*=\s*[\"']?main\b", re.I)
 
 
 #: Parts of text that no whole-word mark hides, and elements whose end tag may be left out.
@@ -111,10 +119,15 @@ class _Open:
 
 
 def blocks(page: str) -> tuple[list[str], list[str], list[str]]:
-    """(article blocks, other visible blocks, blocks of parts that are not main text), white space evened."""
-    inside, outside, aside = [], [], []
+    """(article blocks, other visible blocks, blocks of parts that are not main text), white space evened.
+
+    The article is what article elements hold; without any, what main elements or those of that role hold.
+    """
+    inside, mainly, outside, aside = [], [], [], []
     run: list[str] = []
-    depth = 0  # open article or main elements
+    articles: list[int] = []  # places of the open ones among the open elements
+    mains: list[int] = []
+    weak = False  # the part left out is marked by a piece of a word only: an article inside it counts
     elements = _Open()
     skip, skip_depth = "", 0  # the inline element that is being left out
     skip_at = -1  # the other element that is being left out, by its place among the open ones
@@ -123,7 +136,13 @@ def blocks(page: str) -> tuple[list[str], list[str], list[str]]:
         text = " ".join("".join(run).split())
         run.clear()
         if text:
-            (aside if skip or skip_at >= 0 else inside if depth else outside).append(text)
+            (aside if skip or skip_at >= 0 else inside if articles else mainly if mains else outside).append(text)
+
+    def cut(left: int) -> None:
+        elements.cut(left)
+        for own in (articles, mains):
+            while own and own[-1] >= left:
+                own.pop()
 
     at, n = 0, len(page)
     while at < n:
@@ -149,12 +168,12 @@ def blocks(page: str) -> tuple[list[str], list[str], list[str]]:
                 # Only an element whose end tag may be left out ends with its parent or at the next one.
                 if (m[1] and left == skip_at and elements.names[skip_at] == name) or elements.names[skip_at] in OPTIONAL:
                     ended = bool(m[1]) and elements.names[skip_at] == name and left == skip_at
-                    elements.cut(left)
+                    cut(left)
                     skip_at = -1
                     if ended:
                         continue
             else:
-                elements.cut(left)
+                cut(left)
         if skip:
             if name == skip:
                 skip_depth += -1 if m[1] else 1
@@ -164,29 +183,31 @@ def blocks(page: str) -> tuple[list[str], list[str], list[str]]:
             elif name not in INLINE and name not in VOID and not m[1]:
                 elements.push(name)
             continue
-        if m[1]:
-            if name in ("article", "main") and skip_at < 0:
-                depth = max(0, depth - 1)
-            continue
-        if name in VOID:
+        if m[1] or name in VOID:
             continue
+        if name == "article" and skip_at >= 0 and weak:
+            cut(skip_at)
+            skip_at = -1
         if name not in INLINE and (skip_at >= 0 or not m[3].endswith("/")):
             elements.push(name)
         if skip_at >= 0 or m[3].endswith("/"):
             continue
         whole, parts = _marks(m[3]) if m[3] else (set(), set())
         # Inside an article a mark must be a whole word of class, id or role, and never hides a heading or paragraph.
-        marked = name not in TEXT and whole & MARKED if depth else parts & MARKED
+        full = bool(whole & MARKED)
+        marked = name not in TEXT and full if articles or mains else bool(parts & MARKED)
         if name in ASIDE or (marked and name not in ("html", "body", "article", "main")):
             close()
             if name in INLINE:
                 skip, skip_depth = name, 1
             else:
-                skip_at = len(elements) - 1
-        elif name in ("article", "main"):
-            depth += 1
+                skip_at, weak = len(elements) - 1, name not in ASIDE and not full
+        elif name == "article":
+            articles.append(len(elements) - 1)
+        elif name not in INLINE and (name == "main" or "main" in whole and _ROLE_MAIN.search(m[3])):
+            mains.append(len(elements) - 1)
     close()
-    return inside, outside, aside
+    return (inside, mainly + outside, aside) if inside else (mainly, outside, aside)
 
 
 def _host(url: str | None) -> str:
@@ -196,125 +217,176 @@ def _host(url: str | None) -> str:
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, texts, own, streams = [], [], [], []
+        hosts, article, own, streams = [], [], [], []
         for url, page in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), strict=True):
             inside, outside, aside = blocks(page.as_py() or "")
+            count = lambda x: sum(t.count(" ") + 1 for t in x)
             hosts.append(_host(url.as_py()))
-            texts.append(" ".join(inside) if inside else None)
-            own.append(None if inside else sum(len(x.split(" ")) for x in outside))
-            streams.append(" ".join(outside + aside))
-        arrays = [*batch.columns[:-1], pa.array(hosts, pa.string()), pa.array(texts, pa.string()), pa.array(own, pa.int32()), pa.array(streams, pa.string())]
-        yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], "host", "main", "own", "stream"])
+            article.append(count(inside))
+            own.append(count(outside))
+            streams.append(" ".join(inside + outside + aside))
+        arrays = [*batch.columns[:-1], pa.array(hosts, pa.string()), pa.array(article, pa.int32()), pa.array(own, pa.int32()), pa.array(streams, pa.string())]
+        yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], "host", "article", "own", "stream"])
 
 
 def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
-class _Runs:
-    """Hashes of the runs of a page, by position; words are hashed once and remembered."""
-
-    def __init__(self, long: int = LONG) -> None:
-        self.long, self.known = long, {}
-
-    def of(self, host: str, stream: str) -> np.ndarray:
-        tokens = stream.split(" ") if stream else []
-        if len(tokens) < self.long:
-            return np.zeros(0, np.uint64)
-        if len(self.known) > HELD:
-            self.known.clear()
-        known = self.known
-        for t in tokens:
-            if t not in known:
-                known[t] = _hash(t)
-        h = np.fromiter((known.get(t) for t in tokens), np.uint64, len(tokens))
-        return W.mix(W.windows(h, self.long) ^ np.uint64(_hash(host)))
-
-
-def _host_hash(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    yield np.array([_hash(x) for x in batch.column(0).to_pylist()], np.uint64)
-
-
-def _maybe(table, h: np.ndarray) -> np.ndarray:
-    """False for hashes that are certainly not in the table; without a table all may be."""
-    return np.ones(len(h), bool) if table is None else table.has(h)
-
-
-def _counted(batches: Iterator[pa.RecordBatch], bare) -> Iterator[pa.RecordBatch]:
-    """run, n: distinct runs of each page, added up over the pages held, of hosts that may have a page without an article."""
-    runs, has, held, size = _Runs(), bare.value, [], 0
-
-    def out() -> pa.RecordBatch:
-        u, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(W.signed(u)), pa.array(n, pa.int64())], names=["run", "n"])
-
+class _Streams:
+    """Concatenated token streams of some pages of a batch: token hashes with the host in them, and the pages' offsets."""
+
+    def __init__(self, hosts: pa.Array, data: np.ndarray, offsets: np.ndarray):
+        starts, ends, _, self.rows = W.words(data, offsets, IS_TOKEN)
+        known = {h: _hash(h) for h in set(hosts.to_pylist())}
+        n = np.diff(self.rows)
+        self.page = np.repeat(np.arange(len(n)), n)
+        own = np.array([known[h] for h in hosts.to_pylist()], np.uint64)
+        self.tokens = W.mix(W.hashes_of(data, starts, ends, W.EXACT) ^ own[self.page])
+        self.left = self.rows[1:][self.page] - np.arange(len(self.page))  # tokens up to the page's end
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, key, anchor) of every run of LONG tokens."""
+        at = np.flatnonzero(self.left >= LONG)
+        grams = W.windows(self.tokens, GRAM)
+        anchor = np.full(len(at), np.iinfo(np.uint64).max, np.uint64)
+        for k in range(LONG - GRAM + 1):
+            np.minimum(anchor, grams[at + k], out=anchor)
+        return at, W.windows(self.tokens, LONG)[at], anchor
+
+    def suffix_array(self) -> tuple[np.ndarray, np.ndarray]:
+        """(suffixes of LONG or more tokens in their order, for each how many tokens, up to LONG, it shares with the one before).
+
+        Ranks of suffixes by their first 1, 2, 4, 8 tokens; a suffix that ends with its page ranks before longer ones.
+        """
+        rank = np.unique(self.tokens, return_inverse=True)[1] + 1
+        ranks, width = [rank], 1
+        while width < LONG:
+            after = np.zeros(len(rank), np.int64)
+            some = np.flatnonzero(self.left > width)
+            after[some] = rank[some + width]
+            rank = np.unique(rank * (len(rank) + 2) + after, return_inverse=True)[1] + 1
+            ranks.append(rank)
+            width *= 2
+        at = np.flatnonzero(self.left >= LONG)
+        order = at[np.argsort(rank[at], kind="stable")]
+        shared = np.zeros(len(order), np.int64)
+        if len(order):
+            same = np.append(False, rank[order[1:]] == rank[order[:-1]])
+            shared[same] = LONG
+            for k in range(len(ranks) - 2, -1, -1):  # of those that part earlier, how far they agree, by halves
+                i = np.flatnonzero(~same)[1:]
+                x, y = order[i] + shared[i], order[i - 1] + shared[i]
+                shared[i] += np.where(ranks[k][x] == ranks[k][y], 1 << k, 0)
+        return order, shared
+
+
+def _pieces(batch: pa.RecordBatch, hosts: int, streams: int) -> Iterator[tuple[int, _Streams]]:
+    data, offsets = W.bytes_of(batch.column(streams))
+    for a, b in W.pieces(offsets):
+        yield a, _Streams(batch.column(hosts).slice(a, b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, n: anchors of runs, and on how many of the pages at hand each one is."""
     for batch in batches:
-        for host, stream in zip(batch.column(0), batch.column(1), strict=True):
-            host = host.as_py()
-            if _maybe(has, np.array([_hash(host)], np.uint64))[0]:
-                held.append(np.unique(runs.of(host, stream.as_py())))
-                size += len(held[-1])
-                if size > HELD:
-                    yield out()
-                    held, size = [], 0
-    if size:
-        yield out()
-
-
-def _likely(batches: Iterator[pa.RecordBatch], often) -> Iterator[pa.RecordBatch]:
-    """run, row_no, starts: the runs of a page's own text that may be boilerplate, with all their positions."""
-    runs, has = _Runs(), often.value
-    rows, keys, starts, size = [], [], [], 0
-
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(W.signed(np.concatenate(keys))), pa.array(np.concatenate(rows)), pa.array(np.concatenate(starts))], names=["run", "row_no", "start"])
-
+        for _, s in _pieces(batch, 0, 1):
+            at, _, anchor = s.runs()
+            page = s.page[at]
+            new = np.append(True, (anchor[1:] != anchor[:-1]) | (page[1:] != page[:-1])) if len(at) else np.zeros(0, bool)
+            anchor, page = anchor[new], page[new]
+            order = np.lexsort((page, anchor))
+            anchor, page = anchor[order], page[order]
+            new = np.append(True, (anchor[1:] != anchor[:-1]) | (page[1:] != page[:-1])) if len(anchor) else np.zeros(0, bool)
+            u, n = np.unique(anchor[new], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(W.signed(u)), pa.array(n, pa.int64())], names=["key", "n"])
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch], likely) -> Iterator[pa.RecordBatch]:
+    """run, n, m: groups of neighbours in the suffix array that share LONG tokens, with their pages and positions."""
     for batch in batches:
-        for row, host, own, stream in zip(*batch.columns, strict=True):
-            h = runs.of(host.as_py(), stream.as_py())[: own.as_py()]
-            at = np.flatnonzero(_maybe(has, h))
-            if len(at):
-                keys.append(h[at])
-                rows.append(np.full(len(at), row.as_py(), np.int64))
-                starts.append(at.astype(np.int32))
-                size += len(at)
-                if size > HELD:
-                    yield out()
-                    rows, keys, starts, size = [], [], [], 0
-    if size:
-        yield out()
+        for _, s in _pieces(batch, 0, 1):
+            order, shared = s.suffix_array()
+            at, key, anchor = s.runs()
+            place = np.full(len(s.tokens), -1)
+            place[at] = np.arange(len(at))
+            first = np.flatnonzero(shared < LONG)
+            m = np.diff(np.append(first, len(order)))
+            page = s.page[order]
+            group = np.repeat(np.arange(len(first)), m)
+            new = np.append(True, (page[1:] != page[:-1]) | (group[1:] != group[:-1])) if len(order) else np.zeros(0, bool)
+            n = np.bincount(group[new], minlength=len(first))  # suffixes of a group are in page order
+            own = place[order[first]]
+            ok = likely.value.has(anchor[own])
+            yield pa.RecordBatch.from_arrays([pa.array(W.signed(key[own][ok])), pa.array(n[ok], pa.int64()), pa.array(m[ok], pa.int64())], names=["run", "n", "m"])
+
+
+def _covered(batches: Iterator[pa.RecordBatch], often, hot) -> Iterator[pa.RecordBatch]:
+    """run, sure, row_no, start: the positions of runs that may be boilerplate; ``sure`` ones are, and have a key of their own."""
+    for batch in batches:
+        rows = batch.column(0).to_numpy(zero_copy_only=False)
+        for a, s in _pieces(batch, 1, 2):
+            at, key, _ = s.runs()
+            some = np.flatnonzero(often.value.has(key))
+            at, key = at[some], key[some]
+            place = np.minimum(np.searchsorted(hot.value, key), max(0, len(hot.value) - 1))
+            sure = hot.value[place] == key if len(hot.value) else np.zeros(len(key), bool)
+            row = rows[a + s.page[at]]
+            start = at - s.rows[:-1][s.page[at]]
+            key = np.where(sure, W.mix(row.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start.astype(np.uint64)), key)
+            yield pa.RecordBatch.from_arrays([pa.array(W.signed(key)), pa.array(sure), pa.array(row), pa.array(start, pa.int32())], names=["run", "sure", "row_no", "start"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The own text of each page without the tokens that runs from ``starts`` on cover."""
+    """Text of each page, and how many tokens of its article and of its other blocks the repeated runs cover."""
     for batch in batches:
-        texts = []
-        for own, stream, starts in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
-            tokens = stream.as_py().split(" ")[: own.as_py()]
+        texts, inside, outside = [], [], []
+        for article, own, stream, starts in zip(*batch.columns[2:], strict=True):
+            article, own = article.as_py(), own.as_py()
+            tokens = stream.as_py().split(" ")[: article + own]
+            mark = np.zeros(article + own + 1, np.int64)
             if starts.is_valid:
                 at = np.asarray(starts.values)
-                mark = np.zeros(len(tokens) + 1, np.int64)
+                at = at[at < article + own]
                 np.add.at(mark, at, 1)
-                np.add.at(mark, np.minimum(at + LONG, len(tokens)), -1)
-                tokens = [tokens[i] for i in np.flatnonzero(np.cumsum(mark)[:-1] == 0).tolist()]
-            texts.append(" ".join(tokens))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+                np.add.at(mark, np.minimum(at + LONG, article + own), -1)
+            covered = np.cumsum(mark)[:-1] > 0
+            inside.append(int(covered[:article].sum()))
+            outside.append(int(covered[article:].sum()))
+            kept = tokens[:article] if article else [tokens[i] for i in np.flatnonzero(~covered).tolist()]
+            texts.append(" ".join(kept))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(inside, pa.int64()), pa.array(outside, pa.int64())], names=["page_id", "url", "text", "n_shared", "n_boilerplate"])
+
+
+def _longs(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    yield batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def repeated_runs(parsed: DataFrame) -> DataFrame:
+    """run, m: the runs of LONG tokens on PAGES or more pages of one host, and how many positions they have."""
+    shared = parsed.sparkSession.sparkContext.broadcast
+    streams = parsed.select("host", "stream")
+    anchors = stored(streams.mapInArrow(_anchors, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= PAGES).select("key"), "html-anchors")
+    likely = shared(bits_of(anchors, _longs, anchors.count()))
+    dropped(anchors)
+    groups = streams.mapInArrow(lambda b: _neighbours(b, likely), "run long, n long, m long").groupBy("run").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    return stored(groups.where(F.col("n") >= PAGES).select("run", "m"), "html-runs")
 
 
 def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars of every row."""
-    spark = pages.sparkSession
+    """page_id, url, text, n_chars of every row, with n_shared and n_boilerplate: repeated tokens in and outside the article."""
+    shared = pages.sparkSession.sparkContext.broadcast
     source = pages.select(F.monotonically_increasing_id().alias("row_no"), F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"))
     kind = source.schema["page_id"].dataType.simpleString()
-    parsed = stored(source.mapInArrow(_parsed, f"row_no long, page_id {kind}, url string, host string, main string, own int, stream string"), "html-blocks")
-    bare = parsed.where("own IS NOT NULL")
-    # Only hosts that have a page without an article are counted, and only likely runs are joined; without the tables all are.
-    hosts = spark.sparkContext.broadcast(bits_of(bare.select("host"), _host_hash, bare.agg(F.approx_count_distinct("host")).first()[0]))
-    counts = parsed.select("host", "stream").mapInArrow(lambda b: _counted(b, hosts), "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
-    often = stored(counts.where(F.col("n") >= PAGES).select("run"), "html-runs")
-    table = spark.sparkContext.broadcast(bits_of(often, lambda b: iter([b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)]), often.count()))
-    likely = bare.where("own > 0").select("row_no", "host", "own", "stream").mapInArrow(lambda b: _likely(b, table), "run long, row_no long, start int")
-    starts = likely.join(often, "run", "left_semi").groupBy("row_no").agg(F.collect_list("start").alias("starts"))
-    whole = parsed.where("own IS NULL").select("page_id", "url", F.col("main").alias("text"))
-    rest = bare.join(starts, "row_no", "left").select("page_id", "url", "own", "stream", "starts").mapInArrow(_cut, f"page_id {kind}, url string, text string")
-    return whole.unionByName(rest).withColumn("n_chars", F.length("text").cast("long"))
+    parsed = stored(source.mapInArrow(_parsed, f"row_no long, page_id {kind}, url string, host string, article int, own int, stream string"), "html-streams", compression="zstd")
+    often = repeated_runs(parsed)
+    # At most HOT runs can have a share of 1 / HOT of all positions or more each.
+    size = often.agg(F.count("*").alias("n"), F.sum("m").alias("m")).first()
+    hot = often.where(F.col("m") * HOT > (size["m"] or 0)).select("run").toArrow().column(0).to_numpy().view(np.uint64)
+    table, hot = shared(bits_of(often, _longs, size["n"])), shared(np.sort(hot))
+    likely = parsed.select("row_no", "host", "stream").mapInArrow(lambda b: _covered(b, table, hot), "run long, sure boolean, row_no long, start int")
+    known = often.where(F.col("m") * HOT <= (size["m"] or 0)).select("run", F.lit(True).alias("found"))
+    starts = likely.join(known, "run", "left").where("sure OR found").groupBy("row_no").agg(F.collect_list("start").alias("starts"))
+    columns = ["page_id", "url", "article", "own", "stream", "starts"]
+    out = parsed.join(starts, "row_no", "left").select(*columns).mapInArrow(_cut, f"page_id {kind}, url string, text string, n_shared long, n_boilerplate long")
+    return out.withColumn("n_chars", F.length("text").cast("long"))

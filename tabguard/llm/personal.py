@@ -1,10 +1,16 @@
 """Personal data by pattern, widened by bootstrapped contextual extraction.
 
-Seeds are the entities that the base patterns find. The word before each is a lexical pattern; every occurrence of
-that word in the corpus counts for its precision. Pattern-instance edges are scored in turns: a pattern's score is
-the share of its occurrences that precede believed instances, an instance's score the chance that one of its patterns
-is right. Patterns of high confidence with enough distinct seeds then reveal identifiers that no base pattern
-matches; they become spans of kind ``id``. Only built-in functions run on the rows.
+Seeds are the entities that the base patterns find. The words around them are lexical patterns of three forms: the
+word before, the two words before, and the word before with the word behind. A word is a run of letters and digits that
+may hold ``_``, ``-`` and apostrophes inside; signs and quotes between it and the match do not matter. Pattern-instance
+edges are scored in turns: a pattern's score is the share of its occurrences that precede believed instances, an
+instance's score the chance that one of its patterns is right, until no score changes. All occurrences of a single word
+in the corpus count; of the longer forms, those at matches of any kind. Patterns of high confidence with enough
+distinct seeds then reveal identifiers that no base pattern matches; they become spans of kind ``id``. Only built-in
+functions run on the rows.
+
+Words are looked for among the ``NEAR`` blank-separated strings next to a match. Belief only grows from turn to turn,
+so the turns end.
 
 Defined results: null text counts as empty; rows with equal or null ids are kept apart, one result each; an empty
 table gives an empty result; further columns are ignored. Texts of any length are read whole.
@@ -15,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabguard.llm.shared import stored
+from tabguard.llm.shared import dropped, stored
 from tabguard.llm.spans import found, joined, placed
 
 # The base patterns, in the order in which the kinds are listed. Possessive quantifiers and the guards
@@ -28,12 +34,14 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "id": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{5,}+",
 }
-#: Code points before a match in which its context word is looked for.
-CONTEXT = 64
-#: Where a match could start inside a word of lower-case text.
-START = r"(?<=[^\p{L}\p{N}_-])(?=[a-z0-9_-])|(?<=[_-])(?=[0-9])"
-#: Least score of a believed pattern or instance, least number of distinct seeds of a pattern, and turns.
-CONFIDENT, SEEDS, TURNS = 0.6, 3, 3
+#: Blank-separated strings next to a match in which its context words are looked for.
+NEAR = 6
+#: What parts words.
+APART = r"[^\p{L}\p{N}_'\u2019-]++"
+#: Least score of a believed pattern or instance, and least number of distinct seeds of a pattern.
+CONFIDENT, SEEDS = 0.6, 3
+#: Relative change of all scores together below which the turns end.
+SETTLED = 1e-6
 
 
 def _valid(value: Column, kind: Column) -> Column:
@@ -47,7 +55,7 @@ def _valid(value: Column, kind: Column) -> Column:
         F.when(kind == "ip", ip)
         .when(kind == "card", F.when(F.length(digits).between(16, 19), card).otherwise(False))
         .when(kind == "phone", F.length(digits).between(8, 15))
-        .when(kind == "id", (F.length(digits) >= 4) & (F.length(value) <= 40))
+        .when(kind == "id", F.length(digits) >= 4)
         .otherwise(True)
     )
 
@@ -56,39 +64,45 @@ def _blanks(text: Column) -> Column:
     return F.regexp_replace(text, r"[\x09-\x0D]", " ")
 
 
-def _trimmed(word: Column) -> Column:
-    return F.regexp_replace(F.lower(word), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+def _words(text: Column) -> Column:
+    """The words of a text, in lower case, without signs at their ends."""
+    return F.filter(F.transform(F.split(F.lower(text), APART), lambda w: F.regexp_replace(w, r"^[_'\u2019-]++|(?<![_'\u2019-])[_'\u2019-]++$", "")), lambda w: w != "")
 
 
-def _context(before: Column) -> Column:
-    """The last word of the text before a match, in lower case, without punctuation around it; null if there is none."""
-    word = _trimmed(F.element_at(F.split(F.rtrim(_blanks(before)), " "), -1))
-    return F.when(F.length(word) > 0, word)
+def _before(gap: Column) -> Column:
+    """The last two words of the text before a match."""
+    w = _words(F.substring_index(_blanks(gap), " ", -NEAR))
+    return F.concat_ws(" ", F.slice(w, F.greatest(F.lit(1), F.size(w) - 1), F.lit(2)))
 
 
-def _occurrences(docs: DataFrame, text: str) -> DataFrame:
-    """pattern, total: how often each word stands where ``_context`` would find it.
+def _after(gap: Column) -> Column:
+    """The first word of the text behind a match."""
+    return F.get(_words(F.substring_index(_blanks(gap), " ", NEAR)), F.lit(0))
+
+
+def _patterns(before: Column, after: Column) -> Column:
+    """The lexical patterns of a match: its word before, both words before, and the words on both sides."""
+    own = F.split(before, " ")
+    last = F.when(before != "", F.element_at(own, -1))
+    return F.array_compact(F.array(last, F.when(F.size(own) == 2, before), F.concat(last, F.lit(" * "), after)))
 
-    Words are cut as there: between blanks, and where a match could start behind punctuation, as in ``user_id=...``.
-    """
+
+def _occurrences(docs: DataFrame, text: str) -> DataFrame:
+    """pattern, total: how often each word stands in the corpus."""
     chunks = docs.select(F.explode(F.split(F.lower(_blanks(F.coalesce(F.col(text), F.lit("")))), " +")).alias("chunk")).where("chunk <> ''").groupBy("chunk").agg(F.count("*").alias("n"))
-    parts = F.split("chunk", START)
-    last = lambda i: _trimmed(F.right(F.array_join(F.slice(F.col("parts"), F.greatest(F.lit(1), i - CONTEXT + 1), F.least(i, F.lit(CONTEXT))), ""), F.lit(CONTEXT)))
-    heads = F.when(F.size("parts") > 1, F.transform(F.sequence(F.lit(1), F.size("parts") - 1), last)).otherwise(F.array().cast("array<string>"))
-    every = F.array_distinct(F.array_append(heads, _trimmed(F.right("chunk", F.lit(CONTEXT - 1)))))
-    return chunks.select("chunk", "n", parts.alias("parts")).select("n", F.explode(every).alias("pattern")).groupBy("pattern").agg(F.sum("n").alias("total"))
+    return chunks.select("n", F.explode(_words(F.col("chunk"))).alias("pattern")).groupBy("pattern").agg(F.sum("n").alias("total"))
 
 
 def entities(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): numbered input rows, and their base entities and candidates (kind ``id``) with contexts."""
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = stored(docs.select(F.monotonically_increasing_id().alias("row_no"), *[F.col(c).alias(f"in_{c}") for c in keep or []], *[found(body, p, CONTEXT).alias(f"m_{k}") for k, p in PATTERNS.items()]), "personal-rows")
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row_no"), *[F.col(c).alias(f"in_{c}") for c in keep or []], *[found(body, p, _before, _after).alias(f"m_{k}") for k, p in PATTERNS.items()]), "personal-rows")
     some = rows.where(F.coalesce(*[f"m_{k}" for k in KINDS]).isNotNull())
     spans = None
     for k in KINDS:
         s = placed(some, ["row_no"], f"m_{k}").where(_valid(F.col("value"), F.lit(k))).withColumn("kind", F.lit(k))
         spans = s if spans is None else spans.unionByName(s)
-    return rows, stored(spans.select("row_no", "kind", "start", "end", F.lower("value").alias("value"), _context(F.col("before")).alias("pattern")), "personal-spans")
+    return rows, stored(spans.select("row_no", "kind", "start", "end", F.lower("value").alias("value"), _patterns(F.col("before"), F.col("after")).alias("patterns")), "personal-spans")
 
 
 def _free(spans: DataFrame) -> DataFrame:
@@ -98,26 +112,30 @@ def _free(spans: DataFrame) -> DataFrame:
     return ids.where(F.col("taken").isNull() | ~F.exists("taken", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))).drop("taken")
 
 
-def discovered(docs: DataFrame, spans: DataFrame, text: str = "text", confident: float = CONFIDENT, seeds: int = SEEDS, turns: int = TURNS) -> DataFrame:
+def discovered(docs: DataFrame, spans: DataFrame, text: str = "text", confident: float = CONFIDENT, seeds: int = SEEDS) -> DataFrame:
     """Candidate spans that high-confidence patterns reveal: row_no, start, end, kind."""
     free = _free(spans)
-    known = spans.where("kind <> 'id' AND pattern IS NOT NULL")
-    edges = stored(known.select("pattern", "value", F.lit(1.0).alias("seed")).unionByName(free.where("pattern IS NOT NULL").select("pattern", "value", F.lit(0.0).alias("seed"))).groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "personal-edges")
-    words = _occurrences(docs, text)
-    enough = edges.groupBy("pattern").agg(F.sum("seed").alias("n_seeds"), F.sum(F.col("n") * F.col("seed")).alias("hits"), F.sum("n").alias("seen")).where(F.col("n_seeds") >= seeds)
-    # A pattern that could not be believed even with every candidate right need not be carried on.
-    # Words next to another match, or longer than the context, may be cut otherwise there; they occur as often as seen.
+    known = spans.where("kind <> 'id'").select(F.explode("patterns").alias("pattern"), "value", F.lit(1.0).alias("seed"))
+    edges = stored(known.unionByName(free.select(F.explode("patterns").alias("pattern"), "value", F.lit(0.0).alias("seed"))).groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "personal-edges")
+    enough = edges.groupBy("pattern").agg(F.sum("seed").alias("n_seeds"), F.sum("n").alias("seen")).where(F.col("n_seeds") >= seeds)
+    # Words that a match cuts into may be fewer in the corpus than at matches; they occur as often as seen.
     total = F.greatest(F.coalesce("total", F.lit(0)), "seen").alias("total")
-    patterns = stored(enough.join(words, "pattern", "left").where("hits > 0").select("pattern", total), "personal-patterns")
-    graph = edges.join(patterns, "pattern")
-    score = graph.select("pattern", "value", "seed", "n", "total", F.col("seed").alias("belief"))
-    for _ in range(turns):
+    patterns = stored(enough.join(_occurrences(docs, text), "pattern", "left").select("pattern", total), "personal-patterns")
+    score = stored(edges.join(patterns, "pattern").select("pattern", "value", "seed", "n", "total", F.col("seed").alias("belief"), F.lit(0.0).alias("trust")), "personal-turn")
+    signs = None
+    while True:
         by_pattern = score.groupBy("pattern", "total").agg(F.least(F.lit(1.0), F.sum(F.col("n") * F.col("belief")) / F.col("total")).alias("trust"))
         trusted = score.select("pattern", "value", "seed", "n", "total").join(by_pattern.select("pattern", "trust"), "pattern")
         by_value = trusted.groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("trust")))))).alias("reached"))
-        score = stored(trusted.join(by_value, "value").select("pattern", "value", "seed", "n", "total", "trust", F.greatest("seed", F.when(F.col("reached") >= confident, F.col("reached")).otherwise(0.0)).alias("belief")), "personal-turn")
+        turned = trusted.join(by_value, "value").select("pattern", "value", "seed", "n", "total", F.greatest("seed", F.when(F.col("reached") >= confident, F.col("reached")).otherwise(0.0)).alias("belief"), "trust")
+        old, score = score, stored(turned, "personal-turn")
+        dropped(old)
+        now = [x or 0 for x in score.agg(F.count_if(F.col("belief") > 0), F.sum("trust"), F.sum("belief")).first()]
+        if signs and now[0] == signs[0] and all(abs(x - y) <= SETTLED * max(1.0, abs(y)) for x, y in zip(now, signs, strict=True)):
+            break
+        signs = now
     good = score.where((F.col("trust") >= confident) & (F.col("seed") == 0)).select("pattern", "value").distinct()
-    return free.join(good, ["pattern", "value"], "left_semi").select("row_no", "kind", "start", "end")
+    return free.withColumn("pattern", F.explode("patterns")).join(good, ["pattern", "value"], "left_semi").select("row_no", "kind", "start", "end").distinct()
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,23 +2,26 @@
 
 Each rule's cost and selectivity are estimated on a sample; the rules then run in the order of rejections per cost,
 and the first one that rejects a row ends its way. The order never changes which rows pass, only what is computed.
+Cost is work, not time: the characters and words that a rule's expressions pass over, counted on the sample's rows, so
+that the order, and with it the rule named as rejecting, is the same in every run on the same rows.
+
+``filtered`` runs the cascade itself: a row's words are split once, and a rule's measures only come to be if no rule
+before it rejected. ``measured`` must return all measures of every row, so there the order decides only the name.
 
 Defined results: null text has no words and is rejected; rows with equal or null ids are kept apart; an empty table
-gives an empty result (the rules then keep their written order); further columns pass through ``filtered``.
+gives an empty result (the rules then keep their written order); further columns pass through ``filtered``; texts of
+any length are read whole, each by one task.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabguard.llm.shared import stored
-
-#: Share of rows and seed of the sample on which costs and selectivities are estimated.
-SAMPLE, SEED = 0.01, 7
+#: Share of rows, most rows on average, and seed of the sample on which costs and selectivities are estimated.
+SAMPLE, SAMPLED, SEED = 0.01, 100_000, 7
 SPACES = " \t\n\u000b\f\r"
 SYMBOLS = "#*$%&|<>"
 #: What is long without being unbroken text: addresses, and scripts (with their punctuation) that set no blanks between words.
@@ -81,9 +84,12 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumns({"n_words": F.size("_words").cast("long"), "word_chars": word_chars(t), "n_symbols": n_symbols(t), "n_dup_lines": n_dup_lines(t), "n_repeat_words": n_repeat_words(F.col("_words"))})
 
 
-def rules(text: Column) -> dict[str, Column]:
-    """Name and rejecting condition; the first two are the base rules. Nothing is rejected on the words' language."""
-    w = words(text)
+def rules(text: Column, w: Column | None = None) -> dict[str, Column]:
+    """Name and rejecting condition; the first two are the base rules. Nothing is rejected on the words' language.
+
+    w: the text's words, where they are at hand.
+    """
+    w = words(text) if w is None else w
     n = F.size(w)
     return {
         "few_words": n < 50,
@@ -95,16 +101,29 @@ def rules(text: Column) -> dict[str, Column]:
     }
 
 
-def ranked(docs: DataFrame, checks: dict[str, Column], share: float = SAMPLE, seed: int = SEED) -> list[str]:
-    """Names of the checks by rejections per second on a stored sample."""
-    sample = stored(docs.select("_text").sample(fraction=share, seed=seed), "quality-sample")
-    sample.agg(F.count("_text")).collect()
-    worth = {}
-    for name, bad in checks.items():
-        began = time.perf_counter()
-        got = sample.agg(F.count_if(bad).alias("bad"), F.count("*").alias("n")).first()
-        worth[name] = (got["bad"] / max(1, got["n"])) / max(1e-3, time.perf_counter() - began)
-    return sorted(checks, key=lambda k: -worth[k])
+def costs(text: Column) -> dict[str, Column]:
+    """Work of each rule on a row: characters passed over, and words handled, each of which counts as so many characters."""
+    chars, n = F.length(text).cast("double"), F.size(words(text)).cast("double")
+    return {
+        "few_words": F.lit(1.0),  # the words are there
+        "repeated_windows": n * (40 + 2 * F.log2(n + 1)),  # hashes, sorts and counts windows
+        "symbols": 2 * chars,
+        "repeated_lines": 3 * chars,
+        "long_words": chars,
+        "shouting": 4 * n,
+    }
+
+
+def ranked(docs: DataFrame, text: str = "text", share: float = SAMPLE, seed: int = SEED, most: int = SAMPLED) -> list[str]:
+    """Names of the rules by rejections per work on a sample of about ``share`` of the rows, ``most`` of them at most on average."""
+    n = docs.count()
+    sample = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text")).sample(fraction=min(share, most / n) if n else share, seed=seed)
+    t = F.col("_text")
+    checks, work = rules(t), costs(t)
+    got = sample.agg(F.count("*").alias("n"), *[F.count_if(c).alias(f"bad_{k}") for k, c in checks.items()], *[F.round(F.avg(c)).alias(f"cost_{k}") for k, c in work.items()]).first()
+    if not got["n"]:
+        return list(checks)
+    return sorted(checks, key=lambda k: -got[f"bad_{k}"] / max(1.0, got[f"cost_{k}"]))
 
 
 def cascade(checks: dict[str, Column], order: list[str]) -> Column:
@@ -120,7 +139,7 @@ def measured(docs: DataFrame, text: str = "text", share: float = SAMPLE, seed: i
 
     The rules read the measured columns here, so that nothing is computed twice.
     """
-    order = ranked(docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text")), rules(F.col("_text")), share, seed)
+    order = ranked(docs, text, share, seed)
     df = features(docs, text)
     ready = {
         "few_words": F.col("n_words") < 50,
@@ -136,5 +155,7 @@ def measured(docs: DataFrame, text: str = "text", share: float = SAMPLE, seed: i
 
 def filtered(docs: DataFrame, text: str = "text", share: float = SAMPLE, seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, columns as they were."""
-    order = ranked(docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text")), rules(F.col("_text")), share, seed)
-    return docs.where(cascade(rules(F.coalesce(F.col(text), F.lit(""))), order).isNull())
+    order = ranked(docs, text, share, seed)
+    body = F.coalesce(F.col(text), F.lit(""))
+    rejected = _bound(F.struct(body.alias("text"), words(body).alias("words")), lambda r: cascade(rules(r["text"], r["words"]), order))
+    return docs.where(rejected.isNull())

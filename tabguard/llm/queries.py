@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tabguard.llm import decontaminate, htmltext, lm, nearjoin, personal, quality, secrets, subwords, tokencount, tokenfiles
 from tabguard.llm.shared import table
@@ -13,7 +14,8 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    """A source's documents of one language are taken as a repository, the source as its owner."""
+    return secrets.scan(table(spark, sf_dir, "documents"), repository=F.concat_ws("/", "source", "lang"))
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

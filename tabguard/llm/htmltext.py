@@ -8,6 +8,8 @@ ranks of its own pages' suffixes (1, 2, 4, 8 tokens) and counts the distinct pag
 merges the groups of all tasks by a 64-bit hash of the host and the suffix. So that suffixes that stand alone are not
 shuffled, the array is sparse at first: every run of ``LONG`` tokens has one of its ``GRAM``-token grams, the one of the
 least hash, as its anchor, equal runs have equal anchors, and only runs whose anchor is on enough pages are merged.
+The repeated runs are kept as sorted files of hashes that workers map into memory, so that looking up where they stand
+needs no join by run, whose hot keys would be the commonest footers.
 
 A page with an ``article`` element (or else ``main``) gives that element's text, whole, whatever it shares with others:
 its repeats are only reported. A page without one gives its blocks without the covered runs, so that unique runs stay.
@@ -17,6 +19,8 @@ scripts, styles and reader comments never count; an element that is never closed
 dt, td, th or tr as HTML has it, at the next one or with its parent; rows with equal or null ids are kept apart; a null
 or odd url has the empty host; an empty table gives an empty result; further columns are ignored. Pages of any length
 are read whole.
+
+The files are opened by path, so the shared folder must be mounted as one.
 """
 
 from __future__ import annotations
@@ -28,16 +32,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabguard.llm import wordarrays as W
+from tabguard.llm.keyfiles import Keys, written
 from tabguard.llm.shared import dropped, stored
 from tabguard.llm.sketch import bits_of
 
 LONG, GRAM, PAGES = 8, 4, 3
-#: Most runs that are looked up in a broadcast table; the others have so few positions that a join by run has no hot key.
-HOT = 1 << 18
+#: Bits of an anchor's hash that are counted: a filter's table has fewer slots, so more would only be carried about.
+ANCHOR_BITS = 40
 IS_TOKEN = W.byte_table(b" ")
 
 # Element names and the words in class, id or role that mark what is not main text.
@@ -252,7 +258,7 @@ class _Streams:
         anchor = np.full(len(at), np.iinfo(np.uint64).max, np.uint64)
         for k in range(LONG - GRAM + 1):
             np.minimum(anchor, grams[at + k], out=anchor)
-        return at, W.windows(self.tokens, LONG)[at], anchor
+        return at, W.windows(self.tokens, LONG)[at], W.mix(anchor >> np.uint64(64 - ANCHOR_BITS))
 
     def suffix_array(self) -> tuple[np.ndarray, np.ndarray]:
         """(suffixes of LONG or more tokens in their order, for each how many tokens, up to LONG, it shares with the one before).
@@ -303,7 +309,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch], likely) -> Iterator[pa.RecordBatch]:
-    """run, n, m: groups of neighbours in the suffix array that share LONG tokens, with their pages and positions."""
+    """run, n: groups of neighbours in the suffix array that share LONG tokens, and on how many pages they are."""
     for batch in batches:
         for _, s in _pieces(batch, 0, 1):
             order, shared = s.suffix_array()
@@ -311,50 +317,37 @@ def _neighbours(batches: Iterator[pa.RecordBatch], likely) -> Iterator[pa.Record
             place = np.full(len(s.tokens), -1)
             place[at] = np.arange(len(at))
             first = np.flatnonzero(shared < LONG)
-            m = np.diff(np.append(first, len(order)))
             page = s.page[order]
-            group = np.repeat(np.arange(len(first)), m)
+            group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
             new = np.append(True, (page[1:] != page[:-1]) | (group[1:] != group[:-1])) if len(order) else np.zeros(0, bool)
             n = np.bincount(group[new], minlength=len(first))  # suffixes of a group are in page order
             own = place[order[first]]
             ok = likely.value.has(anchor[own])
-            yield pa.RecordBatch.from_arrays([pa.array(W.signed(key[own][ok])), pa.array(n[ok], pa.int64()), pa.array(m[ok], pa.int64())], names=["run", "n", "m"])
+            yield pa.RecordBatch.from_arrays([pa.array(W.signed(key[own][ok])), pa.array(n[ok], pa.int64())], names=["run", "n"])
 
 
-def _covered(batches: Iterator[pa.RecordBatch], often, hot) -> Iterator[pa.RecordBatch]:
-    """run, sure, row_no, start: the positions of runs that may be boilerplate; ``sure`` ones are, and have a key of their own."""
-    for batch in batches:
-        rows = batch.column(0).to_numpy(zero_copy_only=False)
-        for a, s in _pieces(batch, 1, 2):
-            at, key, _ = s.runs()
-            some = np.flatnonzero(often.value.has(key))
-            at, key = at[some], key[some]
-            place = np.minimum(np.searchsorted(hot.value, key), max(0, len(hot.value) - 1))
-            sure = hot.value[place] == key if len(hot.value) else np.zeros(len(key), bool)
-            row = rows[a + s.page[at]]
-            start = at - s.rows[:-1][s.page[at]]
-            key = np.where(sure, W.mix(row.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start.astype(np.uint64)), key)
-            yield pa.RecordBatch.from_arrays([pa.array(W.signed(key)), pa.array(sure), pa.array(row), pa.array(start, pa.int32())], names=["run", "sure", "row_no", "start"])
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], likely, often: tuple[str, int]) -> Iterator[pa.RecordBatch]:
     """Text of each page, and how many tokens of its article and of its other blocks the repeated runs cover."""
+    keys = Keys.of(often)
     for batch in batches:
+        article, own = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (3, 4))
+        streams = batch.column(5)
         texts, inside, outside = [], [], []
-        for article, own, stream, starts in zip(*batch.columns[2:], strict=True):
-            article, own = article.as_py(), own.as_py()
-            tokens = stream.as_py().split(" ")[: article + own]
-            mark = np.zeros(article + own + 1, np.int64)
-            if starts.is_valid:
-                at = np.asarray(starts.values)
-                at = at[at < article + own]
-                np.add.at(mark, at, 1)
-                np.add.at(mark, np.minimum(at + LONG, article + own), -1)
+        for a, s in _pieces(batch, 2, 5):
+            at, key, anchor = s.runs()
+            some = np.flatnonzero(likely.value.has(anchor))
+            some = some[keys.has(key[some])]
+            mark = np.zeros(len(s.tokens) + 1, np.int64)
+            mark[at[some]] += 1  # runs start at different places
+            np.add.at(mark, at[some] + LONG, -1)
             covered = np.cumsum(mark)[:-1] > 0
-            inside.append(int(covered[:article].sum()))
-            outside.append(int(covered[article:].sum()))
-            kept = tokens[:article] if article else [tokens[i] for i in np.flatnonzero(~covered).tolist()]
-            texts.append(" ".join(kept))
+            for k, (i, j) in enumerate(zip(s.rows, s.rows[1:], strict=False)):
+                n, m = article[a + k], own[a + k]
+                here = covered[i:j]
+                inside.append(int(here[:n].sum()))
+                outside.append(int(here[n : n + m].sum()))
+                tokens = streams[a + k].as_py().split(" ")[: n + m]
+                texts.append(" ".join(tokens[:n] if n else [tokens[x] for x in np.flatnonzero(~here[:m]).tolist()]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(inside, pa.int64()), pa.array(outside, pa.int64())], names=["page_id", "url", "text", "n_shared", "n_boilerplate"])
 
 
@@ -362,31 +355,24 @@ def _longs(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     yield batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
 
 
-def repeated_runs(parsed: DataFrame) -> DataFrame:
-    """run, m: the runs of LONG tokens on PAGES or more pages of one host, and how many positions they have."""
-    shared = parsed.sparkSession.sparkContext.broadcast
+def repeated_runs(parsed: DataFrame) -> tuple[Broadcast, tuple[str, int]]:
+    """(filter of anchors, files of the runs of LONG tokens on PAGES or more pages of one host)"""
     streams = parsed.select("host", "stream")
     anchors = stored(streams.mapInArrow(_anchors, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= PAGES).select("key"), "html-anchors")
-    likely = shared(bits_of(anchors, _longs, anchors.count()))
+    likely = parsed.sparkSession.sparkContext.broadcast(bits_of(anchors, _longs, anchors.count()))
     dropped(anchors)
-    groups = streams.mapInArrow(lambda b: _neighbours(b, likely), "run long, n long, m long").groupBy("run").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    return stored(groups.where(F.col("n") >= PAGES).select("run", "m"), "html-runs")
+    groups = streams.mapInArrow(lambda b: _neighbours(b, likely), "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
+    often = stored(groups.where(F.col("n") >= PAGES).select("run"), "html-runs")
+    at = written(often, "html-run-files")
+    dropped(often)
+    return likely, at
 
 
 def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every row, with n_shared and n_boilerplate: repeated tokens in and outside the article."""
-    shared = pages.sparkSession.sparkContext.broadcast
-    source = pages.select(F.monotonically_increasing_id().alias("row_no"), F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"))
+    source = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"))
     kind = source.schema["page_id"].dataType.simpleString()
-    parsed = stored(source.mapInArrow(_parsed, f"row_no long, page_id {kind}, url string, host string, article int, own int, stream string"), "html-streams", compression="zstd")
-    often = repeated_runs(parsed)
-    # At most HOT runs can have a share of 1 / HOT of all positions or more each.
-    size = often.agg(F.count("*").alias("n"), F.sum("m").alias("m")).first()
-    hot = often.where(F.col("m") * HOT > (size["m"] or 0)).select("run").toArrow().column(0).to_numpy().view(np.uint64)
-    table, hot = shared(bits_of(often, _longs, size["n"])), shared(np.sort(hot))
-    likely = parsed.select("row_no", "host", "stream").mapInArrow(lambda b: _covered(b, table, hot), "run long, sure boolean, row_no long, start int")
-    known = often.where(F.col("m") * HOT <= (size["m"] or 0)).select("run", F.lit(True).alias("found"))
-    starts = likely.join(known, "run", "left").where("sure OR found").groupBy("row_no").agg(F.collect_list("start").alias("starts"))
-    columns = ["page_id", "url", "article", "own", "stream", "starts"]
-    out = parsed.join(starts, "row_no", "left").select(*columns).mapInArrow(_cut, f"page_id {kind}, url string, text string, n_shared long, n_boilerplate long")
+    parsed = stored(source.mapInArrow(_parsed, f"page_id {kind}, url string, host string, article int, own int, stream string"), "html-streams", compression="zstd")
+    likely, often = repeated_runs(parsed)
+    out = parsed.mapInArrow(lambda b: _cut(b, likely, often), f"page_id {kind}, url string, text string, n_shared long, n_boilerplate long")
     return out.withColumn("n_chars", F.length("text").cast("long"))

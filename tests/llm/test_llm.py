@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabguard.llm import decontaminate, htmltext, lm, nearjoin, personal, quality, secrets, subwords, tokencount, tokenfiles
+from tabguard.llm import wordarrays as W
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -354,6 +355,97 @@ def test_boilerplate_against_brute_force(spark):
         assert row["text"] == ("a" if k in article else " ".join(x for j, x in enumerate(w) if j not in gone))
 
 
+def test_wrappers_roles_and_several_main_elements():
+    b = htmltext.blocks
+    assert b('<div class="content has-sidebar"><article>T</article><p>x</p></div>')[0] == ["T"]
+    assert b('<div role="main"><p>T</p></div><p>x</p>')[:2] == (["T"], ["x"])
+    assert b("<main><p>x</p><article>T</article></main>")[:2] == (["T"], ["x"])
+    assert b("<main>T<nav>x</nav></main>y")[:2] == (["T"], ["y"])
+
+
+def test_suffix_array_against_sorting():
+    r = np.random.default_rng(8)
+    rows = [" ".join(r.choice(["a", "b", "c"], int(r.integers(0, 40)))) for _ in range(12)] + ["", "x"]
+    data, offsets = W.bytes_of(pa.array(rows))
+    s = htmltext._Streams(pa.array(["h"] * len(rows)), data, offsets)
+    order, shared = s.suffix_array()
+    words = [t.split() for t in rows]
+    rank = {t: i for i, t in enumerate(np.unique(s.tokens).tolist())}
+    suffix = lambda k: [rank[t] for t in s.tokens[k : k + min(int(s.left[k]), htmltext.LONG)].tolist()]
+    want = [k for k in range(len(s.tokens)) if s.left[k] >= htmltext.LONG]
+    assert sorted(order.tolist()) == want and [suffix(k) for k in order] == sorted(map(suffix, want))
+    for x, y, n in zip(order, order[1:], shared[1:], strict=False):
+        assert n == next((k for k in range(htmltext.LONG) if s.tokens[x + k] != s.tokens[y + k]), htmltext.LONG)
+    assert sum(map(len, words)) == len(s.tokens)
+
+
+def test_odd_and_empty_pages(spark):
+    schema = "page_id long, url string, html string, text string, host string, n long"
+    assert htmltext.extracted(spark.createDataFrame([], schema)).count() == 0
+    long = "<article>" + "<p>many words of one very long page here</p>" * 30000 + "</article>"
+    rows = [(None, None, None, "x", "y", 1), (1, "odd", "", None, None, None), (1, "http://a/b", "<p", "x", "y", 1), (2, "http://a/", long, "x", "y", 1), (2, "http://a/", long, "x", "y", 1)]
+    got = htmltext.extracted(spark.createDataFrame(rows, schema)).collect()
+    assert len(got) == 5 and sorted(x["n_chars"] for x in got)[-2:] == [40 * 30000 - 1] * 2
+
+
+def test_stages_on_odd_and_empty_tables(spark, empty):
+    bench = spark.createDataFrame([("i1", "one two three")], "item_id string, text string")
+    for run in (quality.filtered, nearjoin.deduplicated, lambda d: decontaminate.cleaned(d, bench), secrets.redact):
+        assert run(empty).count() == 0
+        d = odd(spark).withColumn("_row", F.lit(5)).withColumn("_row0", F.lit(6))
+        out = run(d)
+        assert out.columns == d.columns and 0 < out.count() <= d.count() if run is not quality.filtered else out.columns == d.columns
+
+
+def test_a_widely_copied_value_and_many_others(spark):
+    rows = [f"token=examplekey99 and password=own{i:04d}secret{i}" for i in range(400)]
+    got = {r["doc_id"]: r for r in secrets.scan(docs(spark, rows), repository=F.concat_ws("/", "source", "lang")).collect()}
+    assert all(r["n_live"] == 1 and r["n_example"] == 1 for r in got.values())
+
+
+def test_contexts_with_quotes_and_signs(spark):
+    rows = [f'customer "10.0.0.{i}" said, customer = 10.1.0.{i} and the client number 10.2.0.{i} too' for i in range(12)]
+    rows += ["x client y number z"] * 200 + ['so customer "ZX-4455-9911" is', "so customer = QX-4455-9911 is", "the client number KV-4455-9911 is", "a number KV-4455-9912 is"]
+    got = {r["doc_id"]: r["n_discovered"] for r in personal.scan(docs(spark, rows)).collect()}
+    assert [got[212], got[213], got[214], got[215]] == [1, 1, 1, 0]
+
+
+def test_language_model_against_brute_force(spark):
+    import math
+
+    rows = [*texts(n=50), "", "One one ONE two", None]
+    schema = [(i, t, "en", "s", 0) for i, t in enumerate(rows)]
+    d = spark.createDataFrame(schema, SCHEMA)
+    toks = {i: [*WORD.findall(low(t)), None] for i, t in enumerate(rows)}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in toks}
+    train = [toks[i] for i in toks if not held[i]]
+    c = Counter(w for t in train for w in t)
+    n, v = sum(c.values()), len(c)
+    pairs = Counter(p for t in train for p in zip([0, *t], t, strict=False))
+    kinds = lambda values: [sum(x == k for x in values) for k in (1, 2, 3, 4)]
+    before = Counter(w for _, w in pairs)
+    d2, d1 = lm.discounts(kinds(pairs.values())), lm.discounts(kinds(before.values()))
+    cut = lambda x, ds: ds[min(x, 3) - 1] if x else 0.0
+    spread = sum(cut(x, d1) for x in before.values()) / len(pairs) / (v + 1)
+    context = {}
+    for (a, _), x in pairs.items():
+        context.setdefault(a, []).append(x)
+
+    def p(a, w):
+        one = max(0.0, before.get(w, 0) - cut(before.get(w, 0), d1)) / len(pairs) + spread
+        if a not in context:
+            return one
+        total = sum(context[a])
+        x = pairs.get((a, w), 0)
+        return max(0.0, x - cut(x, d2)) / total + sum(cut(y, d2) for y in context[a]) / total * one
+
+    for r in lm.cross_scored(d).collect():
+        t = toks[r["doc_id"]]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(t), sum(w in c for w in t), n, held[r["doc_id"]])
+        assert abs(r["base_score"] - sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t)) < 1e-6
+        assert abs(r["score"] - sum(math.log10(p(a, w)) for a, w in zip([0, *t], t, strict=False))) < 1e-6
+
+
 def test_pipeline_stages_keep_columns(spark, tmp_path):
     import corpus_pipeline as C
 

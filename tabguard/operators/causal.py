@@ -13,18 +13,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabguard.functions.numeric import clip, t_two_sided, unpivot
-from tabguard.operators.ranks import hashed_order
+from tabguard.operators.ranks import hashed_order, with_rank
 
 # Folds, replicates and thresholds of the proof and of fingerprints.
 FOLDS, REPLICATES, PLACEBOS = 3, 100, 5
 LEAST_EFFECT, P_MOST, PLACEBO_MOST = 0.01, 0.05, 0.20
 LABEL_DELTA, TIGHT_RATIO, SPIKE_LIFT, FEATURE_Z, Z_FEATURES, HOMOGENEITY = 0.15, 2.5, 3.0, 2.0, 2, 0.60
 CONFIRMED, SUSPECTED = 0.70, 0.40
+#: Added before rounding, so that decimal ties go up whatever their binary form.
+TIE = 1e-9
 
 _POISSON = np.cumsum(np.exp(-1) / np.array([1, 1, 2, 6, 24, 120, 720, 5040]))
 
@@ -34,6 +37,21 @@ def with_fold(df: DataFrame, keys: list[str], folds: int = FOLDS, seed: int = 42
     return df.withColumn("_hash", hashed_order(keys, seed)).withColumn("_fold", F.pmod(F.xxhash64("_hash"), F.lit(folds)).cast("int"))
 
 
+def stratified_fold(df: DataFrame, keys: list[str], label: str, folds: int = FOLDS, seed: int = 42) -> DataFrame:
+    """``df`` with _fold: rows of each class dealt evenly, by hash, to as many folds as the smallest class has rows, ``folds`` at most.
+
+    With fewer than two in the smallest class there are no folds: _fold is 0 for about 30 % of the rows (the held-out
+    part) and 1 for the others. Null labels count as a class of their own.
+    """
+    smallest = df.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n").alias("n")).first()["n"] or 0
+    k = min(folds, smallest)
+    hashed = df.withColumn("_hash", hashed_order(keys, seed))
+    if k < 2:
+        return hashed.withColumn("_fold", F.when(F.pmod("_hash", F.lit(10)) < 3, 0).otherwise(1)).drop("_hash")
+    # Rows of a class follow each other in this order, so their positions leave every remainder about equally often.
+    return with_rank(hashed, [label, "_hash", *keys], "_nth").withColumn("_fold", F.pmod("_nth", F.lit(k)).cast("int")).drop("_hash", "_nth")
+
+
 def plan(replicates: int = REPLICATES, placebos: int = PLACEBOS, folds: int = FOLDS) -> list[tuple[str, int, int, int]]:
     """(kind, replicate, arm, fold): full, bootstrap and placebo fits; arm 1 leaves rows out."""
     runs = [("full", 0)] + [("bootstrap", r) for r in range(1, replicates + 1)] + [("placebo", r) for r in range(1, placebos + 1)]
@@ -143,6 +161,37 @@ def tree_effect(df: DataFrame, features: list[str], label: str, flagged: str, ke
     return df.sparkSession.createDataFrame([(kind, a, b, b - a)], "proxy string, accuracy_with double, accuracy_without double, effect double")
 
 
+def shuffled_placebo(reps: DataFrame, most: float = 0.3) -> DataFrame:
+    """Variant: effect of the flagged rows, mean effect of as many rows under shuffled marks, and whether that is under ``most`` of it.
+
+    ``reps`` comes from ``replicates``, whose placebo removals are masks of the same share by hash.
+    """
+    own, other = (F.avg(F.when(F.col("kind") == k, F.col("effect"))) for k in ("full", "placebo"))
+    out = reps.agg(own.alias("effect"), F.coalesce(other, F.lit(0.0)).alias("placebo_effect"))
+    return out.withColumn("placebo_valid", (F.col("effect") > 0) & (F.abs("placebo_effect") < most * F.col("effect")))
+
+
+def row_effects(df: DataFrame, features: list[str], label: str, flagged: str, keys: list[str], ridge: float = 1.0) -> DataFrame:
+    """Variant: the columns ``keys`` and effect of every flagged row: the fall of the other rows' mean log loss if it is left out.
+
+    One logistic model is fitted on all rows; leaving one row out moves its coefficients by one Newton step, whose
+    effect on the mean loss of rows that are not flagged is a product of sums that all rows share and the row's own
+    gradient. So no model is fitted per row, and no number of rows needs a cap.
+    """
+    beta, _ = fit(df, features, label, flagged, keys, [("full", 0, 0, -1)], ridge=ridge)
+    x = [*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features], F.lit(1.0)]
+    q = len(x)
+    logit = sum((float(b) * v for b, v in zip(beta[0][1:], x[1:], strict=True)), float(beta[0][0]) * x[0])
+    rows = df.withColumn("_p", 1 / (1 + F.exp(-logit))).withColumn("_y", F.col(label).cast("double")).where("_y IS NOT NULL")
+    w, gap, mine = F.col("_p") * (1 - F.col("_p")), F.col("_p") - F.col("_y"), F.coalesce(F.col(flagged), F.lit(False))
+    sums = rows.agg(*[F.sum(w * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(q) for j in range(i, q)], *[F.avg(F.when(~mine, gap * x[i])).alias(f"g{i}") for i in range(q)]).first()
+    h = np.array([[sums[f"h{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(q)] for i in range(q)]) + np.diag([ridge] * (q - 1) + [1e-9])
+    way = np.linalg.solve(h, np.array([sums[f"g{i}"] or 0.0 for i in range(q)]))
+    # Without the row the coefficients move by H^-1 times its gradient.
+    effect = -gap * sum((float(a) * v for a, v in zip(way[1:], x[1:], strict=True)), float(way[0]) * x[0])
+    return rows.where(mine).select(*keys, effect.alias("effect"))
+
+
 def proof(reps: DataFrame, effects: list[float]) -> DataFrame:
     """One row: causal_effect (median of proxies), its interval and p-value, placebo ratio, proof_valid, suspicion."""
     b = reps.where("kind = 'bootstrap'").agg(F.percentile("effect", [0.025, 0.975]).alias("ci"), F.avg("effect").alias("m"), F.stddev_samp("effect").alias("s"), F.count("effect").alias("n")).first()
@@ -161,7 +210,7 @@ def degradation(df: DataFrame) -> DataFrame:
     """days, projected accuracy: what exceeds one half decays by 30 % a month, if proof_valid."""
     out = df.withColumn("days", F.explode(F.array(F.lit(30), F.lit(60), F.lit(90))))
     fall = 0.5 + F.greatest(F.col("accuracy") - 0.5, F.lit(0.0)) * F.pow(F.lit(0.7), F.floor(F.col("days") / 30))
-    return out.withColumn("projected", F.when(F.col("proof_valid"), F.round(fall, 4)).otherwise(F.col("accuracy")))
+    return out.withColumn("projected", F.when(F.col("proof_valid"), F.round(fall + TIE, 4)).otherwise(F.col("accuracy")))
 
 
 # ---- fingerprints --------------------------------------------------------------------------------------------------------
@@ -175,6 +224,17 @@ def label_and_shift(df: DataFrame, features: list[str], label: str = "label", fl
     return out.select("label_delta", (F.aggregate("z", F.lit(0.0), lambda a, x: a + x) / len(features)).alias("mean_feature_z"), F.size(F.filter("z", lambda x: x > FEATURE_Z)).alias("n_shifted"))
 
 
+def inertia_ratio(df: DataFrame, features: list[str], flagged: str = "flagged", seed: int = 42) -> DataFrame:
+    """n, inertia_ratio: how much two clusters of the flagged rows are tighter than one (0 under six rows)."""
+    rows = df.where(flagged).withColumn("_v", array_to_vector(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])))
+    own = rows.agg(F.count("*").alias("n"), *[F.var_pop(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(f"_{i}") for i, c in enumerate(features)]).first()
+    ratio = 0.0
+    if own["n"] >= 6:
+        one = own["n"] * sum(own[f"_{i}"] for i in range(len(features)))
+        ratio = one / (KMeans(k=2, seed=seed, featuresCol="_v", maxIter=50).fit(rows).summary.trainingCost + 1e-9)
+    return df.sparkSession.createDataFrame([(own["n"], float(ratio))], "n long, inertia_ratio double")
+
+
 def value_spikes(df: DataFrame, features: list[str], flagged: str = "flagged", top: int | None = 5) -> DataFrame:
     """feature, value (2 digits), flagged_freq, clean_freq, lift: values frequent among flagged rows and rare elsewhere."""
     cells = unpivot(df, features, [flagged]).select(F.col(flagged).alias("f"), "feature", F.round("value", 2).alias("value"))

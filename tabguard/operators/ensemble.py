@@ -61,15 +61,18 @@ def _path(n: int) -> float:
 def isolation_forest(df: DataFrame, features: list[str], keys: list[str], reference: Column, trees: int = TREES, per_tree: int = PER_TREE, seed: int = 42) -> DataFrame:
     """``df`` with isolation_score and isolation_flag (above the reference's 95th percentile).
 
-    Each tree grows in its own group from at most ``per_tree`` reference rows picked by hash; the node table is small
-    (trees x per_tree rows) and goes to every scoring task.
+    Reference rows are drawn by hash once, about 2 x trees x per_tree of them however many there are (few rows are
+    drawn several times), and dealt to trees; each tree grows in its own group from at most ``per_tree`` rows. The node
+    table is small (trees x per_tree rows) and goes to every scoring task.
     """
-    n = df.where(reference).count()
-    share = min(1.0, 4 * per_tree / max(n, 1))
-    pool = df.where(reference).select(*[F.col(c).cast("double").alias(c) for c in features], *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
-    dealt = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    draw = hashed_order([*[f"_k{i}" for i in range(len(keys))], "tree"], seed)
-    drawn = dealt.where(F.pmod(draw, F.lit(1_000_000)) < math.ceil(share * 1_000_000)).withColumn("_o", draw)
+    n = max(1, df.where(reference).count())
+    wanted = 2 * trees * per_tree  # twice what the trees take, so that few of them fall short by chance
+    copies = min(trees, -(-wanted // n))
+    pool = df.where(reference).select(*[F.col(c).cast("double").alias(c) for c in features], hashed_order(keys, seed).alias("_h"))
+    if wanted < n:
+        pool = pool.where(F.pmod("_h", F.lit(1_000_000)) < math.ceil(1_000_000 * wanted / n))
+    drawn = pool.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumn("_o", F.xxhash64("_h", "_i"))
+    drawn = drawn.withColumn("tree", F.pmod("_o", F.lit(trees)).cast("int"))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(pdf["tree"].iloc[0])

@@ -114,10 +114,10 @@ def mark_suspected(rows: DataFrame, score: str = "ensemble_score", status: str =
 
 
 def no_detection_projection(df: DataFrame) -> DataFrame:
-    """days, projected_accuracy, accuracy_loss, harm for 30, 60, 90 days from causal_effect, accuracy, n_predictions."""
+    """days, projected_accuracy, accuracy_loss, harm for 30, 60, 90 days from causal_effect, accuracy, n_predictions; decimal ties go up."""
     out = df.withColumn("days", F.explode(F.array(F.lit(30), F.lit(60), F.lit(90))))
     loss = F.least(F.abs("causal_effect") * (1 + F.col("days") / 30 * 0.3), F.lit(0.25))
-    return out.withColumn("projected_accuracy", F.round(F.greatest(F.lit(0.6), F.col("accuracy") - loss), 4)).withColumn("accuracy_loss", F.round(loss, 4)).withColumn("harm", F.floor(F.col("n_predictions") * (F.col("days") / 30)).cast("long"))
+    return out.withColumn("projected_accuracy", F.round(F.greatest(F.lit(0.6), F.col("accuracy") - loss) + 1e-9, 4)).withColumn("accuracy_loss", F.round(loss, 4)).withColumn("harm", F.floor(F.col("n_predictions") * (F.col("days") / 30)).cast("long"))
 
 
 def timeline(samples: DataFrame) -> DataFrame:

@@ -82,13 +82,12 @@ def robust_covariance(df: DataFrame, features: list[str], support: float = 0.8,
 
 
 def squared_distance(df: DataFrame, features: list[str], mean: np.ndarray, inv: np.ndarray, name: str = "d2") -> DataFrame:
-    """``df`` with the squared Mahalanobis distance of each row, as one column expression."""
-    x = [F.col(c) - float(m) for c, m in zip(features, mean, strict=True)]
-    total = F.lit(0.0)
-    for i in range(len(x)):
-        for j in range(i, len(x)):
-            total = total + x[i] * x[j] * float(inv[i, j] * (1 if i == j else 2))
-    return df.withColumn(name, total)
+    """``df`` with the squared Mahalanobis distance of each row, as one column expression over arrays."""
+    gap = F.array(*[F.col(c) - float(m) for c, m in zip(features, mean, strict=True)])
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda t, u: t + u)
+    rows = F.array(*[F.lit([float(v) for v in r]) for r in inv])
+    turned = lambda x: dot(x, F.transform(rows, lambda r: dot(r, x)))
+    return df.withColumn(name, F.get(F.transform(F.array(gap), turned), F.lit(0)))
 
 
 def mahalanobis_of_medians(rows: DataFrame, features: list[str], scope: str = "union") -> DataFrame:

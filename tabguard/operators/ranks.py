@@ -5,33 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabguard.sources.tables import stored
 
-def _number(df: DataFrame, name: str) -> Column:
-    """A column's order as a number: timestamps and dates in seconds, numbers as they are."""
-    kind = df.schema[name].dataType.typeName()
-    if kind in ("timestamp", "date", "timestamp_ntz"):
-        return F.col(name).cast("timestamp").cast("double")
-    return F.col(name).cast("double")
 
-
-def with_rank(df: DataFrame, order_by: list[str], name: str = "row_rank", buckets: int = 64) -> DataFrame:
+def with_rank(df: DataFrame, order_by: list[str], name: str = "row_rank") -> DataFrame:
     """``df`` with each row's 0-based position in the order of ``order_by`` (which must be total, for equal results).
 
-    Approximate quantiles of the first column, which must be a number or a time, deal rows into buckets that follow
-    each other in the order; positions are counted within buckets, and the sizes of earlier buckets are added. Only
-    the quantiles and one count per bucket leave the executors. Null comes first.
+    The rows are range partitioned by the whole key, sorted and numbered within their partitions, and written once to
+    the shared folder; the sizes of earlier partitions are added. Keys may be of any type that sorts, a constant first
+    column costs nothing, and only a row per partition is broadcast. Null comes first.
     """
-    first = _number(df, order_by[0])
-    cuts = df.agg(F.approx_percentile(first, [i / buckets for i in range(1, buckets)], 10_000).alias("q")).first()["q"] or []
-    cuts = sorted(set(cuts))
-    bucket = F.aggregate(F.array([F.lit(c) for c in cuts]), F.lit(0), lambda a, c: a + (first >= c).cast("int")) if cuts else F.lit(0)
-    dealt = df.withColumn("_bucket", F.when(first.isNull(), -1).otherwise(bucket))
-    sizes = dealt.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
-    offsets = sizes.select("_bucket", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
-    w = Window.partitionBy("_bucket").orderBy(*order_by)
-    ranked = dealt.withColumn("_within", F.row_number().over(w) - 1)
-    return ranked.join(F.broadcast(offsets), "_bucket").withColumn(name, F.col("_before") + F.col("_within")).drop("_bucket", "_within", "_before")
+    placed = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumn("_at", F.monotonically_increasing_id())
+    placed = stored(placed, "ranked")
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    ranked = placed.join(F.broadcast(offsets), part == F.col("_part"))
+    return ranked.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_before")
 
 
 def with_count(df: DataFrame, name: str = "n_rows") -> DataFrame:

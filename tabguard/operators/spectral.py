@@ -107,6 +107,16 @@ def cluster_analysis(df: DataFrame, plane: str = "plane", seed: int = 42) -> Dat
     return cluster_measures(out, plane).withColumns({"inertia_gap": F.lit(float(gap)), "silhouette": F.lit(float(sil))})
 
 
+def cluster_analysis_twice(df: DataFrame, vector: str, features: list[str], seed: int = 42) -> DataFrame:
+    """The cluster analysis on the plane of the activations and on that of the features; the one with the smaller minority, the first of equals."""
+    plane = lambda v: projected(df.withColumn("_own", v), "_own")
+    own = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
+    passes = [cluster_analysis(plane(v), "plane", seed).withColumn("plane", F.lit(name)).withColumn("nth", F.lit(i)) for i, (name, v) in enumerate((("activations", F.col(vector)), ("features", own)))]
+    both = passes[0].unionByName(passes[1])
+    best = both.agg(F.min_by(F.struct(*both.columns), F.struct("minority_ratio", "nth")).alias("r"))
+    return best.select("r.*").drop("nth")
+
+
 def _scaled(value: Column, zero: Column | float, spread: float) -> Column:
     return 1 / (1 + F.exp(-(value - zero) / spread * 3))
 

@@ -35,7 +35,7 @@ def _counted(df, flag):
 
 @query()
 def e02_isolation_forest(spark, sf_dir):
-    return _counted(ensemble.isolation_forest(prepared(spark, sf_dir), FEATURES, ORDER, reference(), 50), "isolation_flag")
+    return _counted(ensemble.isolation_forest(prepared(spark, sf_dir), FEATURES, ORDER, reference()), "isolation_flag")
 
 
 @query()
@@ -45,12 +45,14 @@ def e03_one_class(spark, sf_dir):
 
 def vectors(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    return v.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(4)], F.when(F.col("vec_id") % 10 < 7, "reference").otherwise("incoming").alias("split"))
+    return v.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(DIMENSIONS)], F.when(F.col("vec_id") % 10 < 7, "reference").otherwise("incoming").alias("split"))
 
 
-_V = ["v0", "v1", "v2", "v3"]
-_VSQL = "v AS (SELECT vec_id, embedding[1]::DOUBLE AS v0, embedding[2]::DOUBLE AS v1, embedding[3]::DOUBLE AS v2, embedding[4]::DOUBLE AS v3, CASE WHEN vec_id % 10 < 7 THEN 'reference' ELSE 'incoming' END AS split FROM embeddings)"
-_D2 = "((a.v0 - b.v0) ** 2 + (a.v1 - b.v1) ** 2 + (a.v2 - b.v2) ** 2 + (a.v3 - b.v3) ** 2)"
+#: Coordinates of an embedding.
+DIMENSIONS = 64
+_V = [f"v{i}" for i in range(DIMENSIONS)]
+_VSQL = "v AS (SELECT vec_id, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS v{i}" for i in range(DIMENSIONS)) + ", CASE WHEN vec_id % 10 < 7 THEN 'reference' ELSE 'incoming' END AS split FROM embeddings)"
+_D2 = "(" + " + ".join(f"(a.v{i} - b.v{i}) ** 2" for i in range(DIMENSIONS)) + ")"
 _NN = f"nn AS (SELECT a.vec_id AS key, b.vec_id AS other, sqrt({_D2}) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_D2}, b.vec_id) AS nth FROM v a JOIN v b ON a.vec_id <> b.vec_id)"
 
 
@@ -67,10 +69,10 @@ def e05_estimate_eps(spark, sf_dir):
     return rounded(ensemble.estimate_eps(vectors(spark, sf_dir), _V, "vec_id"), "eps")
 
 
-@query(f"""WITH {_VSQL}, p AS (SELECT a.vec_id AS key, b.vec_id AS other FROM v a JOIN v b ON {_D2} <= 0.0064), c AS (SELECT key FROM p GROUP BY key HAVING count(*) >= 6)
+@query(f"""WITH {_VSQL}, p AS (SELECT a.vec_id AS key, b.vec_id AS other FROM v a JOIN v b ON {_D2} <= 0.81), c AS (SELECT key FROM p GROUP BY key HAVING count(*) >= 6)
 SELECT vec_id AS key, vec_id NOT IN (SELECT key FROM p WHERE other IN (SELECT key FROM c)) AS noise FROM v""")
 def e06_density_noise(spark, sf_dir):
-    return ensemble.density_noise(vectors(spark, sf_dir), _V, "vec_id", 0.08, 6)
+    return ensemble.density_noise(vectors(spark, sf_dir), _V, "vec_id", 0.9, 6)
 
 
 @query()
@@ -85,7 +87,7 @@ def e08_boosted_pu(spark, sf_dir):
 
 @query()
 def e09_forest_pu(spark, sf_dir):
-    return _counted(ensemble.positive_unlabelled(prepared(spark, sf_dir), FEATURES, ORDER, reference(), "rf", 10), "rf_flag")
+    return _counted(ensemble.positive_unlabelled(prepared(spark, sf_dir), FEATURES, ORDER, reference(), "rf", 100), "rf_flag")
 
 
 _COPOD = f"""{LONG}, cc AS (SELECT feature, value, count(*) FILTER (WHERE split = 'reference') AS r FROM long GROUP BY ALL),
@@ -175,9 +177,9 @@ def e20_boundary_and_tail(spark, sf_dir):
     return rounded(ensemble.pattern_signals(p, ensemble.pattern_reference(p, FEATURES, reference()), FEATURES), "boundary", "tail", digits=5)
 
 
-@query(f"WITH {_VSQL}, s AS (SELECT * FROM v WHERE vec_id < 300), d AS (SELECT sqrt({_D2}) AS d FROM s a JOIN s b ON a.vec_id < b.vec_id) SELECT round(stddev_pop(d) / (avg(d) + 1e-9), 6) AS cv FROM d")
+@query(f"WITH {_VSQL}, d AS (SELECT sqrt({_D2}) AS d FROM v a JOIN v b ON a.vec_id < b.vec_id) SELECT round(stddev_pop(d) / (avg(d) + 1e-9), 6) AS cv FROM d")
 def e21_uniformity(spark, sf_dir):
-    return rounded(ensemble.uniformity(vectors(spark, sf_dir).where("vec_id < 300"), _V, "vec_id"), "cv")
+    return rounded(ensemble.uniformity(vectors(spark, sf_dir), _V, "vec_id"), "cv")
 
 
 @query("""WITH m AS (SELECT o_orderkey, (o_orderkey % 40) / 100.0::DOUBLE AS a, (o_custkey % 50) / 100.0::DOUBLE AS b, (o_orderkey % 90) / 100.0::DOUBLE AS c, (o_custkey % 60) / 100.0::DOUBLE AS d FROM orders)

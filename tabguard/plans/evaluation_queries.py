@@ -8,6 +8,7 @@ from tabguard.operators import causal
 from tabguard.operators.ranks import with_count, with_rank
 from tabguard.plans.base import query, table
 from tabguard.plans.shift_queries import rounded
+from tabguard.sources import tables
 
 _X = ["a", "b", "c"]
 _OSQL = """o AS (SELECT o_orderkey, o_totalprice / 100000 AS a, (o_custkey % 100) / 50.0::DOUBLE AS b, (o_orderkey % 17) / 10.0::DOUBLE AS c, CASE WHEN o_totalprice > 250000 THEN 1 ELSE 0 END AS label, o_orderkey % 9 = 0 AS flagged FROM orders)"""
@@ -23,9 +24,9 @@ def flipped(spark, sf_dir):
     return labelled(spark, sf_dir).withColumn("label", F.when(F.col("flagged"), 1 - F.col("label")).otherwise(F.col("label")))
 
 
-@query()
+@query(f"WITH {_OSQL}, k AS (SELECT least(3, min(n)) AS k FROM (SELECT count(*) AS n FROM o GROUP BY label)), r AS (SELECT label, row_number() OVER (ORDER BY label, o_orderkey) - 1 AS nth FROM o) SELECT CAST(nth % k AS INT) AS _fold, label, count(*) AS n FROM r, k GROUP BY ALL")
 def f01_folds(spark, sf_dir):
-    return causal.with_fold(labelled(spark, sf_dir), ["o_orderkey"]).groupBy("_fold", "label").agg(F.count("*").alias("n"))
+    return causal.stratified_fold(labelled(spark, sf_dir), ["o_orderkey"], "label").groupBy("_fold", "label").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -35,7 +36,7 @@ def f02_logistic_effect(spark, sf_dir):
 
 @query()
 def f03_forest_effect(spark, sf_dir):
-    return causal.tree_effect(flipped(spark, sf_dir), _X, "label", "flagged", ["o_orderkey"], "rf", 5)
+    return causal.tree_effect(flipped(spark, sf_dir), _X, "label", "flagged", ["o_orderkey"], "rf", 50)
 
 
 @query()
@@ -45,23 +46,37 @@ def f04_boosted_effect(spark, sf_dir):
 
 @query()
 def f07_replicates(spark, sf_dir):
-    return causal.replicates(flipped(spark, sf_dir), _X, "label", "flagged", ["o_orderkey"], 20, 5)
+    return causal.replicates(flipped(spark, sf_dir), _X, "label", "flagged", ["o_orderkey"])
 
 
 @query()
 def f10_proof(spark, sf_dir):
-    reps = causal.replicates(flipped(spark, sf_dir), _X, "label", "flagged", ["o_orderkey"], 20, 5).cache()
+    reps = tables.stored(causal.replicates(flipped(spark, sf_dir), _X, "label", "flagged", ["o_orderkey"]))
     lr = reps.where("kind = 'full'").first()["effect"]
-    rf = causal.tree_effect(flipped(spark, sf_dir), _X, "label", "flagged", ["o_orderkey"], "rf", 5).first()["effect"]
-    return causal.proof(reps, [lr, rf])
+    rf = causal.tree_effect(flipped(spark, sf_dir), _X, "label", "flagged", ["o_orderkey"], "rf", 50).first()["effect"]
+    gbt = causal.tree_effect(flipped(spark, sf_dir), _X, "label", "flagged", ["o_orderkey"], "gbt", 3).first()["effect"]
+    return causal.proof(reps, [lr, rf, gbt])
 
 
-@query("WITH x AS (SELECT o_orderkey, 0.5 + (o_custkey % 50) / 100.0::DOUBLE AS acc, o_orderkey % 2 = 0 AS ok, unnest([30, 60, 90]) AS days FROM orders) SELECT o_orderkey, days, round(CASE WHEN ok THEN 0.5 + greatest(acc - 0.5, 0) * 0.7 ** (days // 30) ELSE acc END, 3) AS projected FROM x WHERE abs(((0.5 + greatest(acc - 0.5, 0) * 0.7 ** (days // 30)) * 1000) % 1 - 0.5) > 0.06")
+@query("WITH x AS (SELECT o_orderkey, 0.5 + (o_custkey % 50) / 100.0::DOUBLE AS acc, o_orderkey % 2 = 0 AS ok, unnest([30, 60, 90]) AS days FROM orders) SELECT o_orderkey, days, CASE WHEN ok THEN round(0.5 + greatest(acc - 0.5, 0) * 0.7 ** (days // 30) + 1e-9, 4) ELSE acc END AS projected FROM x")
 def f11_degradation(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", (0.5 + F.col("o_custkey") % 50 / 100.0).alias("accuracy"), (F.col("o_orderkey") % 2 == 0).alias("proof_valid"))
-    out = causal.degradation(o)
-    exact = 0.5 + F.greatest(F.col("accuracy") - 0.5, F.lit(0.0)) * F.pow(F.lit(0.7), F.floor(F.col("days") / 30))
-    return rounded(out.where(F.abs((exact * 1000) % 1 - 0.5) > 0.06), "projected", digits=3).select("o_orderkey", "days", "projected")
+    return causal.degradation(o).select("o_orderkey", "days", "projected")
+
+
+@query()
+def f13_inertia_ratio(spark, sf_dir):
+    return causal.inertia_ratio(labelled(spark, sf_dir), _X)
+
+
+@query()
+def f19_row_effects(spark, sf_dir):
+    return causal.row_effects(flipped(spark, sf_dir), _X, "label", "flagged", ["o_orderkey"])
+
+
+@query()
+def f20_shuffled_placebo(spark, sf_dir):
+    return causal.shuffled_placebo(causal.replicates(flipped(spark, sf_dir), _X, "label", "flagged", ["o_orderkey"], 0))
 
 
 _Z = lambda c: f"abs(avg({c}) FILTER (WHERE flagged) - avg({c}) FILTER (WHERE NOT flagged)) / (stddev_pop({c}) FILTER (WHERE NOT flagged) + 1e-9)"

@@ -90,13 +90,11 @@ def j09_mark_suspected(spark, sf_dir):
 
 
 @query("""WITH x AS (SELECT o_orderkey AS id, (o_orderkey % 20) / 100.0::DOUBLE AS e, 0.7 + (o_custkey % 30) / 100.0::DOUBLE AS acc, o_custkey AS np, unnest([30, 60, 90]) AS days FROM orders), y AS (SELECT *, least(e * (1 + days / 30 * 0.3), 0.25) AS loss FROM x)
-SELECT id, days, round(greatest(0.6, acc - loss), 3) AS projected_accuracy, CAST(floor(np * (days / 30)) AS BIGINT) AS harm FROM y WHERE abs(((acc - loss) * 1000) % 1 - 0.5) > 1e-3""")
+SELECT id, days, round(greatest(0.6, acc - loss) + 1e-9, 4) AS projected_accuracy, CAST(floor(np * (days / 30)) AS BIGINT) AS harm FROM y""")
 def j10_no_detection(spark, sf_dir):
     o, k, c = table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_custkey")
     x = o.select(k.alias("id"), (k % 20 / 100.0).alias("causal_effect"), (0.7 + c % 30 / 100.0).alias("accuracy"), c.alias("n_predictions"))
-    out = forensics.no_detection_projection(x).withColumn("_l", F.least(F.col("causal_effect") * (1 + F.col("days") / 30 * 0.3), F.lit(0.25)))
-    keep = F.abs(((F.col("accuracy") - F.col("_l")) * 1000) % 1 - 0.5) > 1e-3
-    return out.where(keep).withColumn("projected_accuracy", F.round(F.greatest(F.lit(0.6), F.col("accuracy") - F.col("_l")), 3)).select("id", "days", "projected_accuracy", "harm")
+    return forensics.no_detection_projection(x).select("id", "days", "projected_accuracy", "harm")
 
 
 @query(f"""WITH {_SM}, h AS (SELECT date_trunc('hour', ingested_at) AS hour, count(*) FILTER (WHERE {_BAD}) AS poison_count, count(*) FILTER (WHERE NOT {_BAD}) AS clean_count FROM sm GROUP BY 1)

@@ -64,9 +64,9 @@ def d06_spectrum(spark, sf_dir):
     return spectral.spectrum(embedded(spark, sf_dir))
 
 
-@query("SELECT n_nationkey, round(2.5 * sqrt(n_nationkey / 8), 8) AS threshold FROM nation")
+@query("SELECT o_orderkey, round(2.5 * sqrt((o_custkey % 100) / 8), 8) AS threshold FROM orders")
 def d07_gap_threshold(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.round(spectral.gap_threshold(F.col("n_nationkey")), 8).alias("threshold"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(spectral.gap_threshold(F.col("o_custkey") % 100), 8).alias("threshold"))
 
 
 @query()
@@ -74,6 +74,14 @@ def d08_cluster_analysis(spark, sf_dir):
     return spectral.cluster_analysis(spectral.projected(embedded(spark, sf_dir), "activation"))
 
 
+@query()
+def d11_second_pass(spark, sf_dir):
+    """Activations are the whole embeddings, features their first eight coordinates."""
+    v = embedded(spark, sf_dir)
+    names = [f"x{i}" for i in range(8)]
+    return spectral.cluster_analysis_twice(v.select("vec_id", "activation", *[F.get("activation", F.lit(i)).alias(c) for i, c in enumerate(names)]), "activation", names)
+
+
 @query("""WITH p AS (SELECT label % 2 AS cluster, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), m AS (SELECT cluster, avg(x) AS mx, avg(y) AS my, count(*) AS n FROM p GROUP BY cluster),
 d AS (SELECT p.cluster, any_value(n) AS n, avg(sqrt((x - mx) ** 2 + (y - my) ** 2)) AS t FROM p JOIN m ON p.cluster = m.cluster GROUP BY p.cluster)
 SELECT min(n) AS minority_count, round(min(n) / sum(n), 8) AS minority_ratio, round(arg_min(t, (n, cluster)), 6) AS tightness FROM d""")

@@ -13,10 +13,12 @@ _own: str | None = None
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder; below a temporary one only where that is unset."""
+    """A new path in the cluster's shared folder; where none is set, a local master gets a temporary one, and a cluster an error."""
     global _own
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         _own = _own or tempfile.mkdtemp(prefix="spark-shared-")
         base = _own
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

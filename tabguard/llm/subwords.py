@@ -40,7 +40,7 @@ BLANK = "▁"
 SHARPNESS, SEED = 1.0, 17
 #: Chunks whose filters and words whose chunks one worker remembers, bytes of text sampled at once, and the longest chunk
 #: that is filtered together with others.
-REMEMBERED, WORDS, TOGETHER, PLAIN = 800_000, 2_000_000, 1 << 19, 64
+REMEMBERED, WORDS, TOGETHER, PLAIN = 600_000, 1_200_000, 1 << 19, 64
 #: Weight added to every piece's count.
 LEAST = 0.1
 
@@ -126,6 +126,7 @@ class Sampler:
         """The worker's sampler; tasks of one run share it."""
         key = (path, zlib.crc32(log_p), sharpness)
         if cls._kept is None or cls._kept[0] != key:
+            _Counter._kept.clear()  # counting is over
             cls._kept = (key, cls(Vocabulary.of(path), log_p, sharpness))
         return cls._kept[1]
 
@@ -134,7 +135,7 @@ class Sampler:
         self.start()
 
     def start(self) -> None:
-        self.number: dict[str, int] = {}
+        self.chunks = P.Memory(self.add, lambda: None, REMEMBERED)
         self.chunks_of = P.Lists(np.int32)  # of each word
         self.words = P.Memory(self._learn, self.chunks_of.start_anew, WORDS)
         self.last = P.Grown(np.int32)  # the last node of each chunk
@@ -146,23 +147,25 @@ class Sampler:
     def _learn(self, new: list[str]) -> None:
         """Chunks of new words, their filters computed where they are new too. A word at a row's start has its blank already."""
         cut = [chunks(w, self.v.chunk, "") for w in new]
-        self.add(list(dict.fromkeys(c for own in cut for c in own if c not in self.number)))
         sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-        self.chunks_of.put(sizes, np.fromiter((self.number[c] for own in cut for c in own), np.int32, int(sizes.sum())))
+        raw = [c.encode("utf-8", "surrogatepass") for own in cut for c in own]
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        numbers = self.chunks.numbers(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends)
+        self.chunks_of.put(sizes, numbers)
 
     def add(self, new: list[str]) -> None:
-        plain = [c for c in new if len(c) <= PLAIN and self.v.single.issuperset(c)]
-        self._filter(plain)
-        if len(plain) < len(new):
-            done = set(plain)
-            for c in new:
-                if c not in done:
-                    self._filter_one(c)
-
-    def _filter(self, new: list[str]) -> None:
-        """Forward filtering over the lattices of many chunks at once, place by place."""
+        """Filters of new chunks, whose last nodes are kept in the order given."""
+        plain = np.array([len(c) <= PLAIN and self.v.single.issuperset(c) for c in new], bool)
+        last = np.empty(len(new), np.int64)
+        last[plain] = self._filter([c for c, p in zip(new, plain, strict=True) if p])
+        for k in np.flatnonzero(~plain).tolist():
+            last[k] = self._filter_one(new[k])
+        self.last.put(last)
+
+    def _filter(self, new: list[str]) -> np.ndarray:
+        """Forward filtering over the lattices of many chunks at once, place by place; returns each one's last node."""
         if not new:
-            return
+            return np.zeros(0, np.int64)
         v = self.v
         size = np.fromiter(map(len, new), np.int64, len(new))
         code = np.frombuffer("".join(new).encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -219,14 +222,13 @@ class Sampler:
             at = np.flatnonzero(rank == k)
             share[at] += share[at - 1]
         nodes, edges = self.edge_of.n, self.share.n
-        self.number.update(zip(new, range(self.last.n, self.last.n + len(new)), strict=True))
-        self.last.put(ends + np.arange(len(new)) + nodes)
         self.edge_of.put(upto + edges)
         self.share.put(share)
         self.piece.put(piece[order])
         self.step.put(length[order])
+        return ends + np.arange(len(new)) + nodes
 
-    def _filter_one(self, chunk: str) -> None:
+    def _filter_one(self, chunk: str) -> int:
         """The same for one chunk of any length, with characters that no piece holds as bytes."""
         v, log_p = self.v, self.log_p
         own = chunk.startswith("\x00") and chunk[1:] in (BLANK, _OWN)
@@ -262,16 +264,15 @@ class Sampler:
             node_at.append(nodes + len(edge_of))
             edge_of.append(self.share.n + len(share))
             alpha.append(found[0][0] + float(np.log(weights.sum())))
-        self.number[chunk] = self.last.n
-        self.last.put([node_at[-1]])
         self.edge_of.put(edge_of)
         self.share.put(share)
         self.piece.put(piece)
         self.step.put(step)
+        return node_at[-1]
 
     def sample(self, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, offsets, log probability of the pieces) of rows of text, each given with a blank before it if not empty."""
-        if len(self.number) > REMEMBERED:
+        if len(self.chunks.keys) > REMEMBERED:
             self.start()
         self.words.room()
         n_rows = len(offsets) - 1

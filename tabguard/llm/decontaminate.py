@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabguard.llm import wordarrays as W
-from tabguard.llm.shared import stored
+from tabguard.llm.shared import held, stored
 
 WINDOW = 13
 #: Pairs of pattern and item in one broadcast block: 13 hashes of 8 bytes each, so about 30 MB.
@@ -159,14 +159,8 @@ def _ready(block: pa.Table):
 
 
 #: The tables of the block that the worker searches for.
-_tables: dict[str, tuple] = {}
-
-
 def _tables_of(name: str, block: pa.Table) -> tuple:
-    if name not in _tables:
-        _tables.clear()
-        _tables[name] = _ready(block)
-    return _tables[name]
+    return held(("patterns", name), lambda: _ready(block))
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, most_patterns: int = MOST_PATTERNS) -> DataFrame:

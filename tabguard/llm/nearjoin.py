@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tabguard.llm import wordarrays as W
 from tabguard.llm.components import components
-from tabguard.llm.shared import dropped, stored
+from tabguard.llm.shared import dropped, freed, stored
 from tabguard.llm.sketch import Bits, bits_of, counts, slots
 
 SHINGLE = 5
@@ -51,6 +51,7 @@ LONG_LIST, BLOCK = 48, 512
 
 def _sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, hashes, offsets): each row's distinct shingle hashes in order, for stretches of rows."""
+    freed()
     data, at = W.bytes_of(column)
     for a, b in W.pieces(at):
         _, _, h, rows = W.words(data[at[a] : at[b]], at[a : b + 1] - at[a], IS_WORD)

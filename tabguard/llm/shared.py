@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,5 +62,24 @@ def local_path(path: str) -> str:
     return parts.path
 
 
+#: What this worker keeps from one task to the next, and under which key.
+_held: tuple[Hashable, Any] | None = None
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What the worker keeps under ``key``. It keeps one thing at a time: what another operator left is freed first."""
+    global _held
+    if _held is None or _held[0] != key:
+        _held = None
+        _held = (key, make())
+    return _held[1]
+
+
+def freed() -> None:
+    """Frees what earlier operators left in this worker; for operators that need room and keep nothing."""
+    global _held
+    _held = None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

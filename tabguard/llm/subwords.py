@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from tabguard.llm import pieces as P
 from tabguard.llm import wordarrays as W
+from tabguard.llm.shared import held
 
 BLANK = "▁"
 #: Power to which piece probabilities are raised before sampling: 0 draws all segmentations alike, large ones the best.
@@ -119,16 +120,10 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Sampler:
     """Filters of chunks as flat arrays: of each node (chunk, place) its edges, the likeliest first."""
 
-    _kept: tuple[tuple, Sampler] | None = None
-
     @classmethod
     def of(cls, path: str, log_p: np.ndarray, sharpness: float) -> Sampler:
         """The worker's sampler; tasks of one run share it."""
-        key = (path, zlib.crc32(log_p), sharpness)
-        if cls._kept is None or cls._kept[0] != key:
-            _Counter._kept.clear()  # counting is over
-            cls._kept = (key, cls(Vocabulary.of(path), log_p, sharpness))
-        return cls._kept[1]
+        return held((cls, path, zlib.crc32(log_p), sharpness), lambda: cls(Vocabulary.of(path), log_p, sharpness))
 
     def __init__(self, vocabulary: Vocabulary, log_p: np.ndarray, sharpness: float):
         self.v, self.log_p = vocabulary, log_p * sharpness
@@ -334,8 +329,6 @@ def led(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class _Counter:
     """A worker's memory of words and their pieces in the library's own segmentation."""
 
-    _kept: dict[str, _Counter] = {}
-
     def __init__(self, path: str):
         self.v = Vocabulary.of(path)
         self.pieces_of = P.Lists(np.uint16 if self.v.size <= 1 << 16 else np.int32)
@@ -343,9 +336,7 @@ class _Counter:
 
     @classmethod
     def of(cls, path: str) -> _Counter:
-        if path not in cls._kept:
-            cls._kept[path] = cls(path)
-        return cls._kept[path]
+        return held((cls, path), lambda: cls(path))
 
     def _learn(self, new: list[str]) -> None:
         """No piece crosses a word's ends, so words are encoded alone; odd ones chunk by chunk."""

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tabguard.llm import pieces as P
 from tabguard.llm import wordarrays as W
+from tabguard.llm.shared import held
 
 #: Characters of a chunk (bytes, for the choice of the way) and of the first overlap.
 CHUNK, OVERLAP = 16384, 256
@@ -100,41 +101,36 @@ def long_tokens(t, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> lis
     return out
 
 
-_memories: dict[str, tuple[P.Memory, P.Grown]] = {}
+def _new_memory(path: str) -> tuple[P.Memory, P.Grown]:
+    """A memory of pieces and the token count of each."""
+    t, sizes = P.tokenizer(path), P.Grown(np.int32)
+    suffix = getattr(t.model, "end_of_word_suffix", None)
+    last = np.array([bool(suffix) and (t.id_to_token(i) or "").endswith(suffix) for i in range(t.get_vocab_size())])
 
+    def learn(new: list[str]) -> None:
+        n: list[int | None] = [None] * len(new)
+        words = [k for k, p in enumerate(new) if p[p[0] in " \n" :].isalpha()] if suffix else []
+        for i in range(0, len(words), 4096):  # one text of many words; each ends at a token that ends words
+            some = words[i : i + 4096]
+            ids = np.array(t.encode_batch_fast(["".join(" " + new[k] for k in some)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.flatnonzero(last[ids]) + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                for k, size in zip(some, np.diff(ends, prepend=0).tolist(), strict=True):
+                    n[k] = size
+        rest = [k for k, size in enumerate(n) if size is None]
+        for k, e in zip(rest, t.encode_batch_fast([new[k] for k in rest], add_special_tokens=False), strict=True):
+            n[k] = len(e.ids)
+        sizes.put(n)
 
-def _memory(path: str) -> tuple[P.Memory, P.Grown]:
-    """The worker's memory of pieces and the token count of each."""
-    if path not in _memories:
-        t, sizes = P.tokenizer(path), P.Grown(np.int32)
-        suffix = getattr(t.model, "end_of_word_suffix", None)
-        last = np.array([bool(suffix) and (t.id_to_token(i) or "").endswith(suffix) for i in range(t.get_vocab_size())])
+    def forget() -> None:
+        sizes.n = 0
 
-        def learn(new: list[str]) -> None:
-            n: list[int | None] = [None] * len(new)
-            words = [k for k, p in enumerate(new) if p[p[0] in " \n" :].isalpha()] if suffix else []
-            for i in range(0, len(words), 4096):  # one text of many words; each ends at a token that ends words
-                some = words[i : i + 4096]
-                ids = np.array(t.encode_batch_fast(["".join(" " + new[k] for k in some)], add_special_tokens=False)[0].ids, np.int64)
-                ends = np.flatnonzero(last[ids]) + 1
-                if len(ends) == len(some) and ends[-1] == len(ids):
-                    for k, size in zip(some, np.diff(ends, prepend=0).tolist(), strict=True):
-                        n[k] = size
-            rest = [k for k, size in enumerate(n) if size is None]
-            for k, e in zip(rest, t.encode_batch_fast([new[k] for k in rest], add_special_tokens=False), strict=True):
-                n[k] = len(e.ids)
-            sizes.put(n)
-
-        def forget() -> None:
-            sizes.n = 0
-
-        _memories[path] = (P.Memory(learn, forget), sizes)
-    return _memories[path]
+    return P.Memory(learn, forget), sizes
 
 
 def counts(path: str, column: pa.Array, chunk: int = CHUNK, overlap: int = OVERLAP) -> np.ndarray:
     """Token counts of a text column."""
-    memory, sizes = _memory(path)
+    memory, sizes = held((P.Memory, path), lambda: _new_memory(path))
     data, offsets = W.bytes_of(column)
     apart = P.stops_apart(P.tokenizer(path))
     out = np.zeros(len(column), np.int64)

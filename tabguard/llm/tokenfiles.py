@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tabguard.llm import pieces as P
 from tabguard.llm import wordarrays as W
-from tabguard.llm.shared import folder, local_path, stored
+from tabguard.llm.shared import folder, held, local_path, stored
 
 BLOCK, PERCENT, END_ID = 128, 90, 0
 #: Ids after which a segment is closed at the next document's end.
@@ -158,9 +158,6 @@ def segments(data: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.nda
 
 # ---- encoding, writing and reading as Spark jobs -----------------------------------------------------------------------
 
-_encoders: dict[str, Encoder] = {}
-
-
 class Encoder:
     """Ids of texts, as numpy arrays.
 
@@ -211,9 +208,7 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held((Encoder, path), lambda: Encoder(path))
 
 
 class _Files:

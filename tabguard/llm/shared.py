@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Hashable
 from typing import Any
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Shuffle files of a finished write are removed at once: its rows are in the shared folder.
@@ -70,7 +73,7 @@ def held(key: Hashable, make: Callable[[], Any]) -> Any:
     """What the worker keeps under ``key``. It keeps one thing at a time: what another operator left is freed first."""
     global _held
     if _held is None or _held[0] != key:
-        _held = None
+        freed()
         _held = (key, make())
     return _held[1]
 
@@ -78,7 +81,13 @@ def held(key: Hashable, make: Callable[[], Any]) -> Any:
 def freed() -> None:
     """Frees what earlier operators left in this worker; for operators that need room and keep nothing."""
     global _held
-    _held = None
+    if _held is not None:
+        _held = None
+        gc.collect()  # memories refer to themselves through the functions that fill them
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library would keep what was freed
+        if trim is not None:
+            trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -461,3 +461,21 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
     out = C.run(spark, path).collect()
     assert {r["doc_id"] for r in out} == {r["doc_id"] for r in d.collect()}
     assert all(subwords.decode(P.path("piece_bpe_32k.model"), r["piece_ids"]) == rows[r["doc_id"]] for r in out)
+
+
+def test_a_worker_keeps_one_memory_at_a_time():
+    import weakref
+
+    from tabguard.llm import shared
+
+    class Kept:
+        def __init__(self):
+            self.own = self.__init__  # refers to itself, as memories do
+
+    first = weakref.ref(shared.held("a", Kept))
+    assert shared.held("a", Kept) is first()
+    assert shared.held("b", list) == [] and first() is None
+    last = weakref.ref(shared.held("a", Kept))
+    shared.freed()
+    shared.freed()
+    assert last() is None

@@ -69,12 +69,12 @@ def j06_narrative(spark, sf_dir):
     return forensics.narrative(p).select("narrative")
 
 
-@query("""WITH x AS (SELECT o_orderkey AS id, CAST(o_orderkey % 7 AS INT) AS n, CASE o_orderkey % 3 WHEN 0 THEN 'gradual' WHEN 1 THEN 'burst' ELSE 'one_shot' END AS s, (o_custkey % 40) / 10.0 AS g, CASE o_custkey % 3 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' ELSE 'medium' END AS v FROM orders WHERE o_orderkey % 7 < 6),
+@query("""WITH x AS (SELECT o_orderkey AS id, CAST(o_orderkey % 7 AS INT) AS n, CASE o_orderkey % 3 WHEN 0 THEN 'gradual' WHEN 1 THEN 'burst' ELSE 'one_shot' END AS s, (o_custkey % 40) / 10.0 AS g, CASE o_custkey % 3 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' ELSE 'medium' END AS v FROM orders),
 y AS (SELECT id, round((6 - n) / 6, 2) * 3 + CASE s WHEN 'gradual' THEN 1.0 WHEN 'burst' THEN 0.5 ELSE 0.2 END::DOUBLE * 2.5 + greatest(0, 1 - g / 3) * 2.5 + CASE v WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.7 ELSE 0.4 END::DOUBLE * 2 AS sc FROM x)
-SELECT CASE WHEN sc >= 7.95 THEN 'APT-grade' WHEN sc >= 3.95 THEN 'Targeted' ELSE 'Opportunistic' END AS level, count(*) AS n FROM y WHERE abs(sc - 7.95) > 1e-6 AND abs(sc - 3.95) > 1e-6 GROUP BY 1""")
+SELECT CASE WHEN sc >= 7.95 THEN 'APT-grade' WHEN sc >= 3.95 THEN 'Targeted' ELSE 'Opportunistic' END AS level, count(*) AS n FROM y GROUP BY 1""")
 def j07_sophistication(spark, sf_dir):
     o, k, c = table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_custkey")
-    x = o.where(k % 7 < 6).select((k % 7).cast("int").alias("n_layers_alarmed"), F.when(k % 3 == 0, "gradual").when(k % 3 == 1, "burst").otherwise("one_shot").alias("injection_schedule"), (c % 40 / 10.0).alias("sigma_shift"), F.when(c % 3 == 0, "critical").when(c % 3 == 1, "high").otherwise("medium").alias("severity"))
+    x = o.select((k % 7).cast("int").alias("n_layers_alarmed"), F.when(k % 3 == 0, "gradual").when(k % 3 == 1, "burst").otherwise("one_shot").alias("injection_schedule"), (c % 40 / 10.0).alias("sigma_shift"), F.when(c % 3 == 0, "critical").when(c % 3 == 1, "high").otherwise("medium").alias("severity"))
     return forensics.sophistication(x).groupBy("level").agg(F.count("*").alias("n"))
 
 

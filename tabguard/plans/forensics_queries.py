@@ -63,7 +63,9 @@ def j05_primary_source(spark, sf_dir):
     return forensics.primary(samples(spark, sf_dir), "source_id")
 
 
-@query()
+@query(f"""WITH {_SM}, p AS (SELECT count(*) AS n, min(ingested_at) AS a, max(ingested_at) AS z, count(DISTINCT batch_id) AS b FROM sm WHERE {_BAD})
+SELECT 'Label Flip (confidence 75.0%): ' || n || ' poisoned rows in ' || b || ' batch(es), schedule ' || CASE WHEN n < 10 THEN 'one shot' WHEN b <= 2 THEN 'burst' ELSE 'gradual' END
+  || ', from ' || strftime(a, '%Y-%m-%d %H:%M:%S') || ' to ' || strftime(z, '%Y-%m-%d %H:%M:%S') || '.' AS narrative FROM p""")
 def j06_narrative(spark, sf_dir):
     p = forensics.injection_pattern(samples(spark, sf_dir)).withColumns({"attack_type": F.lit("label_flip"), "confidence": F.lit(0.75)})
     return forensics.narrative(p).select("narrative")

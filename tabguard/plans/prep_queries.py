@@ -30,16 +30,41 @@ def dirty(spark, sf_dir):
     )
 
 
-@query()
+_NAMES = ", ".join(f"'{c}'" for c in prep.LABEL_NAMES)
+
+
+@query(f"SELECT column_name AS label_column, 'name' AS rule FROM (DESCRIBE WITH {LI} SELECT * FROM li) WHERE lower(column_name) IN ({_NAMES}) LIMIT 1")
 def b01_detect_label(spark, sf_dir):
     return prep.detect_label(lineitem(spark, sf_dir).drop("l_suppkey"))
 
 
-@query()
+@query("""WITH v AS (SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey, o_totalprice, CAST(o_custkey % 3 AS DOUBLE) AS third, CAST(o_orderstatus = 'O' AS DOUBLE) AS still_open FROM orders),
+l AS (SELECT c, value FROM v UNPIVOT (value FOR c IN (o_orderkey, o_totalprice, third, still_open)))
+SELECT c AS label_column, 'binary' AS rule FROM l GROUP BY c HAVING bool_and(value IN (0, 1, -1)) AND count(DISTINCT value) = 2""")
+def b01_detect_binary_label(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return prep.detect_label(o.select("o_orderkey", "o_totalprice", (F.col("o_custkey") % 3).alias("third"), (F.col("o_orderstatus") == "O").cast("int").alias("still_open"), "o_orderpriority"))
+
+
+#: The features of a table in SQL: its numbers but those with a name ``like`` an identifier's and more than 90 % distinct values.
+_FEATURES_SQL = """WITH l AS (SELECT feature, value FROM (SELECT {casts} FROM {table}) UNPIVOT (value FOR feature IN ({names})))
+SELECT feature FROM l GROUP BY feature HAVING NOT (regexp_matches(feature, '{like}') AND count(DISTINCT value) > 0.9 * count(*))"""
+
+
+def _features_sql(name, columns, like):
+    return _FEATURES_SQL.format(casts=", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in columns), table=name, names=", ".join(columns), like=like)
+
+
+@query(_features_sql("orders", ["o_orderkey", "o_custkey", "o_totalprice"], "|".join(prep.ID_WORDS)))
 def b02_detect_features(spark, sf_dir):
     return prep.detect_features(table(spark, sf_dir, "orders"), None, "substring")
 
 
+@query(_features_sql("events", ["event_id", "user_id", "value"], f"(^|[^a-z])({'|'.join(prep.ID_WORDS)})([^a-z]|$)"))
+def b02_detect_features_by_token(spark, sf_dir):
+    return prep.detect_features(table(spark, sf_dir, "events"))
+
+
 _VAR = " UNION ALL ".join(f"SELECT '{c}' AS feature, var_samp({c}) AS variance FROM lineitem" for c in FEATURES)
 
 
@@ -163,7 +188,11 @@ def b21_clean_baseline(spark, sf_dir):
     return prep.clean_baseline(ev, ["ts", "event_id"], 200).select("event_id", "ts", "value")
 
 
-@query()
+_COUNT = "(SELECT CAST(count(*) AS INT) FROM (DESCRIBE SELECT * FROM {}) WHERE regexp_matches(column_type, 'INT|DOUBLE|FLOAT|DECIMAL'))"
+
+
+@query(f"""WITH n AS (SELECT {_COUNT.format("lineitem")} AS a, {_COUNT.format("orders")} AS b)
+SELECT a AS n_reference, b AS n_incoming, a = b AS matches, CASE WHEN a <> b THEN 'feature_mismatch: incoming ' || b || ' cols vs baseline ' || a || ' cols' END AS skip_reason FROM n""")
 def b22_feature_mismatch(spark, sf_dir):
     return prep.feature_mismatch(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"))
 
@@ -183,11 +212,22 @@ def a02_row_cap(spark, sf_dir):
     return tables.row_cap(table(spark, sf_dir, "lineitem"), ORDER, 1000).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("SELECT n_nationkey, n_name FROM nation")
+@query("SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders")
+def a01_csv_inferred(spark, sf_dir):
+    """A CSV file whose types Spark infers."""
+    from tabguard.sources import tables
+
+    path = tables.scratch(spark, "csv")
+    tables.write_csv(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"), path)
+    return tables.read_csv(spark, path).withColumn("o_orderkey", F.col("o_orderkey").cast("long"))
+
+
+@query("SELECT o_orderkey, o_totalprice, CASE WHEN o_custkey % 2 = 0 THEN 'even' ELSE 'odd' END AS label FROM orders")
 def a07_csv_round_trip(spark, sf_dir):
     from tabguard.sources import tables
 
-    return tables.csv_round_trip(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    o = table(spark, sf_dir, "orders")
+    return tables.csv_round_trip(o.select("o_orderkey", "o_totalprice", F.when(F.col("o_custkey") % 2 == 0, "even").otherwise("odd").alias("label")))
 
 
 @query("SELECT vec_id % 5 AS model_id, vec_id AS unit_id, 64 AS n_params FROM embeddings")
@@ -210,14 +250,26 @@ def clients(spark, sf_dir):
     return v.select((F.col("vec_id") % 20).alias("client_id"), F.floor(F.col("vec_id") / 20).alias("round"), F.col("embedding").cast("array<double>").alias("gradient"), F.lit(1).alias("n_samples"))
 
 
-@query("SELECT n_regionkey AS id, count(*) AS n FROM nation GROUP BY 1")
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS id, CASE WHEN o_custkey % 2 = 0 THEN 'upload' ELSE 'demo' END AS source, max(o_orderkey) AS version, arg_max(o_orderpriority, o_orderkey) AS verdict
+FROM orders GROUP BY o_custkey""")
 def a04_result_store(spark, sf_dir):
     from tabguard.sources import tables
 
-    n = table(spark, sf_dir, "nation")
-    rows = n.select(F.col("n_regionkey").cast("string").alias("id"), F.lit("upload").alias("source"), F.col("n_nationkey").alias("version"), F.col("n_name").alias("verdict"), F.timestamp_seconds(F.col("n_nationkey")).alias("created_at"))
-    latest = tables.store_and_read_latest(rows)
-    return latest.select(F.col("id").cast("int").alias("id")).join(n.groupBy(F.col("n_regionkey").alias("id")).agg(F.count("*").alias("n")), "id")
+    o = table(spark, sf_dir, "orders")
+    source = F.when(F.col("o_custkey") % 2 == 0, "upload").otherwise("demo")
+    rows = o.select(F.col("o_custkey").cast("string").alias("id"), source.alias("source"), F.col("o_orderkey").alias("version"), F.col("o_orderpriority").alias("verdict"), F.timestamp_seconds("o_orderkey").alias("created_at"))
+    return tables.store_and_read_latest(rows).select(F.col("id").cast("string").alias("id"), "source", "version", "verdict")
+
+
+@query("SELECT 'scan-' || vec_id % 50 AS id, max(vec_id) AS n_units, arg_max(CASE WHEN vec_id % 3 = 0 THEN 'SUSPICIOUS' ELSE 'CLEAN' END, vec_id) AS verdict FROM embeddings GROUP BY 1")
+def a05_scan_store(spark, sf_dir):
+    """Results of model scans in a table of their own; the newest of each scan."""
+    from tabguard.sources import tables
+
+    v = table(spark, sf_dir, "embeddings")
+    verdict = F.when(F.col("vec_id") % 3 == 0, "SUSPICIOUS").otherwise("CLEAN")
+    rows = v.select(F.concat(F.lit("scan-"), F.col("vec_id") % 50).alias("id"), F.lit("model").alias("source"), F.col("vec_id").alias("n_units"), verdict.alias("verdict"), F.timestamp_seconds("vec_id").alias("created_at"))
+    return tables.store_and_read_latest(rows).select("id", "n_units", "verdict")
 
 
 @query("SELECT c_custkey, '{\"c_custkey\":' || c_custkey || ',\"c_mktsegment\":\"' || c_mktsegment || '\"}' AS full_json FROM customer")

@@ -47,7 +47,11 @@ def s04_scored_stream(spark, sf_dir):
     return stream.run(stream.score_against(rows, base, FEATURES, "l_orderkey"), "scored").groupBy("far").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_type AS segment, epoch_us(ts) AS us FROM events),
+nxt AS MATERIALIZED (SELECT DISTINCT segment, us, min(us) OVER (PARTITION BY segment ORDER BY us RANGE BETWEEN 3600000000 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_us FROM e),
+chain AS (SELECT segment, min(us) AS us FROM e GROUP BY segment UNION ALL SELECT n.segment, n.next_us FROM chain c JOIN nxt n ON c.segment = n.segment AND c.us = n.us WHERE n.next_us IS NOT NULL),
+q AS (SELECT segment, count(*) AS n FROM chain GROUP BY segment), t AS (SELECT segment, count(*) AS n FROM e GROUP BY segment)
+SELECT segment, 'quarantine' AS action, n FROM q UNION ALL SELECT segment, 'cooldown', t.n - q.n FROM t JOIN q USING (segment) WHERE t.n > q.n""")
 def s05_cooldown_stream(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("segment"), F.col("ts").cast("timestamp").cast("double").alias("at"))
     return stream.run_in_order(e, "at", lambda s: stream.cooldown_stream(s, 3600), "actions").groupBy("segment", "action").agg(F.count("*").alias("n"))

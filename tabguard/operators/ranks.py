@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from tabguard.sources.tables import stored
 
 
-def with_rank(df: DataFrame, order_by: list[str], name: str = "row_rank") -> DataFrame:
+def with_rank(df: DataFrame, order_by: list[str], name: str = "row_rank", partitions: int | None = None) -> DataFrame:
     """``df`` with each row's 0-based position in the order of ``order_by`` (which must be total, for equal results).
 
     The rows are range partitioned by the whole key, sorted and numbered within their partitions, and written once to
     the shared folder; the sizes of earlier partitions are added. Keys may be of any type that sorts, a constant first
-    column costs nothing, and only a row per partition is broadcast. Null comes first.
+    column costs nothing, and only a row per partition is broadcast. Null comes first. Without ``partitions``, their number
+    is the session's.
     """
-    placed = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumn("_at", F.monotonically_increasing_id())
+    placed = df.repartitionByRange(*([partitions] if partitions else []), *order_by).sortWithinPartitions(*order_by).withColumn("_at", F.monotonically_increasing_id())
     placed = stored(placed, "ranked")
     part = F.shiftright("_at", 33)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))

@@ -140,14 +140,14 @@ def c15_block_deviation(spark, sf_dir):
 
 
 
-@query("""WITH m AS (SELECT n_name, n_nationkey * 0.2 AS kl, n_nationkey * 0.4 AS mahalanobis, n_nationkey * 0.03 AS w1, n_nationkey % 2 = 0 AS a, n_nationkey % 3 = 0 AS b, n_nationkey % 5 = 0 AS c, n_nationkey % 7 = 0 AS d, n_nationkey % 11 = 0 AS e FROM nation),
-s AS (SELECT n_name, least(1, greatest(0, 0.1 / (1 + exp(-(kl - 3.75) / 1.5)) + 0.08 / (1 + exp(-(mahalanobis - 6.75) / 2)) + 0.07 / (1 + exp(-(w1 - 0.525) / 0.2)) + 0.3 * a::INT + 0.35 * b::INT + 0.35 * c::INT + 0.2 * d::INT + 0.2 * e::INT)) AS s FROM m)
-SELECT n_name, round(s, 8) AS suspicion_score, CASE WHEN s >= 0.38 THEN 'CONFIRMED_POISONED' WHEN s >= 0.3 THEN 'SUSPICIOUS' WHEN s >= 0.12 THEN 'LOW_RISK' ELSE 'CLEAN' END AS verdict FROM s""")
+@query("""WITH m AS (SELECT o_orderkey, k * 0.2 AS kl, k * 0.4 AS mahalanobis, k * 0.03 AS w1, k % 2 = 0 AS a, k % 3 = 0 AS b, k % 5 = 0 AS c, k % 7 = 0 AS d, k % 11 = 0 AS e FROM (SELECT o_orderkey, o_orderkey % 25 AS k FROM orders)),
+s AS (SELECT o_orderkey, least(1, greatest(0, 0.1 / (1 + exp(-(kl - 3.75) / 1.5)) + 0.08 / (1 + exp(-(mahalanobis - 6.75) / 2)) + 0.07 / (1 + exp(-(w1 - 0.525) / 0.2)) + 0.3 * a::INT + 0.35 * b::INT + 0.35 * c::INT + 0.2 * d::INT + 0.2 * e::INT)) AS s FROM m)
+SELECT o_orderkey, round(s, 8) AS suspicion_score, CASE WHEN s >= 0.38 THEN 'CONFIRMED_POISONED' WHEN s >= 0.3 THEN 'SUSPICIOUS' WHEN s >= 0.12 THEN 'LOW_RISK' ELSE 'CLEAN' END AS verdict FROM s""")
 def c16_layer_score(spark, sf_dir):
-    k = F.col("n_nationkey")
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    m = n.select("n_name", (k * 0.2).alias("kl"), (k * 0.4).alias("mahalanobis"), (k * 0.03).alias("w1"), *[(k % d == 0).alias(c) for c, d in (("label_alarm", 2), ("spike_alarm", 3), ("blend_alarm", 5), ("gradient_alarm", 7), ("trust_alarm", 11))])
-    return rounded(shift.layer_score(m), "suspicion_score", digits=8).select("n_name", "suspicion_score", "verdict")
+    k = F.col("o_orderkey") % 25
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    m = o.select("o_orderkey", (k * 0.2).alias("kl"), (k * 0.4).alias("mahalanobis"), (k * 0.03).alias("w1"), *[(k % d == 0).alias(c) for c, d in (("label_alarm", 2), ("spike_alarm", 3), ("blend_alarm", 5), ("gradient_alarm", 7), ("trust_alarm", 11))])
+    return rounded(shift.layer_score(m), "suspicion_score", digits=8).select("o_orderkey", "suspicion_score", "verdict")
 
 
 @query("SELECT o_orderkey, CASE WHEN s >= 0.38 THEN 'CONFIRMED_POISONED' WHEN s >= 0.3 THEN 'SUSPICIOUS' WHEN s >= 0.12 THEN 'LOW_RISK' ELSE 'CLEAN' END AS verdict FROM (SELECT o_orderkey, o_totalprice / 500000 AS s FROM orders)")
@@ -156,9 +156,9 @@ def c17_layer_verdict(spark, sf_dir):
     return o.select("o_orderkey", shift.verdict(F.col("o_totalprice") / 500000).alias("verdict"))
 
 
-@query("SELECT count(*) AS n, 0.0 AS suspicion_score, 'CLEAN' AS verdict, CASE WHEN count(*) < 30 THEN 'insufficient_data' END AS skip_reason FROM nation")
+@query("SELECT count(*) AS n, 0.0 AS suspicion_score, 'CLEAN' AS verdict, CASE WHEN count(*) < 30 THEN 'insufficient_data' END AS skip_reason FROM lineitem")
 def c18_null_result(spark, sf_dir):
-    return shift.null_result(spark.read.parquet(f"{sf_dir}/nation.parquet"))
+    return shift.null_result(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
 
 
 @query(f"""WITH {LONG}, lim AS (SELECT feature, min(value) AS p1, max(value) AS p99 FROM long WHERE split = 'incoming' GROUP BY feature),
@@ -177,11 +177,11 @@ def c20_sigma_deviation(spark, sf_dir):
     return rounded(shift.sigma_deviation(long_split(spark, sf_dir)), "sigma_deviation")
 
 
-@query("WITH m AS (SELECT n_name, n_nationkey * 0.2 AS kl, n_nationkey * 0.4 AS mh, n_nationkey * 0.03 AS w1 FROM nation) SELECT n_name, round(least(1, kl / 4 * 0.4 + mh / 7 * 0.4 + w1 / 5 * 0.2), 8) AS suspicion_score, kl > 2 OR mh > 3.5 AS alarm FROM m")
+@query("WITH m AS (SELECT o_orderkey, k * 0.2 AS kl, k * 0.4 AS mh, k * 0.03 AS w1 FROM (SELECT o_orderkey, o_orderkey % 25 AS k FROM orders)) SELECT o_orderkey, round(least(1, kl / 4 * 0.4 + mh / 7 * 0.4 + w1 / 5 * 0.2), 8) AS suspicion_score, kl > 2 OR mh > 3.5 AS alarm FROM m")
 def c21_layer_score_v1(spark, sf_dir):
-    k = F.col("n_nationkey")
-    m = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_name", (k * 0.2).alias("kl"), (k * 0.4).alias("mahalanobis"), (k * 0.03).alias("w1"))
-    return rounded(shift.layer_score_v1(m), "suspicion_score", digits=8).select("n_name", "suspicion_score", "alarm")
+    k = F.col("o_orderkey") % 25
+    m = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (k * 0.2).alias("kl"), (k * 0.4).alias("mahalanobis"), (k * 0.03).alias("w1"))
+    return rounded(shift.layer_score_v1(m), "suspicion_score", digits=8).select("o_orderkey", "suspicion_score", "alarm")
 
 
 @query(f"WITH {BASE} SELECT feature, round(avg((value < p1 OR value > p99)::INT), 8) AS out_of_range_fraction FROM long JOIN base USING (feature) GROUP BY feature")

@@ -21,8 +21,14 @@ F4 = ["f0", "f1", "f2", "f3"]
 @pytest.mark.parametrize("parts", [1, 4, 17])
 def test_ranks_do_not_depend_on_partitions(spark, parts):
     df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k")).repartition(parts)
-    rows = ranks.with_rank(df, ["k"], buckets=8).collect()
-    assert all(r["k"] == r["row_rank"] for r in rows)
+    rows = ranks.with_rank(df, ["k"], partitions=8).collect()
+    assert len(rows) == 1000 and all(r["k"] == r["row_rank"] for r in rows)
+
+
+def test_ranks_by_a_constant_column_and_a_text(spark):
+    df = spark.range(500).select(F.lit(1).alias("one"), F.lpad(((F.col("id") * 7919) % 500).cast("string"), 3, "0").alias("k"))
+    rows = ranks.with_rank(df, ["one", "k"], partitions=8).collect()
+    assert sorted(r["row_rank"] for r in rows) == list(range(500)) and all(int(r["k"]) == r["row_rank"] for r in rows)
 
 
 def test_ranks_of_an_empty_table_and_nulls(spark):
@@ -175,3 +181,9 @@ def test_outlier_factors_read_the_whole_vector(spark, tmp_path):
     want = {i: np.mean([1 / reach[j] for j in near[i]]) * reach[i] for i in range(60)}
     assert len(got) == 60 and all(abs(got[i] - want[i]) < 1e-6 for i in want)
     assert max(got, key=got.get) == 7
+
+
+def test_too_few_rows_give_a_skip_reason(spark):
+    rows = [shift.null_result(spark.range(n), least=30).first() for n in (0, 29, 30)]
+    assert [r["skip_reason"] for r in rows] == ["insufficient_data", "insufficient_data", None]
+    assert [r["n"] for r in rows] == [0, 29, 30] and all(r["verdict"] == "CLEAN" for r in rows)

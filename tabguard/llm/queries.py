@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabguard.llm import decontaminate, divergence, htmltext, lm, nearjoin, negatives, personal, quality, secrets, subwords, tokencount, tokenfiles
+from tabguard.llm import decontaminate, divergence, htmltext, lm, nearjoin, negatives, personal, quality, repeats, secrets, subwords, tokencount, tokenfiles
 from tabguard.llm.shared import table
 
 
@@ -57,6 +57,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mined(negatives.scaled(table(spark, sf_dir, "embeddings"), label), lambda: F.col("vec_id") % 100 == 0)
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -67,5 +71,5 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_secret_scan, op3_lm_scoring, op4_jaccard_join, op5_token_counts, op6_personal_data, op7_quality_rules, op8_decontaminate, op9_token_files, op10_html_text, op11_hard_negatives, op13_source_divergence)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_secret_scan, op3_lm_scoring, op4_jaccard_join, op5_token_counts, op6_personal_data, op7_quality_rules, op8_decontaminate, op9_token_files, op10_html_text, op11_hard_negatives, op12_suffix_dedup, op13_source_divergence)}
 ORACLES: dict[str, str] = {"op11_hard_negatives": negatives.MINED_SQL, "op13_source_divergence": divergence.AUDIT_SQL}

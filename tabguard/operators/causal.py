@@ -12,13 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabguard.functions.numeric import clip, t_two_sided, unpivot
+from tabguard.operators import boosting
 from tabguard.operators.ranks import hashed_order, with_rank
 
 # Folds, replicates and thresholds of the proof and of fingerprints.
@@ -113,8 +114,12 @@ def _hits(batches: Iterator[pa.RecordBatch], models: list, beta: np.ndarray, sha
 
 
 def fit(df: DataFrame, features: list[str], label: str, flagged: str, keys: list[str], models: list, steps: int = 6, ridge: float = 1.0) -> tuple[np.ndarray, DataFrame]:
-    """(coefficients per model, frame of model, correct, seen). Ridge applies to all but the intercept."""
-    rows = with_fold(df, keys).select(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("x"), F.col(label).cast("double").alias("y"), F.coalesce(F.col(flagged), F.lit(False)).alias("flagged"), "_hash", "_fold").where("y IS NOT NULL")
+    """(coefficients per model, frame of model, correct, seen). Ridge applies to all but the intercept.
+
+    Folds are those of a column _fold, else by hash.
+    """
+    folded = df.withColumn("_hash", hashed_order(keys, 42)) if "_fold" in df.columns else with_fold(df, keys)
+    rows = folded.select(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("x"), F.col(label).cast("double").alias("y"), F.coalesce(F.col(flagged), F.lit(False)).alias("flagged"), "_hash", "_fold").where("y IS NOT NULL")
     share = rows.agg(F.coalesce(F.avg(F.col("flagged").cast("double")), F.lit(0.0)).alias("s")).first()["s"]
     q = len(features) + 1
     beta, penalty = np.zeros((len(models), q)), np.diag([ridge] * (q - 1) + [1e-9])
@@ -135,7 +140,7 @@ def fit(df: DataFrame, features: list[str], label: str, flagged: str, keys: list
 def replicates(df: DataFrame, features: list[str], label: str, flagged: str, keys: list[str], n: int = REPLICATES, placebos: int = PLACEBOS, folds: int = FOLDS) -> DataFrame:
     """kind, replicate, accuracy_with, accuracy_without, effect."""
     models = plan(n, placebos, folds)
-    _, hits = fit(df, features, label, flagged, keys, models)
+    _, hits = fit(stratified_fold(df, keys, label, folds), features, label, flagged, keys, models)
     names = df.sparkSession.createDataFrame([(i, k, r, a) for i, (k, r, a, _) in enumerate(models)], "model int, kind string, replicate int, arm int")
     acc = hits.where("seen > 0").join(F.broadcast(names), "model").groupBy("kind", "replicate", "arm").agg(F.avg(F.col("correct") / F.col("seen")).alias("acc"))
     both = acc.groupBy("kind", "replicate").agg(F.max(F.when(F.col("arm") == 0, F.col("acc"))).alias("accuracy_with"), F.max(F.when(F.col("arm") == 1, F.col("acc"))).alias("accuracy_without"))
@@ -143,21 +148,33 @@ def replicates(df: DataFrame, features: list[str], label: str, flagged: str, key
 
 
 def tree_effect(df: DataFrame, features: list[str], label: str, flagged: str, keys: list[str], kind: str = "rf", size: int = 50, folds: int = FOLDS) -> DataFrame:
-    """proxy, accuracy_with, accuracy_without, effect of a forest (rf) or boosted trees (gbt)."""
-    rows = with_fold(df, keys, folds).withColumn("_v", array_to_vector(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]))).withColumn("_y", F.col(label).cast("double"))
-    n_classes = rows.agg(F.count_distinct("_y")).first()[0]
-    trees = GBTClassifier(maxIter=size, maxDepth=3, seed=42) if kind == "gbt" else RandomForestClassifier(numTrees=size, maxDepth=5, seed=42)
-    trees = trees.setFeaturesCol("_v").setLabelCol("_y")
-    model = OneVsRest(classifier=trees, featuresCol="_v", labelCol="_y") if kind == "gbt" and n_classes > 2 else trees
-
-    def accuracy(part: DataFrame) -> float:
-        if part.agg(F.count_distinct("_y")).first()[0] < 2:
-            return 1.0
-        each = [model.fit(part.where(F.col("_fold") != f)).transform(part.where(F.col("_fold") == f)).agg(F.avg((F.col("prediction") == F.col("_y")).cast("double"))).first()[0] for f in range(folds)]
-        each = [a for a in each if a is not None]
-        return float(np.mean(each)) if each else 0.5
-
-    a, b = accuracy(rows), accuracy(rows.where(~F.coalesce(F.col(flagged), F.lit(False))))
+    """proxy, accuracy_with, accuracy_without, effect of a forest (rf) or boosted trees (gbt), on stratified folds.
+
+    Boosted trees of all folds, arms and classes grow together, a Spark job per tree level. An arm whose rows have one
+    class has accuracy 1, one without any held-out row 0.5.
+    """
+    rows = stratified_fold(df.where(F.col(label).isNotNull()), keys, label, folds)
+    own = F.coalesce(F.col(flagged), F.lit(False))
+    found = rows.groupBy("_fold").agg(F.count("*")).orderBy("_fold").collect()  # a row per fold
+    held_out = [r["_fold"] for r in found if len(found) > 2 or r["_fold"] == 0 or folds == 2]
+    n_classes = rows.agg(F.count_distinct(label), F.count_distinct(F.when(~own, F.col(label)))).first()
+    if kind == "gbt":
+        each = {(r["arm"], r["fold"]): r["correct"] / r["seen"] for r in boosting.accuracies(rows, features, label, flagged, held_out, size).collect() if r["seen"]}
+    else:
+        rows = rows.withColumn("_v", array_to_vector(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]))).withColumn("_y", F.col(label).cast("double"))
+        model = RandomForestClassifier(numTrees=size, maxDepth=5, seed=42, featuresCol="_v", labelCol="_y")
+        each = {}
+        for arm in (0, 1):
+            part = rows.where(~own) if arm else rows
+            for f in held_out if n_classes[arm] > 1 else []:
+                got = model.fit(part.where(F.col("_fold") != f)).transform(part.where(F.col("_fold") == f)).agg(F.avg((F.col("prediction") == F.col("_y")).cast("double"))).first()[0]
+                each |= {} if got is None else {(arm, f): got}
+
+    def accuracy(arm: int) -> float:
+        mine = [v for (a, _), v in each.items() if a == arm]
+        return 1.0 if n_classes[arm] < 2 else float(np.mean(mine)) if mine else 0.5
+
+    a, b = accuracy(0), accuracy(1)
     return df.sparkSession.createDataFrame([(kind, a, b, b - a)], "proxy string, accuracy_with double, accuracy_without double, effect double")
 
 

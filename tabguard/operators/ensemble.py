@@ -10,14 +10,15 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabguard.functions.numeric import clip
-from tabguard.operators import linalg
+from tabguard.operators import boosting, linalg, quantiles
 from tabguard.operators.ranks import hashed_order
+from tabguard.sources.tables import stored
 
 # Contamination, vote and pattern thresholds.
 CONTAMINATION, VOTE_SHARE, CLEAN_RATE, SCALE = 0.05, 0.75, 0.05, 0.30
@@ -27,11 +28,9 @@ NEAR, PATTERN_ALARM = 0.05, 0.45
 
 def robust_scale(df: DataFrame, features: list[str], reference: Column | None = None) -> DataFrame:
     """(x - median) / IQR by the reference rows; an IQR of 0 counts as 1."""
-    own = F.lit(True) if reference is None else reference
-    q = df.agg(*[F.percentile(F.when(own, F.col(c)), [0.25, 0.5, 0.75]).alias(f"_{c}") for c in features])
-    at = lambda c, i: F.get(f"_{c}", F.lit(i))
-    scaled = lambda c: (F.col(c) - at(c, 1)) / F.when(at(c, 2) == at(c, 0), 1.0).otherwise(at(c, 2) - at(c, 0))
-    return df.crossJoin(F.broadcast(q)).withColumns({c: scaled(c) for c in features}).drop(*[f"_{c}" for c in features])
+    q = quantiles.of_columns(df, features, [0.25, 0.5, 0.75], reference)
+    scaled = lambda c, a, m, b: (F.col(c) - F.lit(m)) / (F.lit(b) - F.lit(a) if a != b else F.lit(1.0))
+    return df.withColumns({c: scaled(c, *q[c]) for c in features})
 
 
 # ---- isolation forest (E2) -------------------------------------------------------------------------------------------
@@ -111,8 +110,8 @@ def isolation_forest(df: DataFrame, features: list[str], keys: list[str], refere
 
 
 def _flag_above(df: DataFrame, score: str, flag: str, reference: Column, at: float = 1 - CONTAMINATION) -> DataFrame:
-    cut = df.agg(F.percentile(F.when(reference, F.col(score)), at).alias("_cut"))
-    return df.crossJoin(F.broadcast(cut)).withColumn(flag, F.col(score) > F.col("_cut")).drop("_cut")
+    df = stored(df, "scored")  # scores are read several times
+    return df.withColumn(flag, F.col(score) > quantiles.of_column(df, score, at, reference))
 
 
 # ---- one-class support, ellipse, positive-unlabelled models (E3, E7, E8, E9) --------------------------------------------
@@ -154,9 +153,16 @@ def positive_unlabelled(df: DataFrame, features: list[str], keys: list[str], ref
     lim = ref.agg(*[F.struct((F.min(c) - 0.5).alias("lo"), (F.max(c) + 0.5).alias("hi")).alias(f"_{c}") for c in features])
     u = lambda i: F.pmod(hashed_order(keys, seed + i), F.lit(1_000_003)) / 1_000_003
     noise = ref.crossJoin(F.broadcast(lim)).select(*[(F.col(f"_{c}.lo") + u(i) * (F.col(f"_{c}.hi") - F.col(f"_{c}.lo"))).alias(c) for i, c in enumerate(features)], F.lit(0.0).alias("_y"))
+    train = ref.select(*features, F.lit(1.0).alias("_y")).unionByName(noise)
+    if kind == "gbt":
+        cuts = boosting.cut_points(train, features)
+        given = train.select(*features, F.lit(0).alias("fold"), F.col("_y").alias("y"), F.lit(False).alias("flagged"))
+        rows = stored(boosting.coded(given, features, ["fold", "y", "flagged"], boosting.Trees(cuts)), "boosting")
+        model = boosting.fit(rows, cuts, [(0, -1, 1)], rounds, rate=0.3)[0]  # no fold is left out
+        out = boosting.scored(df, features, model, "gbt_score").withColumn("gbt_score", -F.col("gbt_score"))
+        return _flag_above(out, "gbt_score", "gbt_flag", reference)
     vec = array_to_vector(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]))
-    train = ref.select(*features, F.lit(1.0).alias("_y")).unionByName(noise).withColumn("_v", vec)
-    model = (GBTClassifier(maxIter=rounds, maxDepth=3, seed=seed, featuresCol="_v", labelCol="_y") if kind == "gbt" else RandomForestClassifier(numTrees=rounds, maxDepth=5, seed=seed, featuresCol="_v", labelCol="_y")).fit(train)
+    model = RandomForestClassifier(numTrees=rounds, maxDepth=5, seed=seed, featuresCol="_v", labelCol="_y").fit(train.withColumn("_v", vec))
     out = model.transform(df.withColumn("_v", vec)).withColumn(f"{kind}_score", -F.get(vector_to_array("probability"), F.lit(1)))
     return _flag_above(out.drop("_v", "rawPrediction", "probability", "prediction"), f"{kind}_score", f"{kind}_flag", reference)
 
@@ -214,7 +220,7 @@ def local_outlier_factor(df: DataFrame, others: DataFrame, features: list[str],
 def estimate_eps(df: DataFrame, features: list[str], key: str) -> DataFrame:
     """eps: 90th percentile of the distance to the 5th neighbour, the row itself counted; at least 0.1."""
     fifth = nearest(df, df, features, key, 4).groupBy("key").agg(F.max("distance").alias("d"))
-    return fifth.agg(F.greatest(F.percentile("d", 0.9), F.lit(0.1)).alias("eps"))
+    return quantiles.percentiles(stored(fifth, "distances"), [], "d", [0.9]).select(F.greatest(F.get("q", F.lit(0)), F.lit(0.1)).alias("eps"))
 
 
 def density_noise(df: DataFrame, features: list[str], key: str, eps: float, least: int) -> DataFrame:
@@ -252,8 +258,8 @@ def tail_scores(long: DataFrame, key: str) -> DataFrame:
 
 def tail_flags(scores: DataFrame, at: float = 1 - CONTAMINATION) -> DataFrame:
     """copod_flag: above the scored rows' own 95th percentile."""
-    cut = scores.agg(F.percentile("copod", at).alias("_cut"))
-    return scores.crossJoin(F.broadcast(cut)).withColumn("copod_flag", F.col("copod") > F.col("_cut")).drop("_cut")
+    scores = stored(scores, "scored")
+    return scores.withColumn("copod_flag", F.col("copod") > quantiles.of_column(scores, "copod", at))
 
 
 def vote(df: DataFrame, flags: list[str], share: float = VOTE_SHARE) -> DataFrame:
@@ -291,11 +297,14 @@ def bounded_sample(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> Da
 
 def pattern_reference(df: DataFrame, features: list[str], reference: Column) -> DataFrame:
     """One row: per feature iqr and centre (median over iqr), and the 25th and 80th percentile of reference distances."""
-    q = df.where(reference).agg(*[F.percentile(c, [0.25, 0.5, 0.75]).alias(f"_{c}") for c in features])
-    at = lambda c, i: F.get(f"_{c}", F.lit(i))
-    q = q.select(*[(F.greatest(at(c, 2) - at(c, 0), F.lit(1e-6)) + 1e-9).alias(f"iqr_{c}") for c in features], *[(at(c, 1) / (F.greatest(at(c, 2) - at(c, 0), F.lit(1e-6)) + 1e-9)).alias(f"mid_{c}") for c in features])
-    d = centre_distance(df.where(reference), q, features).agg(F.percentile("distance", [0.25, 0.8]).alias("_p"))
-    return q.crossJoin(d).withColumns({"p25": F.get("_p", F.lit(0)), "p80": F.get("_p", F.lit(1))}).drop("_p")
+    q = quantiles.of_columns(df, features, [0.25, 0.5, 0.75], reference)
+    wide = {c: max(b - a, 1e-6) + 1e-9 for c, (a, _, b) in q.items() if a is not None}
+    nulls = F.lit(None).cast("double")
+    iqr = [(F.lit(wide[c]) if c in wide else nulls).alias(f"iqr_{c}") for c in features]
+    mid = [(F.lit(q[c][1] / wide[c]) if c in wide else nulls).alias(f"mid_{c}") for c in features]
+    one = df.sparkSession.range(1).select(*iqr, *mid)
+    p25, p80 = quantiles.of_columns(centre_distance(df.where(reference), one, features).select("distance"), ["distance"], [0.25, 0.8])["distance"]
+    return one.withColumns({"p25": F.lit(p25).cast("double"), "p80": F.lit(p80).cast("double")})
 
 
 def centre_distance(df: DataFrame, ref: DataFrame, features: list[str]) -> DataFrame:

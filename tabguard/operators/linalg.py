@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabguard.operators import quantiles
+
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     """Rows of a batch: one array column, or double columns; null counts as 0."""
@@ -94,7 +96,7 @@ def mahalanobis_of_medians(rows: DataFrame, features: list[str], scope: str = "u
     """mahalanobis: distance of the scored medians from the reference medians, by the reference's robust covariance."""
     ref = rows.where("split = 'reference'")
     mine = rows if scope == "union" else rows.where("split = 'incoming'")
-    med = lambda df: np.array(df.agg(F.array(*[F.percentile(c, 0.5) for c in features]).alias("m")).first()["m"])  # noqa: E731  p numbers
+    med = lambda df: np.array([m for (m,) in quantiles.of_columns(df, features, [0.5]).values()])
     cov, _ = robust_covariance(ref, features)
     d = med(mine) - med(ref)
     return rows.sparkSession.createDataFrame([(float(np.sqrt(d @ inverse(cov) @ d)),)], "mahalanobis double")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabguard.functions.numeric import unpivot
+from tabguard.operators import quantiles
 from tabguard.operators.ranks import hashed_order, with_count, with_rank
 
 # Names that mark a label, and words that mark identifiers.
@@ -110,8 +111,8 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
 
 def quantile_bins(df: DataFrame, column: str, bins: int = 3, out: str = "bin") -> DataFrame:
     """0-based bin of each value between the quantiles; a value on an edge belongs to the lower bin."""
-    q = df.agg(F.percentile(column, [i / bins for i in range(1, bins)]).alias("_q"))
-    return df.crossJoin(F.broadcast(q)).withColumn(out, F.aggregate("_q", F.lit(0), lambda a, e: a + (F.col(column) > e).cast("int"))).drop("_q")
+    edges = quantiles.of_columns(df, [column], [i / bins for i in range(1, bins)])[column]
+    return df.withColumn(out, sum(((F.col(column) > F.lit(e).cast("double")).cast("int") for e in edges), F.lit(0)))
 
 
 # ---- cleaning (B6-B13) ---------------------------------------------------------------------------------------------------
@@ -160,8 +161,13 @@ def drop_constant(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def _quantiles(df: DataFrame, features: list[str], at: list[float], accuracy: int | None, segments: list[str]) -> DataFrame:
-    q = lambda c: F.percentile(c, at) if accuracy is None else F.approx_percentile(c, at, accuracy)
-    return df.groupBy(*segments).agg(*[q(c).alias(f"_{c}") for c in features])
+    if accuracy is not None:
+        return df.groupBy(*segments).agg(*[F.approx_percentile(c, at, accuracy).alias(f"_{c}") for c in features])
+    long = quantiles.percentiles(unpivot(df, features, segments), [*segments, "feature"], "value", at)
+    own = lambda c: F.max(F.when(F.col("feature") == c, F.col("q"))).alias(f"_{c}")
+    if segments:  # a segment without any value has a row too
+        return df.select(*segments).distinct().join(long.groupBy(*segments).agg(*[own(c) for c in features]), segments, "left")
+    return long.agg(*[own(c) for c in features])
 
 
 def _with(df: DataFrame, stats: DataFrame, segments: list[str]) -> DataFrame:

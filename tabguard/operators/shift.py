@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabguard.functions.numeric import binomial_tail_udf, clip, sigmoid
+from tabguard.operators import quantiles
 
 # Thresholds of the tests.
 KL_ALARM, W1_ALARM, MAHALANOBIS_ALARM, TOP_K_FACTOR, TOP_K = 2.5, 0.35, 4.5, 1.5, 3
@@ -28,8 +29,9 @@ def scored(long: DataFrame, scope: str = "union") -> DataFrame:
 
 def baseline(long: DataFrame, segments: list[str] = []) -> DataFrame:  # noqa: B006
     """feature: n, median, sigma (population, + 1e-9), p1, p99, iqr (at least 1e-6) of the reference."""
-    q = F.percentile("value", [0.5, 0.01, 0.99, 0.25, 0.75])
-    out = reference(long).groupBy(*segments, "feature").agg(F.count("value").alias("n"), q.alias("_q"), (F.stddev_pop("value") + 1e-9).alias("sigma"))
+    keys = [*segments, "feature"]
+    q = quantiles.percentiles(reference(long), keys, "value", [0.5, 0.01, 0.99, 0.25, 0.75]).select(*keys, F.col("q").alias("_q"))
+    out = reference(long).groupBy(*keys).agg(F.count("value").alias("n"), (F.stddev_pop("value") + 1e-9).alias("sigma")).join(q, keys)
     at = lambda i: F.get("_q", F.lit(i))
     return out.select(*segments, "feature", "n", at(0).alias("median"), "sigma", at(1).alias("p1"), at(2).alias("p99"), F.greatest(at(4) - at(3), F.lit(1e-6)).alias("iqr"))
 
@@ -152,7 +154,8 @@ def blend_trigger(df: DataFrame, features: list[str], scope: str = "union") -> D
     """Tail enrichment and skewness shift along the direction of the mean shift: one row with both alarms."""
     own = F.col("split") == "reference"
     mine = F.lit(True) if scope == "union" else ~own
-    stats = df.agg(*[x for c in features for x in (F.percentile(F.when(own, F.col(c)), 0.5).alias(f"m_{c}"), (F.stddev_pop(F.when(own, F.col(c))) + 1e-9).alias(f"s_{c}"), F.avg(F.when(mine, F.col(c))).alias(f"a_{c}"))])
+    median = quantiles.of_columns(df, features, [0.5], own)
+    stats = df.agg(*[x for c in features for x in (F.lit(median[c][0]).alias(f"m_{c}"), (F.stddev_pop(F.when(own, F.col(c))) + 1e-9).alias(f"s_{c}"), F.avg(F.when(mine, F.col(c))).alias(f"a_{c}"))])
     diff = lambda c: F.col(f"a_{c}") - F.col(f"m_{c}")
     total = lambda xs: sum(xs[1:], xs[0])
     stats = stats.withColumn("shift", F.sqrt(total([diff(c) * diff(c) for c in features])))
@@ -191,7 +194,8 @@ def block_deviation(long: DataFrame, base: DataFrame, blocks: int = 20) -> DataF
     """
     size = F.greatest(F.floor(F.col("n_rows") / blocks), F.lit(LEAST_ROWS))
     b = long.withColumn("block", F.floor(F.col("row_rank") / size)).where(F.col("block") < blocks)
-    med = b.groupBy("block", "feature").agg(F.percentile("value", 0.5).alias("m"), F.count("*").alias("n")).where("n >= 5")
+    med = quantiles.percentiles(b, ["block", "feature"], "value", [0.5]).select("block", "feature", F.get("q", F.lit(0)).alias("m"))
+    med = med.join(b.groupBy("block", "feature").agg(F.count("*").alias("n")), ["block", "feature"]).where("n >= 5")
     dev = med.join(F.broadcast(base), "feature").groupBy("block").agg(F.sqrt(F.sum(F.pow(F.col("m") - F.col("median"), 2))).alias("deviation"))
     top = dev.agg(F.greatest(F.max("deviation"), F.lit(1e-6)).alias("top"))
     return dev.crossJoin(F.broadcast(top)).select("block", "deviation", (1 - clip(F.col("deviation") / F.col("top"))).alias("trust"))

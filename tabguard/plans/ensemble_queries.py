@@ -82,7 +82,7 @@ def e07_elliptic(spark, sf_dir):
 
 @query()
 def e08_boosted_pu(spark, sf_dir):
-    return _counted(ensemble.positive_unlabelled(prepared(spark, sf_dir), FEATURES, ORDER, reference(), "gbt", 5), "gbt_flag")
+    return _counted(ensemble.positive_unlabelled(prepared(spark, sf_dir), FEATURES, ORDER, reference(), "gbt", 100), "gbt_flag")
 
 
 @query()

@@ -41,7 +41,7 @@ def f03_forest_effect(spark, sf_dir):
 
 @query()
 def f04_boosted_effect(spark, sf_dir):
-    return causal.tree_effect(flipped(spark, sf_dir), _X, "label", "flagged", ["o_orderkey"], "gbt", 3)
+    return causal.tree_effect(flipped(spark, sf_dir), _X, "label", "flagged", ["o_orderkey"], "gbt", 50)
 
 
 @query()
@@ -54,7 +54,7 @@ def f10_proof(spark, sf_dir):
     reps = tables.stored(causal.replicates(flipped(spark, sf_dir), _X, "label", "flagged", ["o_orderkey"]))
     lr = reps.where("kind = 'full'").first()["effect"]
     rf = causal.tree_effect(flipped(spark, sf_dir), _X, "label", "flagged", ["o_orderkey"], "rf", 50).first()["effect"]
-    gbt = causal.tree_effect(flipped(spark, sf_dir), _X, "label", "flagged", ["o_orderkey"], "gbt", 3).first()["effect"]
+    gbt = causal.tree_effect(flipped(spark, sf_dir), _X, "label", "flagged", ["o_orderkey"], "gbt", 50).first()["effect"]
     return causal.proof(reps, [lr, rf, gbt])
 
 

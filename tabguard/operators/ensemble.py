@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tabguard.functions.numeric import clip
 from tabguard.operators import boosting, linalg, quantiles
+from tabguard.operators.neighbours import density_clusters, nearest, neighbour_counts
 from tabguard.operators.ranks import hashed_order
 from tabguard.sources.tables import stored
 
@@ -24,6 +25,8 @@ from tabguard.sources.tables import stored
 CONTAMINATION, VOTE_SHARE, CLEAN_RATE, SCALE = 0.05, 0.75, 0.05, 0.30
 TREES, PER_TREE = 200, 256
 NEAR, PATTERN_ALARM = 0.05, 0.45
+#: Rows whose pairwise distances tell how even a table is.
+PAIRED = 1000
 
 
 def robust_scale(df: DataFrame, features: list[str], reference: Column | None = None) -> DataFrame:
@@ -170,46 +173,9 @@ def positive_unlabelled(df: DataFrame, features: list[str], keys: list[str], ref
 # ---- neighbours (E4, E5, E6, E16) ----------------------------------------------------------------------------------------
 
 
-def nearest(df: DataFrame, others: DataFrame, features: list[str], key: str, k: int, block: int = 4096) -> DataFrame:
-    """key, nth, other, distance: the k nearest rows of ``others`` (without the row itself), exact.
-
-    ``others`` is dealt to blocks of about ``block`` rows by hash; each block's vectors meet every row as one Arrow
-    group, keep k rows each, and the best k over blocks remain. Use a bounded reference for large tables.
-    """
-    n = others.count()
-    blocks = max(1, -(-n // block))
-    right = others.select(F.col(key).alias("other"), F.array(*[F.col(c).cast("double") for c in features]).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
-    packed = right.groupBy("b").agg(F.collect_list("other").alias("ids"), F.flatten(F.collect_list("v")).alias("vs"))  # at most about ``block`` rows a group
-    p = len(features)
-    left = df.select(F.col(key).alias("key"), F.array(*[F.col(c).cast("double") for c in features]).alias("x")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def meet(lhs: pd.DataFrame, rhs: pd.DataFrame) -> pd.DataFrame:
-        if not len(lhs) or not len(rhs):
-            return pd.DataFrame({"key": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64"), "distance": pd.Series(dtype=float)})
-        ids, v = np.asarray(rhs["ids"].iloc[0]), np.asarray(rhs["vs"].iloc[0]).reshape(-1, p)
-        out = []
-        for i in range(0, len(lhs), 1024):
-            part = lhs.iloc[i : i + 1024]
-            x, own = np.stack(part["x"].to_numpy()), part["key"].to_numpy()
-            d = np.sqrt(np.maximum(((x[:, None, :] - v[None, :, :]) ** 2).sum(2), 0)) if len(v) * p < 200_000 else np.sqrt(np.maximum((x * x).sum(1)[:, None] + (v * v).sum(1)[None] - 2 * x @ v.T, 0))
-            d[own[:, None] == ids[None, :]] = np.inf
-            m = min(k, len(ids))
-            at = np.argpartition(d, m - 1, axis=1)[:, :m]
-            dist = np.take_along_axis(d, at, 1)
-            ok = np.isfinite(dist)
-            out.append(pd.DataFrame({"key": np.repeat(own, m)[ok.ravel()], "other": ids[at].ravel()[ok.ravel()], "distance": dist.ravel()[ok.ravel()]}))
-        return pd.concat(out)
-
-    salted = left.withColumn("s", F.pmod(F.xxhash64("key"), F.lit(16)).cast("int"))
-    dealt = packed.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    met = salted.groupBy("b", "s").cogroup(dealt.groupBy("b", "s")).applyInPandas(meet, "key long, other long, distance double")
-    w = Window.partitionBy("key").orderBy("distance", "other")
-    return met.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k).select("key", "nth", "other", "distance")
-
-
 def local_outlier_factor(df: DataFrame, others: DataFrame, features: list[str], key: str, k: int = 20) -> DataFrame:
     """key, lof of each row of ``df`` against ``others``."""
-    own = nearest(others, others, features, key, k)
+    own = stored(nearest(others, others, features, key, k), "neighbours")
     reach = own.groupBy("key").agg(F.max("distance").alias("kd"))
     density = own.join(reach.select(F.col("key").alias("other"), "kd"), "other").groupBy("key").agg((1 / (F.avg(F.greatest("distance", "kd")) + 1e-10)).alias("lrd"))
     mine = nearest(df, others, features, key, k)
@@ -224,21 +190,8 @@ def estimate_eps(df: DataFrame, features: list[str], key: str) -> DataFrame:
 
 
 def density_noise(df: DataFrame, features: list[str], key: str, eps: float, least: int) -> DataFrame:
-    """key, noise: not a core row (``least`` rows within eps, itself included) and without a core row within eps.
-
-    Rows meet only those in the same or a neighbouring cell of an eps grid over the first two features.
-    """
-    a, b = features[0], features[min(1, len(features) - 1)]
-    cell = lambda c: F.floor(F.col(c) / eps)
-    x = df.select(F.col(key).alias("key"), F.array(*[F.col(c).cast("double") for c in features]).alias("x"), cell(a).alias("ca"), cell(b).alias("cb"))
-    step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    around = x.select(F.col("key").alias("other"), F.col("x").alias("y"), "ca", "cb").withColumn("da", F.explode(step)).withColumn("db", F.explode(step))
-    around = around.select("other", "y", (F.col("ca") + F.col("da")).alias("ca"), (F.col("cb") + F.col("db")).alias("cb"))
-    d2 = F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
-    pairs = x.join(around, ["ca", "cb"]).where(d2 <= eps * eps).select("key", "other")
-    core = pairs.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("key").alias("other"))
-    near = pairs.join(core, "other").select("key").distinct().withColumn("_c", F.lit(True))
-    return x.select("key").join(near, "key", "left").select("key", F.col("_c").isNull().alias("noise"))
+    """key, noise: not a core row (``least`` rows within eps, itself included) and without a core row within eps."""
+    return density_clusters(df, features, key, eps, least).select("key", "noise")
 
 
 # ---- tails and vote (E10-E17) --------------------------------------------------------------------------------------------
@@ -314,8 +267,8 @@ def centre_distance(df: DataFrame, ref: DataFrame, features: list[str]) -> DataF
 
 def near_duplicate_rate(df: DataFrame, features: list[str], key: str, eps: float = NEAR) -> DataFrame:
     """Share of rows with another row closer than eps (features scaled already)."""
-    pairs = density_noise(df, features, key, eps, 2)
-    return pairs.agg(F.avg((~F.col("noise")).cast("double")).alias("near_duplicate_rate"))
+    counts = neighbour_counts(df, features, key, eps)
+    return counts.agg(F.avg((F.col("n") > 1).cast("double")).alias("near_duplicate_rate"))
 
 
 def pattern_signals(df: DataFrame, ref: DataFrame, features: list[str]) -> DataFrame:
@@ -324,8 +277,9 @@ def pattern_signals(df: DataFrame, ref: DataFrame, features: list[str]) -> DataF
     return d.agg(F.avg((F.col("distance") < F.col("p25")).cast("double")).alias("boundary"), F.avg((F.col("distance") > F.col("p80")).cast("double")).alias("tail"))
 
 
-def uniformity(sample: DataFrame, features: list[str], key: str) -> DataFrame:
-    """cv: deviation over mean of the pairwise distances of a bounded sample."""
+def uniformity(df: DataFrame, features: list[str], key: str, most: int = PAIRED) -> DataFrame:
+    """cv: deviation over mean of the pairwise distances of the rows, of ``most`` of them drawn by hash where there are more."""
+    sample = bounded_sample(df, [key], most)
     vec = F.array(*[F.col(c).cast("double") for c in features])
     a, b = sample.select(F.col(key).alias("a"), vec.alias("x")), sample.select(F.col(key).alias("b"), vec.alias("y"))
     d = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))

@@ -33,8 +33,8 @@ def percentiles(df: DataFrame, keys: list[str], value: str, at: list[float], res
     """``keys``, n and q: the quantiles ``at`` of each group, null where it has no values."""
     mine = [f"_k{i}" for i in range(len(keys))]
     c = F.col(value).cast("double")
-    rows = df.select(*[F.col(k).alias(m) for k, m in zip(keys, mine, strict=True)], F.greatest(F.lit(-_MOST), F.least(F.lit(_MOST), c)).alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    rows = rows.withColumn("_all", F.lit(0))
+    rows = df.select(*[F.col(k).alias(m) for k, m in zip(keys, mine, strict=True)], c.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    rows = rows.withColumns({"_v": F.greatest(F.lit(-_MOST), F.least(F.lit(_MOST), F.col("_v"))), "_all": F.lit(0)})
     mine = [*mine, "_all"]  # so that there is always a key
     groups = stored(rows.groupBy(*mine).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")), "quantile-groups")
     # A quantile lies between two positions of the sorted values.

@@ -56,12 +56,12 @@ _D2 = "(" + " + ".join(f"(a.v{i} - b.v{i}) ** 2" for i in range(DIMENSIONS)) + "
 _NN = f"nn AS (SELECT a.vec_id AS key, b.vec_id AS other, sqrt({_D2}) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_D2}, b.vec_id) AS nth FROM v a JOIN v b ON a.vec_id <> b.vec_id)"
 
 
-@query()
+@query(f"""WITH {_VSQL}, r AS (SELECT * FROM v WHERE split = 'reference'), mine AS (SELECT a.vec_id AS key, b.vec_id AS other, sqrt({_D2}) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_D2}, b.vec_id) AS nth FROM v a JOIN r b ON a.vec_id <> b.vec_id QUALIFY nth <= 10),
+own AS (SELECT * FROM mine WHERE key % 10 < 7), kd AS (SELECT key, max(d) AS kd FROM own GROUP BY key), lrd AS (SELECT o.key, 1 / (avg(greatest(o.d, k.kd)) + 1e-10) AS lrd FROM own o JOIN kd k ON k.key = o.other GROUP BY o.key)
+SELECT m.key, round(avg(l.lrd) * (avg(greatest(m.d, k.kd)) + 1e-10), 6) AS lof FROM mine m JOIN kd k ON k.key = m.other JOIN lrd l ON l.key = m.other GROUP BY m.key""")
 def e04_local_outlier_factor(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings")
-    names = [f"v{i}" for i in range(v.agg(F.max(F.size("embedding"))).first()[0] or 0)]
-    v = v.select("vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(names)])
-    return ensemble.local_outlier_factor(v, v.where("vec_id % 10 < 7"), names, "vec_id", 10)
+    v = vectors(spark, sf_dir)
+    return rounded(ensemble.local_outlier_factor(v, v.where("split = 'reference'"), _V, "vec_id", 10), "lof")
 
 
 @query(f"WITH {_VSQL}, {_NN} SELECT round(greatest(quantile_cont(d, 0.9), 0.1), 6) AS eps FROM nn WHERE nth = 4")
@@ -75,6 +75,14 @@ def e06_density_noise(spark, sf_dir):
     return ensemble.density_noise(vectors(spark, sf_dir), _V, "vec_id", 0.9, 6)
 
 
+@query(f"""WITH RECURSIVE {_VSQL}, p AS (SELECT a.vec_id AS key, b.vec_id AS other FROM v a JOIN v b ON {_D2} <= 0.81), n AS (SELECT key, count(*) AS n FROM p GROUP BY key), c AS (SELECT key FROM n WHERE n >= 6),
+e AS (SELECT key, other FROM p WHERE key IN (FROM c) AND other IN (FROM c)), reach AS (SELECT key, key AS other FROM c UNION SELECT r.key, e.other FROM reach r JOIN e ON e.key = r.other), l AS (SELECT key, min(other) AS cluster FROM reach GROUP BY key),
+o AS (SELECT p.key, min(l.cluster) AS cluster FROM p JOIN l ON l.key = p.other WHERE p.key NOT IN (FROM c) GROUP BY p.key)
+SELECT n.key, n.n, n.n >= 6 AS core, coalesce(l.cluster, o.cluster) IS NULL AS noise, coalesce(l.cluster, o.cluster) AS cluster FROM n LEFT JOIN l ON l.key = n.key LEFT JOIN o ON o.key = n.key""")
+def e06_density_clusters(spark, sf_dir):
+    return ensemble.density_clusters(vectors(spark, sf_dir), _V, "vec_id", 0.9, 6)
+
+
 @query()
 def e07_elliptic(spark, sf_dir):
     return _counted(ensemble.elliptic(prepared(spark, sf_dir), FEATURES, reference()), "elliptic_flag")
@@ -177,6 +185,7 @@ def e20_boundary_and_tail(spark, sf_dir):
     return rounded(ensemble.pattern_signals(p, ensemble.pattern_reference(p, FEATURES, reference()), FEATURES), "boundary", "tail", digits=5)
 
 
+# The operator draws at most 1,000 rows by hash; the tables that SQL checks have fewer.
 @query(f"WITH {_VSQL}, d AS (SELECT sqrt({_D2}) AS d FROM v a JOIN v b ON a.vec_id < b.vec_id) SELECT round(stddev_pop(d) / (avg(d) + 1e-9), 6) AS cv FROM d")
 def e21_uniformity(spark, sf_dir):
     return rounded(ensemble.uniformity(vectors(spark, sf_dir), _V, "vec_id"), "cv")

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,6 +189,7 @@ def test_source_divergence(spark, monkeypatch):
     want = audit(rows)
     assert sorted(map(tuple, divergence.audit(df).collect())) == want
     monkeypatch.setattr(divergence, "CELLS", 16)  # many blocks
+    monkeypatch.setattr(divergence, "BUCKET", 100)  # and buckets
     assert sorted(map(tuple, divergence.audit(df).collect())) == want
     con = duckdb.connect()
     con.register("documents", df.toPandas())
@@ -201,6 +203,35 @@ def test_source_divergence_on_odd_tables(spark):
     assert any(x[2] == "term" for x in got) and divergence.audit(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_bags_add_up_however_they_are_taken_in(monkeypatch):
+    rows = corpus(5)
+    groups = sorted({(x or "", s) for _, x, s in rows})
+    langs = sorted({g[0] for g in groups})
+
+    def bag(part):
+        data = [t.encode() for _, (t, _, _) in part]
+        of = np.array([groups.index((x or "", s)) for _, (_, x, s) in part])
+        return divergence._counted(np.frombuffer(b"".join(data), np.uint8), np.cumsum([len(d) for d in data]), np.array([i for i, _ in part]), of, np.array([langs.index(groups[g][0]) for g in of]), groups, langs, 4)
+
+    def content(b):
+        text, starts = b.text.tobytes(), [0, *b.ends]
+        word = [text[x:y] for x, y in zip(starts, b.ends)]
+        sure = {(word[i], b.langs[k]) for i, k in zip(b.sure_item, b.sure_lang)}
+        return {(word[i], b.groups[g], int(n)) for i, g, n in zip(b.n_item, b.n_group, b.n)}, sure, {(word[i], b.langs[k], int(d)) for i, k, d in zip(b.id_item, b.id_lang, b.id)}
+
+    numbered = list(enumerate(rows))
+    whole = bag(numbered)
+    parts = [bag(numbered[a : a + 17]) for a in range(0, len(numbered), 17)]
+    assert content(divergence._merged(parts, 4)) == content(whole)
+    sent = [x for p in parts for b in divergence._sent(p, 7) for x in zip(b["bucket"].to_pylist(), b["data"].to_pylist())]
+    monkeypatch.setattr(divergence, "TAKEN", 20)
+    batch = pa.RecordBatch.from_pydict({"bucket": [k for k, _ in sorted(sent)], "data": [d for _, d in sorted(sent)]})
+    got = [content(b) for b in divergence._by_bucket(iter([batch.slice(0, 5), batch.slice(5)]), 4)]
+    assert len(got) == 7 and tuple(set().union(*x) for x in zip(*got)) == content(whole)
+    words = Counter((w, g) for _, (t, x, s) in numbered for g in [(x or "", s)] for w in t.encode().split())
+    assert content(whole)[0] == {(w, g, n) for (w, g), n in words.items()}
+
+
 def test_chunks_of_long_texts(monkeypatch):
     monkeypatch.setattr(divergence, "PIECE", 50)
     r = random.Random(3)

@@ -8,10 +8,11 @@ from tabguard.operators import prep, shift
 from tabguard.plans.base import FEATURES, query
 from tabguard.plans.forensics_queries import _BAD, _SM, samples
 from tabguard.plans.shift_queries import long_split, rounded
-from tabguard.plans.trust_queries import _DRIFT, _TRUST, shares, sims
+from tabguard.plans.trust_queries import _DIV, _DRIFT, _TRUST, shares, sims
 from tabguard.plans.verdict_queries import evidence
+from tabguard.sources import tables
 from tabguard.sources.tables import scratch
-from tabguard.streaming import stream
+from tabguard.streaming import keyed, stream
 
 
 def as_stream(df, name):
@@ -21,10 +22,20 @@ def as_stream(df, name):
     return stream.read(df.sparkSession, path, 100)
 
 
-@query(f"WITH RECURSIVE {_TRUST} SELECT client_id, round, round(trust, 6) AS trust, quarantined FROM hist")
+#: Parts that streams with keyed state get, by hash, so in no order of time.
+PARTS = 4
+
+
+@query(f"WITH RECURSIVE {_TRUST}{_DIV} SELECT client_id, round, round(trust, 6) AS trust, quarantined, round(divergence, 6) AS divergence, divergence > 0.7 AS fingerprint_alarm FROM hist JOIN div USING (client_id, round)")
 def s01_trust_stream(spark, sf_dir):
-    s = sims(spark, sf_dir).select("client_id", F.col("round").cast("long").alias("round"), "sim")
-    return rounded(stream.run_in_order(s, "round", stream.trust_stream, "trust"), "trust")
+    """Rounds are minutes; the delay is that of the whole table, as its rows come in no order."""
+    s = sims(spark, sf_dir).select("client_id", F.col("round").cast("long").alias("round"), "sim", "gradient", F.timestamp_seconds((F.col("round") + 1) * 60).alias("at"))
+    s = tables.stored(s, "rounds")
+    last = s.agg(F.max("round").alias("m"), F.min("client_id").alias("c")).first()
+    minutes = (last["m"] or 0) + 2
+    closing = spark.range(1).select(F.lit(last["c"]).cast("long").alias("client_id"), F.lit(None).cast("long").alias("round"), F.lit(0.0).alias("sim"), F.array().cast("array<double>").alias("gradient"), F.timestamp_seconds(F.lit(minutes * 240)).alias("at"))
+    out = keyed.driven(keyed.dealt(s, PARTS, "client_id", "round"), lambda x: keyed.trust_states(x, f"{minutes} minutes"), closing, "trust")
+    return rounded(out, "trust", "divergence")
 
 
 @query(f"WITH {_DRIFT} SELECT batch, round(s, 6) AS step_drift, round(c, 6) AS cumulative_drift FROM dd")
@@ -33,10 +44,15 @@ def s02_drift_stream(spark, sf_dir):
     return rounded(out, "step_drift", "cumulative_drift").select("batch", "step_drift", "cumulative_drift")
 
 
-@query(f"""WITH {_SM}, h AS (SELECT date_trunc('hour', ingested_at) AS hour, count(*) FILTER (WHERE {_BAD}) AS poison_count, count(*) FILTER (WHERE NOT {_BAD}) AS clean_count FROM sm GROUP BY 1)
-SELECT * FROM h WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ingested_at) - INTERVAL 1 HOUR FROM sm)""")
+@query(f"WITH {_SM} SELECT date_trunc('hour', ingested_at) AS hour, count(*) FILTER (WHERE {_BAD}) AS poison_count, count(*) FILTER (WHERE NOT {_BAD}) AS clean_count FROM sm GROUP BY 1")
 def s03_hourly_counts(spark, sf_dir):
-    return stream.hourly_counts(as_stream(samples(spark, sf_dir).select("ingested_at", "poison_status"), "samples")).where("closed").drop("closed")
+    """The delay is that of the whole table, as its rows come in no order; a last row of no status closes its hours."""
+    s = tables.stored(samples(spark, sf_dir).select("ingested_at", "poison_status"), "samples")
+    span = s.agg((F.max("ingested_at").cast("double") - F.min("ingested_at").cast("double")).alias("d"), F.max("ingested_at").alias("m")).first()
+    hours = int((span["d"] or 0) // 3600) + 2
+    closing = spark.range(1).select((F.lit(span["m"]).cast("timestamp") + F.make_interval(hours=F.lit(2 * hours))).alias("ingested_at"), F.lit(None).cast("string").alias("poison_status"))
+    parts = [part.select(*closing.columns) for part in keyed.dealt(s, PARTS, "ingested_at")]
+    return keyed.driven(parts, lambda x: stream.hourly_counts(x, f"{hours} hours"), closing, "hourly")
 
 
 @query()
@@ -53,8 +69,13 @@ chain AS (SELECT segment, min(us) AS us FROM e GROUP BY segment UNION ALL SELECT
 q AS (SELECT segment, count(*) AS n FROM chain GROUP BY segment), t AS (SELECT segment, count(*) AS n FROM e GROUP BY segment)
 SELECT segment, 'quarantine' AS action, n FROM q UNION ALL SELECT segment, 'cooldown', t.n - q.n FROM t JOIN q USING (segment) WHERE t.n > q.n""")
 def s05_cooldown_stream(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("segment"), F.col("ts").cast("timestamp").cast("double").alias("at"))
-    return stream.run_in_order(e, "at", lambda s: stream.cooldown_stream(s, 3600), "actions").groupBy("segment", "action").agg(F.count("*").alias("n"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("segment"), F.col("ts").cast("timestamp").alias("at"))
+    e = tables.stored(e.groupBy("segment", "at").agg(F.count("*").alias("n")).select("segment", F.col("at").cast("double").alias("seconds"), "n", "at"), "decisions")
+    span = e.agg((F.max("seconds") - F.min("seconds")).alias("d"), F.max("seconds").alias("m"), F.min("segment").alias("s")).first()
+    seconds = int(span["d"] or 0) + 1
+    closing = spark.range(1).select(F.lit(span["s"]).cast("string").alias("segment"), F.lit(None).cast("double").alias("seconds"), F.lit(0).cast("long").alias("n"), F.timestamp_seconds(F.lit((span["m"] or 0.0) + 2 * seconds)).alias("at"))
+    out = keyed.driven(keyed.dealt(e, PARTS, "segment", "seconds"), lambda x: keyed.cooldown_states(x, 3600, f"{seconds} seconds"), closing, "actions")
+    return out.groupBy("segment", "action").agg(F.sum("n").alias("n"))
 
 
 @query("""WITH v AS (SELECT o_orderkey AS id, o_totalprice / 500000 AS s, o_orderkey % 3 = 0 AND o_totalprice / 500000 >= 0.65 AS bad FROM orders)

@@ -1,25 +1,18 @@
 """Streaming forms of the measurements that can be kept up row by row.
 
 ``run`` drives a streaming frame over what its source holds now and returns what was written; a service would start
-the same frames without the trigger. Checkpoints and sinks lie in the cluster's shared folder.
+the same frames without the trigger. Checkpoints and sinks lie in the cluster's shared folder. Keyed state is in ``keyed``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tabguard.operators import drift as D
-from tabguard.operators import trust
-from tabguard.sources.tables import scratch, stored
-
-#: Rows that arrive together where their order counts.
-RANGE = 1 << 21
+from tabguard.sources.tables import scratch
 
 
 def read(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -39,70 +32,6 @@ def run(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(to)
 
 
-def run_in_order(rows: DataFrame, by: str, form: Callable[[DataFrame], DataFrame], name: str, most: int = RANGE) -> DataFrame:
-    """What the streaming ``form`` gives for ``rows`` that arrive in the order of ``by``.
-
-    Ranges of about ``most`` rows arrive one after the other, each as one micro-batch; equal values of ``by`` share a
-    range. A form that sorts its micro-batch thus sees every group's rows in order, whatever files they came from.
-    """
-    spark = rows.sparkSession
-    rows = stored(rows, f"{name}-rows")
-    waiting, source, to, state = (scratch(spark, f"{name}-{x}") for x in ("waiting", "source", "out", "state"))
-    at = F.col(by).cast("double")
-    n = -(-rows.count() // most)
-    bounds = sorted(set(rows.select(at.alias("at")).approxQuantile("at", [k / n for k in range(1, n)], 0.1 / n))) if n > 1 else []
-    number = F.lit(0) if not bounds else F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < at))
-    rows.withColumn("_range", number).write.partitionBy("_range").parquet(waiting)
-    ranges = spark.read.schema(StructType([*rows.schema, StructField("_range", IntegerType())])).parquet(waiting)
-    for k in range(len(bounds) + 1):
-        ranges.where(F.col("_range") == k).drop("_range").write.mode("append").parquet(source)
-        out = form(spark.readStream.schema(rows.schema).parquet(source))
-        _drive(out, to, state)
-    return spark.read.schema(out.schema).parquet(to)
-
-
-# ---- client trust (S1) ---------------------------------------------------------------------------------------------------
-
-
-def trust_stream(sims: DataFrame) -> DataFrame:
-    """client_id, round, trust, quarantined for a stream of (client_id, round, sim) in the order of rounds: one client's state is three values."""
-
-    def update(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, t, q = state.get if state.exists else (0, trust.START, False)
-        rows = pd.concat(list(pdfs)).sort_values("round")
-        out = []
-        for r, sim in zip(rows["round"], rows["sim"], strict=True):
-            n += 1
-            a = trust.WARM if n <= trust.WARM_ROUNDS else trust.ACTIVE
-            t = a * sim + (1 - a) * t
-            q = bool((q and t < trust.RELEASE) or (t < trust.QUARANTINE and n >= trust.WARM_ROUNDS))
-            out.append((key[0], int(r), float(t), q))
-        state.update((n, float(t), q))
-        yield pd.DataFrame(out, columns=["client_id", "round", "trust", "quarantined"])
-
-    return sims.groupBy("client_id").applyInPandasWithState(update, "client_id long, round long, trust double, quarantined boolean", "n int, trust double, quarantined boolean", "append", GroupStateTimeout.NoTimeout)
-
-
-# ---- action cool-down (S5) -----------------------------------------------------------------------------------------------
-
-
-def cooldown_stream(decisions: DataFrame, seconds: float = 30.0) -> DataFrame:
-    """segment, at, action: quarantine, or cooldown if this segment's last action was less than ``seconds`` ago; in the order of ``at``."""
-
-    def update(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(pdfs)).sort_values("at")
-        out = []
-        for at in rows["at"]:
-            cold = last is not None and at - last < seconds
-            out.append((key[0], float(at), "cooldown" if cold else "quarantine"))
-            last = last if cold else float(at)
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["segment", "at", "action"])
-
-    return decisions.groupBy("segment").applyInPandasWithState(update, "segment string, at double, action string", "last double", "append", GroupStateTimeout.NoTimeout)
-
-
 # ---- windows, scoring, events (S2, S3, S4, S6) ------------------------------------------------------------------------------
 
 
@@ -118,13 +47,14 @@ def _partials(rows: DataFrame, name: str, part: Callable[[DataFrame], DataFrame]
 
 
 def hourly_counts(samples: DataFrame, late: str = "1 hour") -> DataFrame:
-    """hour, poison_count, clean_count, closed: all rows count, however late; closed if only rows over ``late`` old could still come."""
+    """hour, poison_count, clean_count of event-time hours, each given once, when the watermark has passed its end.
+
+    A row counts if its hour is still open when it comes, that is as long as no row ``late`` newer than the hour's end has
+    come in an earlier micro-batch; later ones are left out.
+    """
     bad = F.col("poison_status").isin("confirmed", "suspected")
-    count = lambda df: df.groupBy(F.window("ingested_at", "1 hour").alias("w")).agg(F.count_if(bad).alias("poison_count"), F.count_if(~bad).alias("clean_count"), F.max("ingested_at").alias("newest"))
-    parts = _partials(samples, "hourly", count)
-    last = parts.agg((F.max("newest") - F.expr(f"INTERVAL {late}")).alias("_last"))
-    total = parts.groupBy("w").agg(F.sum("poison_count").alias("poison_count"), F.sum("clean_count").alias("clean_count"))
-    return total.join(F.broadcast(last)).select(F.col("w.start").alias("hour"), "poison_count", "clean_count", (F.col("w.end") <= F.col("_last")).alias("closed"))
+    hours = samples.withWatermark("ingested_at", late).groupBy(F.window("ingested_at", "1 hour").alias("w"))
+    return hours.agg(F.count_if(bad).alias("poison_count"), F.count_if(~bad).alias("clean_count")).select(F.col("w.start").alias("hour"), "poison_count", "clean_count")
 
 
 def drift_per_batch(shares: DataFrame, features: list[str], batch: str = "batch") -> DataFrame:

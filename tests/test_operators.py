@@ -129,7 +129,7 @@ def test_scans_read_only_what_they_need(spark, tmp_path):
 
 
 def test_streams_do_not_depend_on_micro_batches(spark, tmp_path):
-    from tabguard.operators import drift, trust
+    from tabguard.operators import drift
     from tabguard.streaming import stream
 
     r = np.random.default_rng(8)
@@ -139,20 +139,6 @@ def test_streams_do_not_depend_on_micro_batches(spark, tmp_path):
         df.repartition(6).write.parquet(str(tmp_path / name))
         return stream.read(spark, str(tmp_path / name), 1)
 
-    sims = spark.createDataFrame([(c, k, float(r.random())) for c in range(5) for k in range(30)], "client_id long, round long, sim double").repartition(6)
-    want = {(x["client_id"], x["round"]): (round(x["trust"], 9), x["quarantined"]) for x in trust.trust_history(sims).collect()}
-    got = stream.run_in_order(sims, "round", stream.trust_stream, "trust", most=40).collect()
-    assert len(got) == 150 and {(x["client_id"], x["round"]): (round(x["trust"], 9), x["quarantined"]) for x in got} == want
-
-    times = [float(x) for x in r.integers(0, 5000, 120)]
-    last, hot = None, 0
-    for at in sorted(times):
-        if last is None or at - last >= 300:
-            last, hot = at, hot + 1
-    acts = spark.createDataFrame([("a", x) for x in times], "segment string, at double").repartition(6)
-    got = stream.run_in_order(acts, "at", lambda s: stream.cooldown_stream(s, 300), "acts", most=30)
-    assert got.count() == 120 and got.where("action = 'quarantine'").count() == hot
-
     shares = spark.createDataFrame([(k % 4, float(r.random()), float(r.random())) for k in range(200)], "batch int, a double, b double")
     whole = {x["batch"]: (x["step_drift"], x["cumulative_drift"]) for x in drift.drift(drift.snapshots(shares, ["a", "b"])).collect()}
     got = stream.drift_per_batch(files(shares, "shares"), ["a", "b"]).collect()
@@ -160,11 +146,6 @@ def test_streams_do_not_depend_on_micro_batches(spark, tmp_path):
     for x in got:
         assert np.allclose((x["step_drift"], x["cumulative_drift"]), whole[x["batch"]], atol=1e-9)
 
-    samples = spark.range(200).select((F.col("id") * 300).cast("timestamp").alias("ingested_at"), F.when(F.col("id") % 3 == 0, "confirmed").otherwise("clean").alias("poison_status"))
-    got = stream.hourly_counts(files(samples, "samples")).collect()
-    assert len(got) == 17 and sum(x["poison_count"] for x in got) == 67 and sum(x["clean_count"] for x in got) == 133
-    assert sum(x["closed"] for x in got) == 15
-
 
 def test_outlier_factors_read_the_whole_vector(spark, tmp_path):
     from tabguard.plans.ensemble_queries import e04_local_outlier_factor

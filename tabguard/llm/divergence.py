@@ -44,7 +44,7 @@ LEAST = 10
 TOP = 10
 #: Bytes of text that a task splits at once and counts before it sends them on, bytes of the corpus for a bucket, entries
 #: that a bucket takes in before it adds them up, cells of a block.
-PIECE, FLUSH, BUCKET, TAKEN, CELLS = 1 << 21, 1 << 25, 1 << 21, 1 << 21, 1 << 21
+PIECE, FLUSH, BUCKET, TAKEN, CELLS = 1 << 21, 1 << 25, 1 << 21, 1 << 21, 1 << 17
 SCALE = 1_000_000_000
 
 _BLANK = W.byte_table(W.SPACE)

@@ -7,7 +7,7 @@ together. When a range holds at most ``REST`` rows they are sorted as one list.
 beyond that bound, and what moves in a pass is at most BUCKETS counts a range and task.
 
 Null and NaN values are left out, infinite ones count as the largest finite numbers. Between two order statistics the
-quantile is interpolated, as ``percentile`` does.
+quantile is interpolated, as ``percentile`` does; between equal ones it is their value.
 """
 
 from __future__ import annotations
@@ -69,7 +69,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, at: list[float], res
     by = lambda name, pos: values.select(*mine, F.col("_pos").alias(pos), F.col("_x").alias(name))
     asked = asked.withColumns({"_a": F.floor("_at"), "_b": F.ceil("_at")})
     both = asked.join(by("_xa", "_a"), [*mine, "_a"]).join(by("_xb", "_b"), [*mine, "_b"])
-    each = F.when(F.col("_a") == F.col("_b"), F.col("_xa")).otherwise(F.col("_xa") * (F.col("_b") - F.col("_at")) + F.col("_xb") * (F.col("_at") - F.col("_a")))
+    each = F.when(F.col("_a") == F.col("_b"), F.col("_xa")).otherwise(F.col("_xa") + (F.col("_xb") - F.col("_xa")) * (F.col("_at") - F.col("_a")))
     out = both.select(*mine, "_n", "_i", each.alias("_q")).groupBy(*mine, "_n").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda s: s["_q"]).alias("q"))
     return out.select(*[F.col(m).alias(k) for k, m in zip(keys, mine, strict=False)], F.col("_n").alias("n"), "q")
 

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabguard.operators import prep, shift
 from tabguard.plans.base import FEATURES, query
+from tabguard.plans.ensemble_queries import _PAT, _PD, prepared
 from tabguard.plans.forensics_queries import _BAD, _SM, samples
-from tabguard.plans.shift_queries import long_split, rounded
+from tabguard.plans.shift_queries import _STEP, BASE, rounded
 from tabguard.plans.trust_queries import _DIV, _DRIFT, _TRUST, shares, sims
 from tabguard.plans.verdict_queries import evidence
 from tabguard.sources import tables
 from tabguard.sources.tables import scratch
-from tabguard.streaming import keyed, stream
+from tabguard.streaming import keyed, scoring, stream
 
 
 def as_stream(df, name):
@@ -55,12 +55,39 @@ def s03_hourly_counts(spark, sf_dir):
     return keyed.driven(parts, lambda x: stream.hourly_counts(x, f"{hours} hours"), closing, "hourly")
 
 
-@query()
+_POINTS = "[" + ", ".join(str(x) for x in scoring.GRID) + "]"
+_SCORED = f"""{BASE}, grid AS (SELECT feature, quantile_cont(value, {_POINTS}) AS g FROM long WHERE split = 'reference' GROUP BY feature),
+win AS (SELECT row_rank, CAST(floor(epoch(l_shipdate) / 2592000) AS BIGINT) AS w FROM split WHERE split = 'incoming'),
+pl0 AS (SELECT l.split, win.w, l.feature, l.value, p1, p99, iqr, g, len(list_filter(g, lambda c: l.value > c + 1e-9)) AS place, CAST(least(floor((l.value - p1) / {_STEP}), 19) AS INT) AS i FROM long l JOIN base USING (feature) JOIN grid USING (feature) LEFT JOIN win USING (row_rank)),
+pl AS (SELECT *, CASE WHEN p99 > p1 AND value BETWEEN p1 AND p99 THEN CASE WHEN value < p1 + i * {_STEP} THEN i - 1 WHEN i < 19 AND value >= (CASE WHEN i + 1 = 20 THEN p99 ELSE p1 + (i + 1) * {_STEP} END) THEN i + 1 ELSE i END END AS bin FROM pl0),
+wf AS (SELECT w, feature, count(*) AS n, avg(CASE WHEN bin IS NULL THEN 1 ELSE 0 END) AS out_of_range, any_value(p99 > p1) AS ok, any_value(iqr) AS iqr, any_value(g) AS g FROM pl WHERE w IS NOT NULL GROUP BY ALL),
+rb AS (SELECT feature, bin, count(*) AS c FROM pl WHERE split = 'reference' AND bin IS NOT NULL GROUP BY ALL), ib AS (SELECT w, feature, bin, count(*) AS c FROM pl WHERE w IS NOT NULL AND bin IS NOT NULL GROUP BY ALL),
+kb AS (SELECT wf.w, wf.feature, ok, coalesce(ib.c, 0) + 1e-10 AS p, coalesce(rb.c, 0) + 1e-10 AS q FROM wf CROSS JOIN (SELECT unnest(range(20)) AS bin) x LEFT JOIN ib ON ib.w = wf.w AND ib.feature = wf.feature AND ib.bin = x.bin LEFT JOIN rb ON rb.feature = wf.feature AND rb.bin = x.bin),
+kn AS (SELECT w, feature, ok, p / sum(p) OVER (PARTITION BY w, feature) AS p, q / sum(q) OVER (PARTITION BY w, feature) AS q FROM kb), kw AS (SELECT w, feature, CASE WHEN bool_and(ok) THEN sum(p * ln(p / q)) ELSE 0 END AS kl FROM kn GROUP BY ALL),
+pt AS (SELECT unnest(range({len(scoring.GRID)})) AS j), rg AS (SELECT feature, j AS i, count(*) FILTER (WHERE place <= j) / count(*) AS f FROM pl CROSS JOIN pt WHERE split = 'reference' GROUP BY ALL), ig AS (SELECT w, feature, j AS i, count(*) FILTER (WHERE place <= j) / count(*) AS f FROM pl, pt WHERE w IS NOT NULL GROUP BY ALL),
+ww AS (SELECT wf.w, wf.feature, sum(abs(ig.f - rg.f) * (g[ig.i + 2] - g[ig.i + 1])) AS w1 FROM wf JOIN ig ON ig.w = wf.w AND ig.feature = wf.feature JOIN rg ON rg.feature = wf.feature AND rg.i = ig.i WHERE ig.i < {len(scoring.GRID) - 1} GROUP BY ALL),
+tt AS (SELECT w, pl.feature, avg(-ln(least(x, 1 - x))) AS tail FROM (SELECT w, pl.feature, greatest(1e-9, least(1 - 1e-9, coalesce(rg.f, 1))) AS x FROM pl LEFT JOIN rg ON rg.feature = pl.feature AND rg.i = place WHERE w IS NOT NULL) pl GROUP BY ALL)"""
+
+
+def incoming_stream(spark, sf_dir):
+    """A baseline of the reference part, written and read again, and the rest as a stream with days as event time."""
+    p = prepared(spark, sf_dir)
+    path = scratch(spark, "baseline")
+    scoring.fit(p.where("split = 'reference'"), FEATURES).save(path)
+    rows = p.where("split = 'incoming'").select(*FEATURES, F.timestamp_seconds(F.unix_date(F.to_date("l_shipdate")) * 86400).alias("at"))
+    return scoring.scored(as_stream(rows, "incoming"), scoring.Baseline.load(spark, path, FEATURES), "at", "30 days").withColumn("w", F.floor(F.unix_timestamp("w") / 2592000)), scoring.Baseline.load(spark, path, FEATURES)
+
+
+@query(f"WITH {_SCORED} SELECT w, feature, n, round(kl, 6) AS kl, round(w1, 6) AS w1, round(w1 / iqr, 6) AS w1_norm, round(tail, 6) AS tail, round(out_of_range, 6) AS out_of_range FROM wf JOIN kw USING (w, feature) JOIN ww USING (w, feature) JOIN tt USING (w, feature)")
 def s04_scored_stream(spark, sf_dir):
-    long = long_split(spark, sf_dir)
-    base = shift.baseline(long)
-    rows = as_stream(prep.minmax_scale(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", *FEATURES), FEATURES), "incoming")
-    return stream.run(stream.score_against(rows, base, FEATURES, "l_orderkey"), "scored").groupBy("far").agg(F.count("*").alias("n"))
+    merged, base = incoming_stream(spark, sf_dir)
+    return rounded(scoring.by_feature(merged, base), "kl", "w1", "w1_norm", "tail", "out_of_range")
+
+
+@query(f"WITH {_PAT} SELECT CAST(floor(epoch(l_shipdate) / 2592000) AS BIGINT) AS w, count(*) AS n, round(avg((d < p25)::INT), 6) AS boundary, round(avg((d > p80)::INT), 6) AS tail FROM (SELECT *, {_PD} AS d FROM split, pq WHERE split = 'incoming') x, pr GROUP BY 1")
+def s04_pattern_stream(spark, sf_dir):
+    merged, _ = incoming_stream(spark, sf_dir)
+    return rounded(scoring.by_row(merged), "boundary", "tail")
 
 
 @query("""WITH RECURSIVE e AS (SELECT event_type AS segment, epoch_us(ts) AS us FROM events),

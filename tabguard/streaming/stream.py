@@ -63,13 +63,6 @@ def drift_per_batch(shares: DataFrame, features: list[str], batch: str = "batch"
     return D.drift(D.merged(parts, batch), batch)
 
 
-def score_against(rows: DataFrame, base: DataFrame, features: list[str], key: str) -> DataFrame:
-    """key, far: features of a streamed row outside the stored baseline's p1..p99; the baseline has a row per feature."""
-    lim = base.agg(*[F.struct(F.max(F.when(F.col("feature") == c, F.col("p1"))).alias("lo"), F.max(F.when(F.col("feature") == c, F.col("p99"))).alias("hi")).alias(f"_{c}") for c in features])
-    far = sum(((F.col(c) < F.col(f"_{c}.lo")) | (F.col(c) > F.col(f"_{c}.hi"))).cast("int") for c in features)
-    return rows.join(F.broadcast(lim)).select(key, far.alias("far"))
-
-
 def event_feed(verdicts: DataFrame) -> DataFrame:
     """id, event for each verdict row: analysed, and by its verdict confirmed, defended, to be reviewed."""
     s = F.col("overall_suspicion")

@@ -90,7 +90,7 @@ def test_quantiles_are_exact(spark, rest):
         assert got[k]["n"] == len(x)
         pos = np.array(at) * (len(x) - 1)
         s = np.sort(x)
-        want = [s[int(p)] if p == int(p) else s[int(p)] * (int(p) + 1 - p) + s[int(p) + 1] * (p - int(p)) for p in pos]
+        want = [s[int(p)] if p == int(p) else s[int(p)] + (s[int(p) + 1] - s[int(p)]) * (p - int(p)) for p in pos]
         assert got[k]["q"] == want
 
 

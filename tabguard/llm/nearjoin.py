@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tabguard.llm import wordarrays as W
 from tabguard.llm.components import components
-from tabguard.llm.shared import dropped, freed, stored
+from tabguard.llm.shared import dropped, freed, lean, stored
 from tabguard.llm.sketch import Bits, bits_of, counts, slots
 
 SHINGLE = 5
@@ -44,6 +44,8 @@ TOGETHER, HOT = 64, 512
 MET = 1 << 20
 #: Lists with more members than this are compared by blocks of about BLOCK members.
 LONG_LIST, BLOCK = 48, 512
+#: Bytes of text whose sets are made at once.
+PIECE = 1 << 19
 
 
 # ---- sets ------------------------------------------------------------------------------------------------------------
@@ -52,8 +54,9 @@ LONG_LIST, BLOCK = 48, 512
 def _sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, hashes, offsets): each row's distinct shingle hashes in order, for stretches of rows."""
     freed()
+    lean()
     data, at = W.bytes_of(column)
-    for a, b in W.pieces(at):
+    for a, b in W.pieces(at, PIECE):
         _, _, h, rows = W.words(data[at[a] : at[b]], at[a : b + 1] - at[a], IS_WORD)
         size = np.diff(rows)
         row_of = np.repeat(np.arange(b - a), np.maximum(0, size - SHINGLE + 1))

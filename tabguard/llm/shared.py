@@ -90,5 +90,16 @@ def freed() -> None:
             trim(0)
 
 
+def lean(at_least: int = 1 << 20) -> None:
+    """From now on this worker gives arrays of a megabyte or more back to the system as soon as they are freed.
+
+    The C library would raise that bound by itself, and keep what was freed for later arrays.
+    """
+    options = getattr(ctypes.CDLL(None), "mallopt", None)
+    if options is not None:
+        options(-3, at_least)  # M_MMAP_THRESHOLD
+        options(-1, at_least)  # M_TRIM_THRESHOLD
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabguard.llm import wordarrays as W
-from tabguard.llm.shared import freed, stored
+from tabguard.llm.shared import freed, lean, stored
 
 #: Letters, and all characters beyond ASCII.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -44,7 +44,7 @@ LEAST = 10
 TOP = 10
 #: Bytes of text that a task splits at once and counts before it sends them on, bytes of the corpus for a bucket, entries
 #: that a bucket takes in before it adds them up, cells of a block.
-PIECE, FLUSH, BUCKET, TAKEN, CELLS = 1 << 21, 1 << 25, 1 << 21, 1 << 21, 1 << 17
+PIECE, FLUSH, BUCKET, TAKEN, CELLS = 1 << 20, 1 << 23, 1 << 21, 1 << 19, 1 << 17
 SCALE = 1_000_000_000
 
 _BLANK = W.byte_table(W.SPACE)
@@ -269,6 +269,7 @@ def _strings(data: np.ndarray, ends: np.ndarray, inside: np.ndarray) -> tuple[np
 
 def _chunks(batches: Iterator[pa.RecordBatch], buckets: int, least: int) -> Iterator[pa.RecordBatch]:
     freed()
+    lean()
     row = TaskContext.get().partitionId() << 33
     bags, taken = [], 0
     texts, rows, of, size = [], [], [], 0
@@ -331,6 +332,7 @@ def _cut(bag: Bag, least: int) -> Bag:
 
 def _terms(batches: Iterator[pa.RecordBatch], buckets: int, least: int) -> Iterator[pa.RecordBatch]:
     freed()
+    lean()
     for bag in _by_bucket(batches, least):
         yield from _sent(_cut(bag, least), buckets)
 
@@ -338,6 +340,7 @@ def _terms(batches: Iterator[pa.RecordBatch], buckets: int, least: int) -> Itera
 def _kept(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """lang, source, term, count of terms that enough documents of the language have."""
     freed()
+    lean()
     for bag in _by_bucket(batches, least):
         lang_at = {x: i for i, x in enumerate(bag.langs)}
         lang_of = np.array([lang_at[g[0]] for g in bag.groups], np.int64)

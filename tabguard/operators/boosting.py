@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -196,13 +197,12 @@ def fit(rows: DataFrame, cuts: list[np.ndarray], models: list[tuple], rounds: in
 
 def scored(df: DataFrame, features: list[str], trees: Trees, name: str) -> DataFrame:
     """``df`` with the ensemble's probability."""
-    import pandas as pd
 
-    def probability(*columns: pd.Series) -> pd.Series:
-        x = np.column_stack([c.to_numpy(float) for c in columns])
+    def probability(v: pd.Series) -> pd.Series:
+        x = np.stack(v.to_numpy()).astype(float) if len(v) else np.zeros((0, len(features)))
         return pd.Series(1 / (1 + np.exp(-trees.margins(trees.codes(x)))))
 
-    return df.withColumn(name, F.pandas_udf(probability, "double")(*[F.col(c).cast("double") for c in features]))
+    return df.withColumn(name, F.pandas_udf(probability, "double")(F.array(*[F.col(c).cast("double") for c in features])))
 
 
 def _hits(batches: Iterator[pa.RecordBatch], models: list[tuple], trees: list[Trees], p: int) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabguard.functions.numeric import unpivot
-from tabguard.operators import causal, ensemble, linalg, params, prep, response, results, shift, spectral, verdict
+from tabguard.operators import analysis, causal, ensemble, linalg, params, prep, response, results, shift, spectral, verdict
 from tabguard.plans.base import FEATURES, query, table
 from tabguard.plans.prep_queries import scaled_split
 from tabguard.plans.shift_queries import BLEND, GRAD, KL, LABEL, W1, rounded
@@ -50,26 +50,10 @@ def i02_shift_verdict(spark, sf_dir):
     return s.select(F.round("kl", 6).alias("kl_divergence"), F.round("w1", 6).alias("wasserstein"), F.round("shift", 6).alias("label_shift"), F.round("z", 4).alias("label_z"), "label_alarm", "blend_alarm", "gradient_alarm", F.round("suspicion_score", 5).alias("suspicion_score"), "verdict")
 
 
-def layer_one(rows, features):
-    """All eight measures of the first layer from one stored, split table with ranks, and its verdict: one row."""
-    long = unpivot(rows, features, ["split", "row_rank", "n_rows", "label"])
-    base = tables.stored(shift.baseline(long), "baseline")
-    kl = shift.trimmed_mean(shift.kl_divergence(long, base), "kl")
-    w1 = shift.wasserstein(long, base).agg(F.avg("w1_norm").alias("w1"))
-    distance = linalg.mahalanobis_of_medians(rows, features)
-    label = shift.label_shift(rows).select("shift", "z", F.coalesce("alarm", F.lit(False)).alias("label_alarm"))
-    spike = shift.exact_spike(long).agg((F.count("*") > 0).alias("spike_alarm"))
-    blend = shift.blend_trigger(rows, features).select(F.col("alarm").alias("blend_alarm"))
-    grad = shift.gradient_shift(long, base).select(F.col("alarm").alias("gradient_alarm"))
-    trust = shift.trust_alarm(shift.block_deviation(long, base)).select(F.coalesce("alarm", F.lit(False)).alias("trust_alarm"))
-    m = kl.crossJoin(w1).crossJoin(distance).crossJoin(label).crossJoin(spike).crossJoin(blend).crossJoin(grad).crossJoin(trust)
-    return shift.layer_score(m)
-
-
 @query()
 def i02_verdict(spark, sf_dir):
     """Did the newest 30 % of lineitem shift away from the first 70 %? One row, from all eight measures."""
-    s = layer_one(tables.stored(scaled_split(spark, sf_dir), "prepared"), FEATURES)
+    s = analysis.shift_layer(tables.stored(scaled_split(spark, sf_dir), "prepared"), FEATURES)
     return s.select(F.col("kl").alias("kl_divergence"), F.col("w1").alias("wasserstein"), "mahalanobis", F.col("shift").alias("label_shift"), F.col("z").alias("label_z"), "label_alarm", "spike_alarm", "blend_alarm", "gradient_alarm", "trust_alarm", "suspicion_score", "verdict")
 
 
@@ -288,7 +272,7 @@ def r05_parameter_pipeline(spark, sf_dir):
     names = [f"p{i}" for i in range(n)]
     rows = prep.split_by_order(prep.minmax_scale(params.wide(clean, n), names), ["model_id", "unit_id"]).withColumn("label", F.lit(None).cast("int"))
     rows = tables.stored(rows, "units")
-    one = layer_one(rows, names).select(F.col("suspicion_score").alias("layer1"), F.col("verdict").alias("layer1_verdict"))
+    one = analysis.shift_layer(rows, names).select(F.col("suspicion_score").alias("layer1"), F.col("verdict").alias("layer1_verdict"))
     two = spectral.cluster_analysis_twice(rows.withColumn("activation", F.array(*names)), "activation", names).select("minority_ratio", "inertia_gap", "silhouette")
     scores = ensemble.tail_flags(ensemble.tail_scores(unpivot(rows, names, ["split", "row_rank"]), "row_rank"))
     flagged = tables.stored(rows.join(scores.select("row_rank", F.col("copod_flag").alias("flagged")), "row_rank"), "flagged-units")

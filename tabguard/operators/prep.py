@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tabguard.functions.numeric import unpivot
@@ -193,19 +193,24 @@ def clip_outliers(df: DataFrame, features: list[str], reach: float = 5.0, accura
 
 
 def cleaning_report(df: DataFrame, features: list[str], label: str | None = None) -> DataFrame:
-    """step, n: cells or rows that each cleaning step changes or drops, the steps taken in order."""
-    inf = df.agg(*[F.count_if(F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf"))).alias(c) for c in features])
-    finite = drop_infinities(df, features)
-    dense = drop_sparse_rows(finite, features)
-    keys = [*features, *([label] if label else [])]
-    distinct = dense.groupBy(*keys).agg(F.count("*").alias("m"))
-    counts = [
-        unpivot(inf, features, []).agg(F.sum("value").cast("long").alias("n")).select(F.lit("infinities").alias("step"), "n"),
-        finite.agg(F.count("*").alias("a")).crossJoin(dense.agg(F.count("*").alias("b"))).select(F.lit("sparse_rows").alias("step"), (F.col("a") - F.col("b")).alias("n")),
-        distinct.agg(F.coalesce(F.sum(F.col("m") - 1), F.lit(0)).alias("n")).select(F.lit("duplicates").alias("step"), "n"),
-        distinct.agg(F.coalesce(F.sum(reduce(lambda a, b: a + b, [F.col(c).isNull().cast("int") for c in features])), F.lit(0)).cast("long").alias("n")).select(F.lit("imputed").alias("step"), "n"),
-    ]
-    return reduce(DataFrame.unionByName, counts)
+    """step, n: cells or rows that each cleaning step changes or drops, the steps taken in order.
+
+    The counts are observed in one job, while its rows pass from step to step.
+    """
+    steps = ["infinities", "sparse_rows", "duplicates", "imputed"]
+    if df.isEmpty():  # Spark leaves observations of empty plans out
+        return df.sparkSession.createDataFrame([(s, 0) for s in steps], "step string, n long")
+    raw, dense, distinct = Observation(), Observation(), Observation()
+    nulls = reduce(lambda a, b: a + b, [F.col(c).isNull().cast("int") for c in features])
+    each = [F.coalesce((F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf"))).cast("int"), F.lit(0)) for c in features]
+    odd = reduce(lambda a, b: a + b, each)
+    rows = df.observe(raw, F.count(F.lit(1)).alias("n"), F.sum(odd).alias("odd"))
+    rows = drop_sparse_rows(drop_infinities(rows, features), features).observe(dense, F.count(F.lit(1)).alias("n"))
+    once = rows.groupBy(*features, *([label] if label else [])).agg(F.count("*").alias("_m"))
+    once.observe(distinct, F.count(F.lit(1)).alias("n"), F.sum(nulls).alias("nulls")).write.format("noop").mode("overwrite").save()
+    a, b, c = raw.get, dense.get, distinct.get
+    counts = [a["odd"] or 0, a["n"] - b["n"], b["n"] - c["n"], c["nulls"] or 0]
+    return df.sparkSession.createDataFrame(list(zip(steps, counts, strict=True)), "step string, n long")
 
 
 # ---- scaling, splitting, profiling (B14-B18, B21) ------------------------------------------------------------------------

@@ -230,19 +230,19 @@ def a07_csv_round_trip(spark, sf_dir):
     return tables.csv_round_trip(o.select("o_orderkey", "o_totalprice", F.when(F.col("o_custkey") % 2 == 0, "even").otherwise("odd").alias("label")))
 
 
-@query("SELECT vec_id % 5 AS model_id, vec_id AS unit_id, 64 AS n_params FROM embeddings")
+@query("SELECT vec_id % 5 AS model_id, vec_id AS unit_id, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS i, round(CAST(unnest(embedding) AS DOUBLE), 6) AS value FROM embeddings")
 def a08_parameter_table(spark, sf_dir):
     from tabguard.sources import tables
 
     v = table(spark, sf_dir, "embeddings")
-    return tables.parameter_table(v.select((F.col("vec_id") % 5).alias("model_id"), F.col("vec_id").alias("unit_id"), F.col("embedding").alias("params"))).select("model_id", "unit_id", F.size("params").alias("n_params"))
+    return tables.parameter_table(v.select((F.col("vec_id") % 5).alias("model_id"), F.col("vec_id").alias("unit_id"), F.col("embedding").alias("params"))).select("model_id", "unit_id", F.posexplode("params").alias("i", "value")).withColumn("value", F.round("value", 6))
 
 
-@query("SELECT vec_id % 20 AS client_id, vec_id // 20 AS round, 1 AS n_samples FROM embeddings")
+@query("SELECT vec_id % 20 AS client_id, vec_id // 20 AS round, 1 AS n_samples, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS i, round(CAST(unnest(embedding) AS DOUBLE), 6) AS value FROM embeddings")
 def a09_client_gradients(spark, sf_dir):
     from tabguard.sources import tables
 
-    return tables.client_gradients(clients(spark, sf_dir)).select("client_id", "round", "n_samples")
+    return tables.client_gradients(clients(spark, sf_dir)).select("client_id", "round", "n_samples", F.posexplode("gradient").alias("i", "value")).withColumn("value", F.round("value", 6))
 
 
 def clients(spark, sf_dir):

@@ -46,12 +46,10 @@ def d02_activations(spark, sf_dir):
     return spectral.activations(prepared(spark, sf_dir), FEATURES, "label").select("row_rank", "activation")
 
 
-@query("WITH x AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) * 3 AS v FROM embeddings) SELECT vec_id, round(sqrt(sum(v * v)) / sqrt(sum(v * v)), 6) AS length FROM x GROUP BY vec_id")
+@query("WITH x AS (SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS i, unnest(CAST(embedding AS DOUBLE[])) * (1 + vec_id % 3) AS v FROM embeddings) SELECT vec_id, i, round(v / greatest(sqrt(sum(v * v) OVER (PARTITION BY vec_id)), 1e-9), 6) AS value FROM x")
 def d04_normalised(spark, sf_dir):
-    from tabguard.functions.numeric import norm
-
-    e = embedded(spark, sf_dir).withColumn("activation", F.transform("activation", lambda v: v * 3))
-    return e.select("vec_id", F.round(norm(spectral.normalised(F.col("activation"))), 6).alias("length"))
+    e = embedded(spark, sf_dir).withColumn("activation", F.transform("activation", lambda v: v * (1 + F.col("vec_id") % 3)))
+    return e.select("vec_id", F.posexplode(spectral.normalised(F.col("activation"))).alias("i", "value")).withColumn("value", F.round("value", 6))
 
 
 @query()

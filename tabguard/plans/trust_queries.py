@@ -62,10 +62,10 @@ def g06_snapshot(spark, sf_dir):
     return rounded(trust.snapshot(trust.trust_history(sims(spark, sf_dir))), "trust").select("client_id", "round", "trust")
 
 
-@query("SELECT vec_id AS client_id, unnest(range(1, 4)) AS round, 1 AS n_samples FROM embeddings")
+@query("SELECT vec_id AS client_id, r.round, 1 AS n_samples, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS i, round(CAST(unnest(embedding) AS DOUBLE), 6) AS value FROM embeddings CROSS JOIN (SELECT unnest(range(1, 4)) AS round) r")
 def g07_replay(spark, sf_dir):
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return trust.replay(v.select(F.col("vec_id").alias("client_id"), F.col("embedding").alias("gradient"), F.lit(1).alias("n_samples")), 3).select("client_id", "round", "n_samples")
+    return trust.replay(v.select(F.col("vec_id").alias("client_id"), F.col("embedding").alias("gradient"), F.lit(1).alias("n_samples")), 3).select("client_id", "round", "n_samples", F.posexplode("gradient").alias("i", "value")).withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
 @query(f"WITH {_CELLS}, w AS (SELECT round, i, sum(g * (1 + client_id % 3)) / sum(1 + client_id % 3) AS m FROM cells GROUP BY ALL) SELECT round, round(sum(m), 6) AS total, round(sum(m * m), 6) AS squares FROM w GROUP BY round")

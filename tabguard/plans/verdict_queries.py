@@ -242,15 +242,23 @@ def parameters(spark, sf_dir):
 _PAR = "pa AS (SELECT vec_id % 5 AS model_id, vec_id AS unit_id, CAST(embedding[1:60 + vec_id % 5] AS DOUBLE[]) AS params FROM embeddings)"
 
 
-@query(f"WITH {_PAR} SELECT unit_id, max(len(params)) OVER (PARTITION BY model_id) AS n FROM pa")
+def _cells(df):
+    return df.select("unit_id", F.posexplode("params").alias("i", "value")).withColumn("value", F.round("value", 6))
+
+
+@query(f"WITH {_PAR}, n AS (SELECT *, max(len(params)) OVER (PARTITION BY model_id) AS n FROM pa), i AS (SELECT unit_id, params, unnest(range(n)) AS i FROM n) SELECT unit_id, CAST(i AS INT) AS i, round(coalesce(params[i + 1], 0), 6) AS value FROM i")
 def r01_padded(spark, sf_dir):
-    return params.padded(parameters(spark, sf_dir)).select("unit_id", F.size("params").alias("n"))
+    return _cells(params.padded(parameters(spark, sf_dir)))
 
 
-@query(f"WITH {_PAR} SELECT unit_id, 1000000.0 AS top, 0.0 AS second FROM pa")
+@query(f"""WITH {_PAR}, x AS (SELECT unit_id, CAST(generate_subscripts(params, 1) - 1 AS INT) AS i, unnest(params) AS v FROM pa)
+SELECT unit_id, i, CASE (unit_id + i) % 11 WHEN 0 THEN CASE WHEN v > 0 THEN 1000000.0 ELSE -1000000.0 END WHEN 1 THEN 0.0 ELSE round(v, 6) END AS value FROM x""")
 def r02_finite(spark, sf_dir):
-    odd = parameters(spark, sf_dir).withColumn("params", F.concat(F.array(F.lit(float("inf")), F.lit(float("nan"))), "params"))
-    return params.finite(odd).select("unit_id", F.get("params", F.lit(0)).alias("top"), F.get("params", F.lit(1)).alias("second"))
+    """Every eleventh cell is infinite, with its sign, and the one behind it is not a number."""
+    place = lambda i: (F.col("unit_id") + i) % 11
+    inf = lambda v: F.when(v > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
+    odd = parameters(spark, sf_dir).withColumn("params", F.transform("params", lambda v, i: F.when(place(i) == 0, inf(v)).when(place(i) == 1, F.lit(float("nan"))).otherwise(v)))
+    return _cells(params.finite(odd))
 
 
 @query()

@@ -127,3 +127,23 @@ def test_a_fit_by_hand(spark):
     rows = boosting.coded(df, ["v"], ["fold", "y", "flagged"], boosting.Trees(cuts))
     t = boosting.fit(rows, cuts, [(0, -1, 1)], 1, 0.5, 1)[0]
     assert t.base == 0 and t.bins[0].tolist() == [3] and np.allclose(t.leaves[0], [-0.5 * 2 / (1 + 1), 0.5 * 2 / (1 + 1)])
+
+
+def test_robust_covariance_withstands_a_third_of_poison(spark):
+    from tabguard.operators import linalg
+
+    r = np.random.default_rng(6)
+    x = r.normal(size=(1000, 4))
+    x[:300] = 7 + 0.2 * r.normal(size=(300, 4))
+    df = spark.createDataFrame([(int(i), *map(float, v)) for i, v in enumerate(x)], "id long, a double, b double, c double, d double")
+    names = list("abcd")
+
+    def flagged(starts):
+        cov, mean = linalg.robust_covariance(df, names, 0.65, starts=starts)
+        far = linalg.squared_distance(df, names, mean, linalg.inverse(cov)).where("d2 > 14.86").select("id").collect()  # 99.5 % of four degrees
+        return cov, {q["id"] for q in far}
+
+    cov, found = flagged(100)
+    assert set(range(300)) <= found and len(found) < 330
+    assert np.allclose(cov, np.cov(x[300:], rowvar=False), atol=0.25)
+    assert not set(range(300)) <= flagged(0)[1]

@@ -57,6 +57,27 @@ def i02_verdict(spark, sf_dir):
     return s.select(F.col("kl").alias("kl_divergence"), F.col("w1").alias("wasserstein"), "mahalanobis", F.col("shift").alias("label_shift"), F.col("z").alias("label_z"), "label_alarm", "spike_alarm", "blend_alarm", "gradient_alarm", "trust_alarm", "suspicion_score", "verdict")
 
 
+def poisoned_vectors(spark, sf_dir):
+    """Embeddings in the order of their ids, with a trigger in three coordinates of every third vector of the last 30 %, all labelled 1."""
+    v = table(spark, sf_dir, "embeddings")
+    names = [f"v{i}" for i in range(16)]
+    own = [F.aggregate(F.slice(F.col("embedding").cast("array<double>"), 4 * i + 1, 4), F.lit(0.0), lambda s, x: s + x).alias(c) for i, c in enumerate(names)]
+    rows = prep.split_by_order(v.select("vec_id", *own, (F.col("label") % 2).cast("int").alias("label")), ["vec_id"])
+    bad = (F.col("split") == "incoming") & (F.col("vec_id") % 3 == 0)
+    planted = {c: F.when(bad, x + F.col(c) / 10).otherwise(F.col(c)) for c, x in zip(names, (3.0, -3.0, 2.0), strict=False)}
+    return rows.withColumns({**planted, "label": F.when(bad, 1).otherwise(F.col("label"))}).withColumn("planted", bad), names
+
+
+@query()
+def i09_analysis(spark, sf_dir):
+    """All layers over vectors (sums of four neighbouring coordinates) with a planted trigger, and how many planted rows were flagged."""
+    rows, names = poisoned_vectors(spark, sf_dir)
+    result, marked = analysis.analyse(rows, names, ["vec_id"], "vec_id", effort=analysis.Effort(neighbours=10))
+    hits = marked.agg(F.count_if(F.col("flagged") & F.col("planted")).alias("planted_flagged"), F.count_if("planted").alias("n_planted"))
+    scores = [F.round(c, 4).alias(c) for c in ("l1", "l2", "l3", "l4", "overall_suspicion", "causal_effect")]
+    return result.select("n", *scores, "l1_alarm", "proof_valid", "flagged_count", "n_layers_alarmed", "verdict", "attack_type", "action").crossJoin(hits)
+
+
 @query(f"WITH {_EV}, s AS (SELECT *, {_SCORE} AS s FROM ev) SELECT id, CASE WHEN s >= 0.65 AND (proof_valid OR (blend_alarm AND spectral_alarm)) THEN 'CONFIRMED_POISONED' WHEN s >= 0.35 THEN 'SUSPICIOUS' WHEN s >= 0.15 THEN 'LOW_RISK' ELSE 'CLEAN' END AS verdict FROM s")
 def i03_fused_verdict(spark, sf_dir):
     return verdict.with_verdict(verdict.overall_score(evidence(spark, sf_dir))).select("id", "verdict")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabguard.functions.numeric import unpivot
+from tabguard.operators import causal
 
 # Alarm threshold of a step, and of the drift since the first batch in steps.
 STEP, CUMULATIVE = 0.15, 5
@@ -18,6 +19,16 @@ def attribution(df: DataFrame, coefficients: dict[str, float], keep: list[str])
     return df.select(*keep, *[(p / total).alias(c) for c, p in parts.items()])
 
 
+def fitted_coefficients(df: DataFrame, features: list[str], label: str, keys: list[str], batch: str = "batch") -> dict[str, float]:
+    """The coefficients of a logistic model of the first batch, in order, that has rows of both classes; 0 where none has."""
+    both = df.where(F.col(label).isNotNull()).groupBy(batch).agg(F.count_distinct(label).alias("n")).where("n > 1").agg(F.min(batch).alias("b")).first()["b"]
+    if both is None:
+        return dict.fromkeys(features, 0.0)
+    own = df.where(F.col(batch) == F.lit(both)).withColumn("_none", F.lit(False))
+    beta, _ = causal.fit(own, features, label, "_none", keys, [("full", 0, 0, -1)])
+    return {c: float(b) for c, b in zip(features, beta[0], strict=False)}
+
+
 def snapshots(shares: DataFrame, features: list[str], batch: str = "batch") -> DataFrame:
     """batch, feature, mean, sigma (population), n."""
     return unpivot(shares, features, [batch]).groupBy(batch, "feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sigma"), F.count("*").alias("n"))

@@ -197,16 +197,23 @@ def density_noise(df: DataFrame, features: list[str], key: str, eps: float, leas
 # ---- tails and vote (E10-E17) --------------------------------------------------------------------------------------------
 
 
-def tail_scores(long: DataFrame, key: str) -> DataFrame:
+def tail_scores(long: DataFrame, key: str, buckets: int = 64) -> DataFrame:
     """key, copod: sum over features of -ln min(F, 1 - F) with F the reference's distribution function.
 
-    ``long`` has key, split, feature, value. Values are added up per feature before running counts are taken.
+    ``long`` has key, split, feature, value. Values are added up per feature, and running counts go within ranges of about
+    equal weight, from the counts of the ranges before, so no window holds a whole feature.
     """
-    cells = long.groupBy("feature", "value").agg(F.count_if(F.col("split") == "reference").alias("r"))
-    w = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    f = cells.select("feature", "value", (F.sum("r").over(w) / F.sum("r").over(Window.partitionBy("feature"))).alias("f"))
+    known = long.where("value IS NOT NULL")
+    cells = known.groupBy("feature", "value").agg(F.count_if(F.col("split") == "reference").alias("r"))
+    cuts = known.groupBy("feature").agg(F.approx_percentile("value", [i / buckets for i in range(1, buckets)], 1000).alias("cuts"))
+    cut = cells.join(F.broadcast(cuts), "feature").withColumn("bucket", F.aggregate("cuts", F.lit(0), lambda a, c: a + (F.col("value") >= c).cast("int"))).drop("cuts")
+    before = Window.partitionBy("feature").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    part = cut.groupBy("feature", "bucket").agg(F.sum("r").alias("br"))
+    part = part.select("feature", "bucket", F.coalesce(F.sum("br").over(before), F.lit(0)).alias("r0"), F.sum("br").over(Window.partitionBy("feature")).alias("nr"))
+    w = Window.partitionBy("feature", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    f = cut.join(F.broadcast(part), ["feature", "bucket"]).select("feature", "value", ((F.col("r0") + F.sum("r").over(w)) / F.col("nr")).alias("f"))
     f = f.withColumn("f", F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("f")))).select("feature", "value", (-F.log(F.least("f", 1 - F.col("f")))).alias("t"))
-    return long.join(f, ["feature", "value"]).groupBy(key).agg(F.sum("t").alias("copod"))
+    return known.join(f, ["feature", "value"]).groupBy(key).agg(F.sum("t").alias("copod"))
 
 
 def tail_flags(scores: DataFrame, at: float = 1 - CONTAMINATION) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabguard.operators import drift, prep, trust
-from tabguard.plans.base import FEATURES, LI, lineitem, query
+from tabguard.plans.base import FEATURES, LI, ORDER, lineitem, query
 from tabguard.plans.prep_queries import clients
 from tabguard.plans.shift_queries import rounded
 
@@ -102,6 +102,14 @@ def h01_attribution(spark, sf_dir):
     return shares(spark, sf_dir).groupBy("batch").agg(*[F.round(F.avg(c), 6).alias(c) for c in ("l_quantity", "l_discount")])
 
 
+@query()
+def h01_fitted_attribution(spark, sf_dir):
+    """With the coefficients of the first year that has returned and kept items."""
+    li = prep.minmax_scale(lineitem(spark, sf_dir), FEATURES).withColumn("batch", F.year("l_shipdate"))
+    coefficients = drift.fitted_coefficients(li, FEATURES, "label", ORDER)
+    return drift.attribution(li, coefficients, ["batch"]).groupBy("batch").agg(*[F.round(F.avg(c), 6).alias(c) for c in FEATURES])
+
+
 @query(f"WITH {_SHARES} SELECT batch, feature, round(mean, 6) AS mean, round(sigma, 6) AS sigma, n FROM sn")
 def h02_snapshots(spark, sf_dir):
     return rounded(drift.snapshots(shares(spark, sf_dir), FEATURES), "mean", "sigma")

@@ -168,3 +168,15 @@ def test_too_few_rows_give_a_skip_reason(spark):
     rows = [shift.null_result(spark.range(n), least=30).first() for n in (0, 29, 30)]
     assert [r["skip_reason"] for r in rows] == ["insufficient_data", "insufficient_data", None]
     assert [r["n"] for r in rows] == [0, 29, 30] and all(r["verdict"] == "CLEAN" for r in rows)
+
+
+def test_attribution_fits_the_first_batch_with_both_classes(spark):
+    from tabguard.operators import drift
+
+    r = np.random.default_rng(4)
+    x = r.normal(size=(600, 2))
+    rows = [(i, i // 200, float(x[i, 0]), float(x[i, 1]), 0 if i < 200 else int(x[i, 0] > 0 if i < 400 else x[i, 1] > 0)) for i in range(600)]
+    got = drift.fitted_coefficients(spark.createDataFrame(rows, "id long, batch int, a double, b double, label int"), ["a", "b"], "label", ["id"])
+    assert got["a"] > 2 and abs(got["b"]) < 0.5  # the second batch, not the third
+    none = drift.fitted_coefficients(spark.createDataFrame(rows[:150], "id long, batch int, a double, b double, label int"), ["a", "b"], "label", ["id"])
+    assert none == {"a": 0.0, "b": 0.0}

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabguard.functions.numeric import clip
-from tabguard.operators import boosting, linalg, quantiles
+from tabguard.operators import boosting, linalg, oneclass, quantiles
 from tabguard.operators.neighbours import density_clusters, nearest, neighbour_counts
 from tabguard.operators.ranks import hashed_order
 from tabguard.sources.tables import stored
@@ -120,27 +120,13 @@ def _flag_above(df: DataFrame, score: str, flag: str, reference: Column, at: flo
 # ---- one-class support, ellipse, positive-unlabelled models (E3, E7, E8, E9) --------------------------------------------
 
 
-def one_class(df: DataFrame, features: list[str], reference: Column, dims: int = 64, seed: int = 42) -> DataFrame:
-    """``df`` with oneclass_flag: rows whose random Fourier features lie far from the reference's mean feature.
+def one_class(df: DataFrame, features: list[str], reference: Column, nu: float = CONTAMINATION, dims: int = oneclass.DIMS, seed: int = 42) -> DataFrame:
+    """``df`` with oneclass_score and oneclass_flag: rows outside the one-class machine that leaves out a share ``nu`` of the reference.
 
-    The mean in feature space stands for the support of an RBF one-class machine; the cut-off is the reference's
-    95th percentile. Approximate.
+    The RBF kernel is approximated by ``dims`` random Fourier features; the machine's offset is the reference's
+    quantile of scores.
     """
-    p = len(features)
-    var = df.where(reference).agg(F.array(*[F.coalesce(F.var_pop(c), F.lit(0.0)) for c in features]).alias("v")).first()["v"]
-    gamma = 1 / max(p * float(np.mean(var)), 1e-9)
-    rng = np.random.default_rng(seed)
-    w, b = rng.standard_normal((p, dims)) * math.sqrt(2 * gamma), rng.uniform(0, 2 * math.pi, dims)
-
-    def lift(v: pd.Series) -> pd.Series:
-        return pd.Series(list(np.cos(np.stack(v.to_numpy()) @ w + b) * math.sqrt(2 / dims))) if len(v) else pd.Series([], dtype=object)
-
-    vector = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
-    lifted = df.withColumn("_z", F.pandas_udf(lift, "array<double>")(vector))
-    _, s, n = linalg.gram(lifted.where(reference).select("_z"))
-    mean = F.array(*[F.lit(float(x)) for x in s / max(n, 1)])
-    near = F.aggregate(F.zip_with("_z", mean, lambda a, m: a * m), F.lit(0.0), lambda t, x: t + x)
-    return _flag_above(lifted.withColumn("oneclass_score", -near).drop("_z"), "oneclass_score", "oneclass_flag", reference)
+    return _flag_above(oneclass.scored(df, features, reference, nu, dims, seed), "oneclass_score", "oneclass_flag", reference, 1 - nu)
 
 
 def elliptic(df: DataFrame, features: list[str], reference: Column, support: float = 0.85) -> DataFrame:

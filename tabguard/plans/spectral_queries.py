@@ -72,6 +72,17 @@ def d08_cluster_analysis(spark, sf_dir):
     return spectral.cluster_analysis(spectral.projected(embedded(spark, sf_dir), "activation"))
 
 
+@query("""WITH p AS (SELECT vec_id, label % 2 AS cluster, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL),
+d AS (SELECT a.vec_id, a.cluster, b.cluster AS other, sum(list_distance(a.e, b.e)) / greatest(count(*) - (a.cluster = b.cluster)::INT, 1) AS m FROM p a CROSS JOIN p b GROUP BY ALL),
+s AS (SELECT vec_id, cluster, max(m) FILTER (WHERE cluster = other) AS a, min(m) FILTER (WHERE cluster <> other) AS b FROM d GROUP BY ALL)
+SELECT cluster, count(*) AS n, round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM s GROUP BY cluster""")
+def d10_silhouette(spark, sf_dir):
+    """By the parity of the label, over whole embeddings."""
+    e = embedded(spark, sf_dir).where("label IS NOT NULL").withColumn("cluster", F.col("label") % 2)
+    s = spectral.silhouettes(e, "activation")
+    return rounded(s.groupBy("cluster").agg(F.sum("n").alias("n"), (F.sum(F.col("silhouette") * F.col("n")) / F.sum("n")).alias("silhouette")), "silhouette")
+
+
 @query()
 def d11_second_pass(spark, sf_dir):
     """Activations are the whole embeddings, features their first eight coordinates."""
@@ -101,3 +112,8 @@ def d12_fused(spark, sf_dir):
 def d13_suspicious_members(spark, sf_dir):
     c = spectral.clusters(spectral.projected(embedded(spark, sf_dir), "activation"))
     return spectral.suspicious_members(c, ["vec_id"]).select("vec_id", "cluster")
+
+
+@query()
+def d13_cluster_profile(spark, sf_dir):
+    return spectral.cluster_profile(embedded(spark, sf_dir))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabguard.functions.numeric import binomial_tail, t_two_sided, unpivot
-from tabguard.operators import causal, ensemble, inject, linalg, prep, ranks, shift, spectral
+from tabguard.operators import causal, ensemble, inject, linalg, oneclass, prep, ranks, shift, spectral
 
 
 def normals(spark, n=1500, p=4, seed=1, spike=0):
@@ -180,3 +180,74 @@ def test_attribution_fits_the_first_batch_with_both_classes(spark):
     assert got["a"] > 2 and abs(got["b"]) < 0.5  # the second batch, not the third
     none = drift.fitted_coefficients(spark.createDataFrame(rows[:150], "id long, batch int, a double, b double, label int"), ["a", "b"], "label", ["id"])
     assert none == {"a": 0.0, "b": 0.0}
+
+
+def ranks_of(v):
+    return np.argsort(np.argsort(v))
+
+
+def test_one_class_machine_against_a_kernel_solution(spark):
+    n, nu = 400, 0.1
+    df = normals(spark, n, seed=4)
+    x = np.array([[r[c] for c in F4] for r in df.orderBy("id").collect()])
+    kernel = np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / (4 * x.var()))
+    a, cap = np.full(n, 1 / n), 1 / (nu * n)
+    for k in range(20_000):  # Frank-Wolfe steps on the dual with the exact kernel
+        g = kernel @ a
+        best = np.zeros(n)
+        best[np.argsort(g)[: round(nu * n)]] = cap
+        d = best - a
+        if -(d @ g) < 1e-6 * (a @ g):
+            break
+        a = a + min(1.0, -(d @ g) / (d @ kernel @ d)) * d
+    got = ensemble.one_class(df, F4, F.lit(True), nu, 512).orderBy("id").collect()
+    assert np.corrcoef(ranks_of(-kernel @ a), ranks_of([r["oneclass_score"] for r in got]))[0, 1] > 0.9
+    assert abs(sum(r["oneclass_flag"] for r in got) / n - nu) < 0.02
+    again = ensemble.one_class(df.repartition(7), F4, F.lit(True), nu, 512).orderBy("id").collect()
+    assert [r["oneclass_flag"] for r in got] == [r["oneclass_flag"] for r in again]
+
+
+def test_nearest_point_of_a_hull():
+    p = np.random.default_rng(2).standard_normal((60, 5)) + 1.5
+    x = oneclass.nearest_point(lambda w: p[np.argmin(p @ w)], p.mean(0), 1e-9)
+    assert (p @ x).min() >= (x @ x) * (1 - 1e-6)  # the plane through x parts the hull from the origin
+
+
+def test_one_class_machine_without_reference_rows(spark):
+    df = normals(spark, 5)
+    assert [r["oneclass_score"] for r in ensemble.one_class(df, F4, F.lit(False)).collect()] == [0.0] * 5
+    assert ensemble.one_class(df.where("id < 0"), F4, F.lit(True)).count() == 0
+
+
+def silhouette_of(x, c):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    out = []
+    for i in range(len(x)):
+        own = c == c[i]
+        b = min(d[i, c == k].mean() for k in set(c) if k != c[i])
+        a = d[i, own].sum() / max(own.sum() - 1, 1)
+        out.append(0.0 if own.sum() == 1 or max(a, b) == 0 else (b - a) / max(a, b))
+    return float(np.mean(out))
+
+
+def test_silhouette_is_euclidean_and_close_when_drawn(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.standard_normal((300, 3)), rng.standard_normal((60, 3)) + 3, np.zeros((40, 3)), [[9.0, 9.0, 9.0]]])
+    c = np.array([0] * 300 + [1] * 60 + [0] * 40 + [2])
+    df = spark.createDataFrame([(int(k), [float(v) for v in r]) for k, r in zip(c, x, strict=True)], "cluster int, plane array<double>")
+    want = silhouette_of(x, c)
+    assert abs(spectral.silhouette(df).first()[0] - want) < 1e-9
+    assert abs(spectral.silhouette(df.repartition(6), most=100).first()[0] - want) < 0.05
+    assert spectral.silhouette(df.where("cluster = 1")).first()[0] == 0.0
+    assert spectral.silhouette(df.where("cluster = 5")).first()[0] == 0.0
+
+
+def test_profile_of_clusters(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.standard_normal((200, 6)), rng.standard_normal((12, 6)) * 0.05 + 8])
+    r = spectral.cluster_profile(spark.createDataFrame([([float(v) for v in row],) for row in x], "activation array<double>")).first()
+    s, e = np.linalg.svd(x, compute_uv=False), np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1]
+    assert r["minority_count"] == 12 and abs(r["minority_ratio"] - 12 / 212) < 1e-12 and r["tightness"] < 0.5
+    assert np.allclose(r["explained_variance"], e[:5] / e.sum()) and abs(r["spectral_gap"] - s[0] / s[1]) < 1e-9
+    score = min(r["spectral_gap"] / 10, 0.5) * 0.4 + (0.15 - 12 / 212) / 0.15 * 0.4 + (1 - r["tightness"]) * 0.2
+    assert abs(r["suspicion_score"] - score) < 1e-12 and r["backdoor_detected"] == (r["spectral_gap"] > 3)

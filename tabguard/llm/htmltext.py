@@ -53,13 +53,20 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 MARKED = {"ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "banner", "sidebar", "nav", "navbar", "navigation", "menu", "header", "masthead", "footer", "breadcrumb", "breadcrumbs", "comment", "comments", "respond", "cookie", "cookies", "consent", "notice", "alert", "popup", "modal", "newsletter", "subscribe", "share", "social", "related", "complementary", "contentinfo", "search"}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag whose quotes do not close ends at its first ``>``.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>", re.S)
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[^A-Za-z0-9]+")
 _ROLE_MAIN = re.compile(r"\brole\s*=\s*[\"']?main\b", re.I)
 
+# Inside an article, words that say advert of a paragraph too; pieces of a word of class, id or role (such
+# as comment-list) that mark a block, alone or with one of the pieces that follow; and what undoes that (has-comments).
+ADVERT = {"ad", "ads", "advert", "adverts", "advertisement", "sponsored"}
+LOOSE = ADVERT | {"promo", "comment", "comments", "cookie", "cookies", "newsletter", "subscribe", "breadcrumb", "breadcrumbs", "popup", "consent"}
+SHARED, WIDGETS = {"share", "social", "related"}, {"bar", "box", "button", "buttons", "icons", "links", "list", "media", "posts", "articles", "stories", "tools", "widget"}
+UNDONE = {"has", "no", "not", "with", "without"}
 
-#: Parts of text that no whole-word mark hides, and elements whose end tag may be left out.
+#: Parts of text that no other whole-word mark hides, and elements whose end tag may be left out.
 TEXT = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
 OPTIONAL = {"p", "li", "dd", "dt", "td", "th", "tr"}
 #: A start tag that ends an open p.
@@ -82,6 +89,12 @@ def _marks(attributes: str) -> tuple[set[str], set[str]]:
     return whole, parts
 
 
+def _compound(value: str) -> bool:
+    """Whether one word of class, id or role is a compound that marks a block inside an article."""
+    pieces = [x for x in _WORD.split(value) if x]
+    return len(pieces) > 1 and pieces[0] not in UNDONE and (not LOOSE.isdisjoint(pieces) or not (SHARED.isdisjoint(pieces) or WIDGETS.isdisjoint(pieces)))
+
+
 class _Open:
     """The open elements that are not inline; per element, where the next start tag finds one that it ends."""
 
@@ -151,20 +164,23 @@ def blocks(page: str) -> tuple[list[str], list[str], list[str]]:
                 own.pop()
 
     at, n = 0, len(page)
+    stop = page.rfind(">") + 1  # no tag ends behind it, so none is looked for there
     while at < n:
-        m = _TAG.search(page, at)
+        m = _TAG.search(page, at, stop) if at < stop else None
         if m is None:
-            run.append(html.unescape(page[at:]))
+            run.append(html.unescape(page[at:].partition("<!--")[0]))
             break
         if m.start() > at:
             run.append(html.unescape(page[at : m.start()]))
         at = m.end()
+        if at == stop and m[0].startswith("<!--") and not m[0].endswith("-->"):
+            break  # a comment that is never closed ends with its page
         name = (m[2] or "").lower()
         if not name:
             continue
         if name in RAW and not m[1]:
             close()
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+            end = re.compile(rf"</{re.escape(name)}\b[^>]*+(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else n
             continue
         if name not in INLINE:
@@ -191,23 +207,30 @@ def blocks(page: str) -> tuple[list[str], list[str], list[str]]:
             continue
         if m[1] or name in VOID:
             continue
-        if name == "article" and skip_at >= 0 and weak:
+        whole, parts = _marks(m[3]) if m[3] and (skip_at < 0 or name == "article") else (set(), set())
+        reply = name == "article" and "comment" in whole
+        if name == "article" and skip_at >= 0 and weak and not reply:
             cut(skip_at)
             skip_at = -1
         if name not in INLINE and (skip_at >= 0 or not m[3].endswith("/")):
             elements.push(name)
         if skip_at >= 0 or m[3].endswith("/"):
             continue
-        whole, parts = _marks(m[3]) if m[3] else (set(), set())
-        # Inside an article a mark must be a whole word of class, id or role, and never hides a heading or paragraph.
-        full = bool(whole & MARKED)
-        marked = name not in TEXT and full if articles or mains else bool(parts & MARKED)
-        if name in ASIDE or (marked and name not in ("html", "body", "article", "main")):
+        # Inside an article a mark is a whole word of class, id or role, which hides a heading or paragraph only if it says
+        # advert, or a compound of narrower meaning, which hides neither.
+        full, within = bool(whole & MARKED), bool(articles or mains)
+        if not within:
+            marked = bool(parts & MARKED)
+        elif name in TEXT:
+            marked = bool(whole & ADVERT)
+        else:
+            marked = full or any(map(_compound, whole))
+        if name in ASIDE or reply or (marked and name not in ("html", "body", "article", "main")):
             close()
             if name in INLINE:
                 skip, skip_depth = name, 1
             else:
-                skip_at, weak = len(elements) - 1, name not in ASIDE and not full
+                skip_at, weak = len(elements) - 1, not (name in ASIDE or full or within)
         elif name == "article":
             articles.append(len(elements) - 1)
         elif name not in INLINE and (name == "main" or "main" in whole and _ROLE_MAIN.search(m[3])):

@@ -4,9 +4,11 @@ Seeds are the entities that the base patterns find. The words around them are le
 word before, the two words before, and the word before with the word behind. A word is a run of letters and digits that
 may hold ``_``, ``-`` and apostrophes inside; signs and quotes between it and the match do not matter. Pattern-instance
 edges are scored in turns: a pattern's score is the share of its occurrences that precede believed instances, an
-instance's score the chance that one of its patterns is right, until no score changes. All occurrences of a single word
+instance's score the chance that one of its patterns is right, until no score changes. A pattern scores from the turn on
+in which enough distinct instances of it are believed, seeds or not, so what one turn reveals induces the patterns of
+the next. All occurrences of a single word
 in the corpus count; of the longer forms, those at matches of any kind. Patterns of high confidence with enough
-distinct seeds then reveal identifiers that no base pattern matches; they become spans of kind ``id``. Only built-in
+distinct instances then reveal identifiers that no base pattern matches; they become spans of kind ``id``. Only built-in
 functions run on the rows.
 
 Words are looked for among the ``NEAR`` blank-separated strings next to a match. Belief only grows from turn to turn,
@@ -38,7 +40,7 @@ PATTERNS = {
 NEAR = 6
 #: What parts words.
 APART = r"[^\p{L}\p{N}_'\u2019-]++"
-#: Least score of a believed pattern or instance, and least number of distinct seeds of a pattern.
+#: Least score of a believed pattern or instance, and least number of distinct believed instances of a pattern.
 CONFIDENT, SEEDS = 0.6, 3
 #: Relative change of all scores together below which the turns end.
 SETTLED = 1e-6
@@ -117,14 +119,14 @@ def discovered(docs: DataFrame, spans: DataFrame, text: str = "text", confident:
     free = _free(spans)
     known = spans.where("kind <> 'id'").select(F.explode("patterns").alias("pattern"), "value", F.lit(1.0).alias("seed"))
     edges = stored(known.unionByName(free.select(F.explode("patterns").alias("pattern"), "value", F.lit(0.0).alias("seed"))).groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "personal-edges")
-    enough = edges.groupBy("pattern").agg(F.sum("seed").alias("n_seeds"), F.sum("n").alias("seen")).where(F.col("n_seeds") >= seeds)
+    enough = edges.groupBy("pattern").agg(F.count("*").alias("values"), F.sum("n").alias("seen")).where(F.col("values") >= seeds)  # others can never score
     # Words that a match cuts into may be fewer in the corpus than at matches; they occur as often as seen.
     total = F.greatest(F.coalesce("total", F.lit(0)), "seen").alias("total")
     patterns = stored(enough.join(_occurrences(docs, text), "pattern", "left").select("pattern", total), "personal-patterns")
     score = stored(edges.join(patterns, "pattern").select("pattern", "value", "seed", "n", "total", F.col("seed").alias("belief"), F.lit(0.0).alias("trust")), "personal-turn")
     signs = None
     while True:
-        by_pattern = score.groupBy("pattern", "total").agg(F.least(F.lit(1.0), F.sum(F.col("n") * F.col("belief")) / F.col("total")).alias("trust"))
+        by_pattern = score.groupBy("pattern", "total").agg(F.when(F.count_if(F.col("belief") > 0) >= seeds, F.least(F.lit(1.0), F.sum(F.col("n") * F.col("belief")) / F.col("total"))).otherwise(0.0).alias("trust"))
         trusted = score.select("pattern", "value", "seed", "n", "total").join(by_pattern.select("pattern", "trust"), "pattern")
         by_value = trusted.groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("trust")))))).alias("reached"))
         turned = trusted.join(by_value, "value").select("pattern", "value", "seed", "n", "total", F.greatest("seed", F.when(F.col("reached") >= confident, F.col("reached")).otherwise(0.0)).alias("belief"), "trust")

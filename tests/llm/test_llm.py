@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -119,6 +120,51 @@ def test_identifiers_are_discovered_behind_trusted_words(spark):
     assert got[12]["n_discovered"] == 1 and got[13]["n_discovered"] == 0
 
 
+def trusted_by_brute_force(edges, totals):
+    """Candidates that end up behind a trusted pattern, of (pattern, value, seed, n), by turns over plain dictionaries."""
+    belief = {v: float(any(s for _, w, s, _ in edges if w == v)) for _, v, _, _ in edges}
+    seed, names = dict(belief), {p for p, *_ in edges}
+    while True:
+        trust = {}
+        for p in names:
+            own = [(v, n) for q, v, _, n in edges if q == p]
+            trust[p] = min(1.0, sum(n * belief[v] for v, n in own) / totals[p]) if sum(belief[v] > 0 for v, _ in own) >= personal.SEEDS else 0.0
+        now = {}
+        for v in belief:
+            r = 1 - np.exp(sum(np.log(max(1e-9, 1 - trust[p])) for p in {q for q, w, _, _ in edges if w == v}))
+            now[v] = max(seed[v], r if r >= personal.CONFIDENT else 0.0)
+        if max(abs(now[v] - belief[v]) for v in now) < 1e-9:
+            return {v for p, v, s, _ in edges if trust[p] >= personal.CONFIDENT and not seed[v]}
+        belief = now
+
+
+def test_believed_instances_induce_patterns_of_their_own(spark):
+    rows = [f"so customer a{i}@b.example here" for i in range(20)] + [f"so customer QX-4455-{i:04d} here" for i in range(10)]
+    rows += [f"my badge QX-4455-{i:04d} there" for i in range(10)] + ["my badge ZZ-9911-7777 there", "on desk ZZ-9911-7778 there"]
+    got = {r["doc_id"]: r["n_discovered"] for r in personal.scan(docs(spark, rows)).collect()}
+    assert [got[i] for i in range(20, 42)] == [1] * 21 + [0]
+
+
+def test_discovery_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{chr(97 + i)}" for i in range(8)]
+    ids = [f"zq-{i:05d}" for i in range(40)] + [f"u{i}@b.example" for i in range(25)]
+    # one word between two long rows of commas, so that the word before is the only pattern
+    # the last three words stand before identifiers too, of which others know a few only, and mostly before other things
+    mail = [*range(40, 65)]
+    near = [[*mail, *range(4)], [*mail, *range(6)], [*mail, *range(3, 9)], range(9), [*range(14), *range(8), *range(8)], range(22, 40), range(22, 40), range(4, 40)]
+    pairs = [(words[w], ids[int(v)]) for w in range(8) for v in rng.choice(near[w], 36)]
+    pairs += [(words[w], "none") for w in range(8) for _ in range(3 if w < 5 else 50)]
+    gap = " , , , , , , , "
+    got = {r["doc_id"]: r["n_discovered"] for r in personal.scan(docs(spark, [f"{w} {v}{gap}" for w, v in pairs])).collect()}
+    edges = [(p, v, "@" in v, n) for (p, v), n in Counter(x for x in pairs if x[1] != "none").items()]
+    found = trusted_by_brute_force(edges, Counter(w for w, _ in pairs))
+    assert found and found < {v for _, v, s, _ in edges if not s}
+    trusted = {i for i, (_, v) in enumerate(pairs) if v in found}
+    assert {i for i in got if got[i]} <= trusted
+    assert {pairs[i][1] for i in got if got[i]} == found
+
+
 def test_identifiers_are_discovered_behind_words_with_punctuation(spark):
     rows = [f"see user_id=10.0.0.{i} then e-mail: a{i}@b.example and id 10.1.0.{i} done" for i in range(12)]
     rows += ["paper-id of some_id text " * 4] * 10  # these are no occurrences of "id"
@@ -302,14 +348,31 @@ def test_pages(spark):
 
 
 def test_article_text_survives_loose_marks():
-    kept = ['<h2 id="search-and-rescue">T</h2>', '<p id="notice-period">T</p>', '<div class="entry-header">T</div>', '<p class="social-history">T</p>', '<p class="ad">T']
+    kept = ['<h2 id="search-and-rescue">T</h2>', '<p id="notice-period">T</p>', '<div class="entry-header">T</div>', '<p class="social-history">T</p>', '<h2 class="related-posts">T</h2>', '<div class="has-comments">T</div>', '<div class="social-sciences">T</div>', '<div class="with-ads entry">T</div>']
     for x in kept:
         assert htmltext.blocks(f"<article>{x}<p>body</p></article>")[0] == ["T", "body"]
-    gone = ['<div class="ad">x</div>', '<div class="wide ad">x<div>y</div></div>', '<section id="comments">x</section>', '<div role="search">x</div>', '<nav>x</nav>', '<ul><li class="ad">x<ul><li>y</ul><b>z</b></ul>', '<p>T <span class="ad">x</span></p>', '<div class="ad"><p>x<p>y</div>']
+    gone = ['<div class="ad">x</div>', '<div class="wide ad">x<div>y</div></div>', '<section id="comments">x</section>', '<div role="search">x</div>', '<nav>x</nav>', '<ul><li class="ad">x<ul><li>y</ul><b>z</b></ul>', '<p>T <span class="ad">x</span></p>', '<div class="ad"><p>x<p>y</div>', '<p class="ad">x', '<p class="ad">x</p>', '<ol class="comment-list"><li>x</ol>', '<div id="user-comments"><article><p>x</p></article></div>', '<div class="ad-slot"><p>x</p></div>', '<div class="share-buttons">x</div>', '<div class="cookie-banner">x</div>', '<article class="comment">x</article>', '<div class="post-related-articles"><h3>x</h3></div>']
     for x in gone:
         assert [t for t in htmltext.blocks(f"<article>{x}<p>body</p></article>")[0] if t != "T"] == ["body"]
 
 
+def test_replies_outside_the_article_are_no_articles():
+    b = htmltext.blocks
+    assert b('<article><p>T</article><div class="comment-list"><article class="comment"><p>x</article></div>')[0] == ["T"]
+    assert b('<article><p>T</article><article class="comment"><p>x</article>')[0] == ["T"]
+    assert b('<div class="page-with-comments"><article><p>T</article></div>')[0] == ["T"]
+
+
+def test_broken_markup_takes_linear_time():
+    for broken in ('<a href="x ', "<a href='x\"> ", "<!-- x", "<", "<script></script ", "<p class=\"a'> "):
+        t0 = time.perf_counter()
+        htmltext.blocks("<p>T</p>" + broken * (1_000_000 // len(broken)))
+        assert time.perf_counter() - t0 < 20, broken
+    b = htmltext.blocks
+    assert b('<p>T</p><a href="x>y</a><p>z')[1] == ["T", "y", "z"]  # ends at its first >
+    assert b("T <!-- x > y")[1] == ["T"] and b("<p>T</p> <!-- x")[1] == ["T"] and b("a < b")[1] == ["a < b"]
+
+
 def test_left_out_end_tags_end_skipped_parts():
     b = htmltext.blocks
     assert b('<p class="ad">x<p>body')[1] == ["body"]

@@ -73,8 +73,8 @@ def d08_cluster_analysis(spark, sf_dir):
 
 
 @query("""WITH p AS (SELECT vec_id, label % 2 AS cluster, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL),
-d AS (SELECT a.vec_id, a.cluster, b.cluster AS other, sum(list_distance(a.e, b.e)) / greatest(count(*) - (a.cluster = b.cluster)::INT, 1) AS m FROM p a CROSS JOIN p b GROUP BY ALL),
-s AS (SELECT vec_id, cluster, max(m) FILTER (WHERE cluster = other) AS a, min(m) FILTER (WHERE cluster <> other) AS b FROM d GROUP BY ALL)
+d AS (SELECT a.vec_id, a.cluster, b.cluster AS other, sum(list_distance(a.e, b.e)) / greatest(count(*) - CASE WHEN a.cluster = b.cluster THEN 1 ELSE 0 END, 1) AS m FROM p a CROSS JOIN p b GROUP BY a.vec_id, a.cluster, b.cluster),
+s AS (SELECT vec_id, cluster, max(m) FILTER (WHERE cluster = other) AS a, min(m) FILTER (WHERE cluster <> other) AS b FROM d GROUP BY vec_id, cluster)
 SELECT cluster, count(*) AS n, round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM s GROUP BY cluster""")
 def d10_silhouette(spark, sf_dir):
     """By the parity of the label, over whole embeddings."""

@@ -1,11 +1,16 @@
 """Forests fit and score in a session that has observed a query before, as the cleaning report does."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tabguard.operators import causal
+from tabguard.plans.registry import QUERIES
+
+DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture
@@ -27,3 +32,9 @@ def test_forest_effect(observed):
     got = causal.tree_effect(flipped(observed), ["f0", "f1"], "label", "flagged", ["id"], "rf", 5).first()
     assert got["accuracy_without"] > 0.95 and got["accuracy_with"] < 0.85
     assert abs(got["effect"] - (got["accuracy_without"] - got["accuracy_with"])) < 1e-12
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_proof(observed):
+    got = QUERIES["f10_proof"](observed, DATA).first()
+    assert got["proof_valid"] and 0 < got["ci_low"] < got["ci_high"] and got["causal_effect"] > 0.05 and got["suspicion_score"] > 0

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from tabguard.operators import causal
+from tabguard.operators import causal, ensemble
 from tabguard.plans.registry import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -38,3 +38,13 @@ def test_forest_effect(observed):
 def test_proof(observed):
     got = QUERIES["f10_proof"](observed, DATA).first()
     assert got["proof_valid"] and 0 < got["ci_low"] < got["ci_high"] and got["causal_effect"] > 0.05 and got["suspicion_score"] > 0
+
+
+def test_forest_against_noise(observed):
+    x = np.random.default_rng(8).standard_normal((400, 2)) * 0.1
+    x[380:] += 3
+    rows = [(i, *map(float, v), "reference" if i < 300 else "incoming") for i, v in enumerate(x)]
+    df = observed.createDataFrame(rows, "id long, f0 double, f1 double, split string")
+    got = ensemble.positive_unlabelled(df, ["f0", "f1"], ["id"], F.col("split") == "reference", "rf", 10)
+    n = got.agg(F.count_if(F.col("rf_flag") & (F.col("id") >= 380)).alias("far"), F.count_if(F.col("rf_flag") & (F.col("id") < 300)).alias("own")).first()
+    assert n["far"] == 20 and n["own"] <= 15

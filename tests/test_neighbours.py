@@ -147,3 +147,25 @@ def test_robust_covariance_withstands_a_third_of_poison(spark):
     assert set(range(300)) <= found and len(found) < 330
     assert np.allclose(cov, np.cov(x[300:], rowvar=False), atol=0.25)
     assert not set(range(300)) <= flagged(0)[1]
+
+
+def test_boosting_passes_go_over_few_blocks_and_equal_rows(spark):
+    r = np.random.default_rng(9)
+    x = r.integers(0, 6, (5000, 3)).astype(float)
+    x[::50, 1] = np.nan
+    given = spark.createDataFrame([(*map(float, v), int(i % 3), float(v[0] + v[2] > 5), bool(i % 11 == 0)) for i, v in enumerate(x)], "a double, b double, c double, fold int, y double, flagged boolean").repartition(3)
+    cuts, models = boosting.cut_points(given, list("abc")), [(arm, f, 1) for arm in (0, 1) for f in range(3)]
+    plain = boosting.coded(given, list("abc"), ["fold", "y", "flagged"], boosting.Trees(cuts))
+    equal = boosting.equal(given, list("abc"), cuts)
+    assert equal.agg(F.sum("n")).first()[0] == 5000 and equal.count() <= 6 * 7 * 6 * 3 * 2
+    assert boosting.blocked(plain, 3).count() <= 3
+    one, two = (boosting.fit(rows, cuts, models, 12, 0.3) for rows in (plain, equal))
+    for s, t in zip(one, two, strict=True):
+        assert s.base == t.base and len(t.leaves) == 12
+        assert all((a == b).all() for a, b in zip(s.features + s.bins, t.features + t.bins, strict=True)) and np.allclose(s.leaves, t.leaves)
+        codes = t.codes(x)  # nodes by walking down one row at a time
+        for k in (0, 7):
+            at = np.zeros(len(x), int)
+            for _ in range(t.depth):
+                at = np.array([2 * n + 1 + (codes[i, t.features[k][n]] > t.bins[k][n]) for i, n in enumerate(at)])
+            assert (t.node(codes, k, t.depth) == at).all()

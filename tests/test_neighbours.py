@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabguard.operators import boosting, causal, graph, neighbours, quantiles
+from tabguard.operators import boosting, causal, ensemble, graph, neighbours, quantiles
 
 
 def clustered(spark, n=900, p=6, seed=2):
@@ -169,3 +169,38 @@ def test_boosting_passes_go_over_few_blocks_and_equal_rows(spark):
             for _ in range(t.depth):
                 at = np.array([2 * n + 1 + (codes[i, t.features[k][n]] > t.bins[k][n]) for i, n in enumerate(at)])
             assert (t.node(codes, k, t.depth) == at).all()
+
+
+def unstructured(spark, n=300, p=8):
+    """Rows without clusters, some of them copies: a row meets all cells."""
+    x = np.random.default_rng(11).normal(size=(n, p))
+    x[200:240] = x[:40]
+    names = [f"f{i}" for i in range(p)]
+    return spark.createDataFrame([(int(i), *map(float, v)) for i, v in enumerate(x)], f"id long, {', '.join(f'{c} double' for c in names)}"), x, names
+
+
+def written(monkeypatch):
+    """Rows of every table that neighbours are kept in."""
+    kept, store = [], neighbours.stored
+
+    def counted(df, name):
+        out = store(df, name)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(neighbours, "stored", counted)
+    return kept
+
+
+def distances(x):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    return d
+
+
+def test_density_edges_grow_with_rows_not_with_pairs_of_cells(spark, monkeypatch):
+    df, x, names = unstructured(spark)
+    kept = written(monkeypatch)
+    got = neighbours.density_clusters(df, names, "id", 9.0, 5, cell=10).collect()
+    assert {(r["n"] > 290, r["core"], r["noise"], r["cluster"]) for r in got} == {(True, True, False, 0)} and len(got) == 300
+    assert max(kept) <= 16 * 300  # as many forests as tasks, of 4 x 4 partitions; a visit of every cell was a row

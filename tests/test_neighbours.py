@@ -204,3 +204,18 @@ def test_density_edges_grow_with_rows_not_with_pairs_of_cells(spark, monkeypatch
     got = neighbours.density_clusters(df, names, "id", 9.0, 5, cell=10).collect()
     assert {(r["n"] > 290, r["core"], r["noise"], r["cluster"]) for r in got} == {(True, True, False, 0)} and len(got) == 300
     assert max(kept) <= 16 * 300  # as many forests as tasks, of 4 x 4 partitions; a visit of every cell was a row
+
+
+def test_density_noise_joins_no_clusters(spark, monkeypatch):
+    df, x, names = unstructured(spark)
+    d = distances(x)
+    eps, least = 2.2, 6
+    want = neighbours.density_clusters(df, names, "id", eps, least, cell=10).select("key", "noise").collect()
+    monkeypatch.setattr(neighbours, "components", None)
+    kept = written(monkeypatch)
+    got = {r["key"]: r["noise"] for r in ensemble.density_noise(df, names, "id", eps, least).collect()}
+    core = (d <= eps).sum(1) + 1 >= least
+    assert got == {i: not core[i] and not (core & (d[i] <= eps)).any() for i in range(300)} == dict(map(tuple, want))
+    assert 0 < sum(got.values()) < 300
+    kept.clear()
+    assert neighbours.density_noise(df, names, "id", eps, least, cell=10).count() == 300 and max(kept) <= 5 * 300

@@ -219,3 +219,16 @@ def test_density_noise_joins_no_clusters(spark, monkeypatch):
     assert 0 < sum(got.values()) < 300
     kept.clear()
     assert neighbours.density_noise(df, names, "id", eps, least, cell=10).count() == 300 and max(kept) <= 5 * 300
+
+
+def test_outlier_factor_writes_what_grows_with_rows(spark, monkeypatch):
+    df, x, names = unstructured(spark)
+    kept = written(monkeypatch)
+    monkeypatch.setattr(ensemble, "nearest", lambda *a: neighbours.nearest(*a, cell=10))
+    got = {r["key"]: r["lof"] for r in ensemble.local_outlier_factor(df, df.where("id < 200"), names, "id", 4).collect()}
+    d = distances(x)[:, :200]
+    at = np.argsort(d, axis=1, kind="stable")[:, :4]  # ties by id
+    far = np.take_along_axis(d, at, 1)
+    dense = 1 / (np.maximum(far, far[at, 3].reshape(at.shape)).mean(1) + 1e-10)
+    assert all(abs(got[i] - dense[at[i]].mean() / dense[i]) < 1e-6 for i in range(300))
+    assert max(kept) <= 4 * 300

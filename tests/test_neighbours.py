@@ -232,3 +232,12 @@ def test_outlier_factor_writes_what_grows_with_rows(spark, monkeypatch):
     dense = 1 / (np.maximum(far, far[at, 3].reshape(at.shape)).mean(1) + 1e-10)
     assert all(abs(got[i] - dense[at[i]].mean() / dense[i]) < 1e-6 for i in range(300))
     assert max(kept) <= 4 * 300
+
+
+def test_estimated_eps_writes_what_grows_with_rows(spark, monkeypatch):
+    df, x, names = unstructured(spark)
+    kept = written(monkeypatch)
+    monkeypatch.setattr(ensemble, "nearest", lambda *a: neighbours.nearest(*a, cell=10))
+    got = ensemble.estimate_eps(df, names, "id").first()["eps"]
+    assert abs(got - np.quantile(np.sort(distances(x), axis=1)[:, 3], 0.9)) < 1e-9
+    assert max(kept) <= 4 * 300

@@ -241,3 +241,15 @@ def test_estimated_eps_writes_what_grows_with_rows(spark, monkeypatch):
     got = ensemble.estimate_eps(df, names, "id").first()["eps"]
     assert abs(got - np.quantile(np.sort(distances(x), axis=1)[:, 3], 0.9)) < 1e-9
     assert max(kept) <= 4 * 300
+
+
+def test_nearest_of_copies_in_many_blocks_writes_what_grows_with_rows(spark, monkeypatch):
+    df, x, names = unstructured(spark)
+    x[100:160] = x[0]
+    df = spark.createDataFrame([(f"{i:03d}", *map(float, v)) for i, v in enumerate(x)], f"id string, {', '.join(f'{c} double' for c in names)}")
+    kept = written(monkeypatch)
+    got = {(r["key"], r["nth"]): (r["other"], r["distance"]) for r in neighbours.nearest(df, df, names, "id", 5, cell=10).collect()}
+    d = distances(x)
+    order = np.argsort(d, axis=1, kind="stable")[:, :5]  # ties by key
+    assert len(got) == 5 * 300 and max(kept) <= 5 * 300
+    assert all(got[f"{i:03d}", k + 1][0] == f"{order[i, k]:03d}" and abs(got[f"{i:03d}", k + 1][1] - d[i, order[i, k]]) < 1e-9 for i in range(300) for k in range(5))
